@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import fold
 
 BUCKETS, DIM, ORDERS = 4096, 16, (2, 3, 4)
-MAX_ROWS = 3000
+MAX_ROWS = 2000
 EPOCHS, BATCH, RATE = 60, 64, 0.5
 HELD_BACK, ACCEPT_ACCURACY = 0.2, 0.99
 PIECE = 20_000  # code points hashed at a time
@@ -110,24 +110,25 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(x: np.ndarray, labels: list[str], groups: np.ndarray, seed: int = 7) -> Model:
-    """x: one vector a row; groups: rows of one group are held back together."""
+    """x: one vector a row (zero rows are left out); groups: rows of one group are held back together."""
     langs = sorted(set(labels))
-    if not langs:
+    some = x.any(1)
+    if not some.any():
         return Model()
     y = np.array([langs.index(v) for v in labels])
     back = np.array([zlib.crc32(str(g).encode()) % 1000 < 1000 * HELD_BACK for g in groups])
     if back.all() or not back.any():
         back = np.zeros(len(y), bool)
+    learn = np.flatnonzero(~back & some)
     rng = np.random.default_rng(seed)
     scale = np.float32(np.sqrt(BUCKETS))  # vectors sum to 1; this brings them to a unit size
     model = Model(langs, rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32))
     model.weights = rng.normal(0, 0.1, model.weights.shape).astype(np.float32)
-    xt, yt = x[~back] * scale, y[~back]
-    one = np.eye(len(langs), dtype=np.float32)[yt]
+    one = np.eye(len(langs), dtype=np.float32)[y]
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        for at in np.array_split(rng.permutation(len(yt)), max(1, len(yt) // BATCH)):
-            v = xt[at]
+        for at in np.array_split(rng.permutation(learn), max(1, len(learn) // BATCH)):
+            v = x[at] * scale
             h = v @ model.embeddings
             g = (softmax(h @ model.weights + model.bias) - one[at]) / len(at)
             dh = g @ model.weights.T
@@ -135,6 +136,7 @@ def train(x: np.ndarray, labels: list[str], groups: np.ndarray, seed: int = 7) -
             model.bias -= rate * g.sum(0)
             model.embeddings -= rate * (v.T @ dh)
     model.embeddings *= scale
+    back &= some
     if back.any():
         z, yb = model.logits(x[back]), y[back]
         loss = {t: -np.log(softmax(z / t)[np.arange(len(yb)), yb] + 1e-9).mean() for t in np.geomspace(0.25, 8, 41)}
@@ -156,7 +158,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf = pdf[[has_letter(t) for t in pdf["text"]]]
-            rows = [(d, lang, zlib.crc32(t.encode("utf-8", "replace")), vector(t).tobytes(), vector(piece_of(t)).tobytes()) for d, t, lang in zip(pdf["doc_id"], pdf["text"], pdf["lang"], strict=True)]
+            rows = [(d, lang, zlib.crc32(t.encode("utf-8", "replace")), vector(t).astype(np.float16).tobytes(), vector(piece_of(t)).astype(np.float16).tobytes()) for d, t, lang in zip(pdf["doc_id"], pdf["text"], pdf["lang"], strict=True)]
             yield pd.DataFrame(rows, columns=["doc_id", "lang", "h", "v", "p"])
 
     sample = own.join(F.broadcast(ids), own["doc_id"] == F.col("__d")).select("doc_id", "text", "lang")  # at most max_rows ids
@@ -164,10 +166,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     pdf = rows.select("doc_id", "r.*").toPandas().sort_values("doc_id")  # at most max_rows vectors
     if not len(pdf):
         return Model()
-    x = np.frombuffer(b"".join([bytes(v) for v in pdf["v"]] + [bytes(v) for v in pdf["p"]]), np.float32).reshape(-1, BUCKETS)
+    x = np.zeros((2 * len(pdf), BUCKETS), np.float32)
+    for i, v in enumerate([*pdf["v"], *pdf["p"]]):
+        x[i] = np.frombuffer(v, np.float16)
     langs, ids_ = list(pdf["lang"]) * 2, np.concatenate([pdf["doc_id"]] * 2)
-    some = x.sum(1) > 0
-    return train(x[some], [v for v, s in zip(langs, some, strict=True) if s], ids_[some])
+    del pdf
+    return train(x, langs, ids_)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
