@@ -251,19 +251,8 @@ def clean(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: s
     columns are ignored. An empty table gives an empty table.
     """
     min_chars = index.min_chars
-    hot = index.refs.where(F.col("n_docs") >= index.min_docs).select("key", "last_doc")
-    lines = _suspects(index, index.postings)
-    drops = (
-        lines.join(hot, "key")
-        .where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-        .groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"))
-        .agg(F.collect_set("key").alias("__drop"))
-    )
     schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * with_text
 
-    def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([text_hash(t) if t and len(t) >= min_chars else None for t in texts], dtype=object)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -271,8 +260,7 @@ def clean(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: s
                 text = text or ""
                 n, gone = text.count("\n") + 1, 0
                 if drop is not None and len(drop):
-                    drop = set(map(bytes, drop))
-                    kept = [x for x in text.split("\n") if len(x) < min_chars or line_key(x, min_chars) not in drop]
+                    kept = without(text, drop, min_chars)
                     gone, text = n - len(kept), "\n".join(kept)
                 rows.append((n, gone, hashlib.sha256(text.encode("utf-8", "replace")).hexdigest(), text)[: 3 + with_text])
             out = pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept_sha256", "kept_text"][: 3 + with_text])
@@ -280,9 +268,46 @@ def clean(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: s
             yield out
 
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    own = own.withColumn("h", F.pandas_udf(hashes, "binary")(own["text"]))
-    joined = own.join(drops, own["doc_id"].eqNullSafe(drops["__d"]) & (own["h"] == drops["__h"]), "left")
-    return joined.select("doc_id", "text", drops["__drop"].alias("drop")).mapInPandas(run, schema)
+    return _with_drops(index, own, "doc_id", "text").select("doc_id", "text", F.col("__drop").alias("drop")).mapInPandas(run, schema)
+
+
+def without(text: str, drop, min_chars: int) -> list[str]:
+    """The lines of a text but those whose key is in drop."""
+    drop = set(map(bytes, drop))
+    return [x for x in text.split("\n") if len(x) < min_chars or line_key(x, min_chars) not in drop]
+
+
+def _with_drops(index: LineIndex, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs, all columns, with __drop: the keys that the document loses, or null."""
+    min_chars = index.min_chars
+    hot = index.refs.where(F.col("n_docs") >= index.min_docs).select("key", "last_doc")
+    lines = _suspects(index, index.postings)
+    drops = (
+        lines.join(hot, "key")
+        .where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+        .groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"))
+        .agg(F.collect_set("key").alias("__drop"))  # at most the lines of one text
+    )
+
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([text_hash(t) if t and len(t) >= min_chars else None for t in texts], dtype=object)
+
+    own = docs.withColumn("__own", F.pandas_udf(hashes, "binary")(docs[text_col]))
+    return own.join(drops, own[id_col].cast("long").eqNullSafe(drops["__d"]) & (own["__own"] == drops["__h"]), "left").drop("__own", "__d", "__h")
+
+
+def replace_text(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns and rows, with the lines removed from their texts; null text stays null."""
+    min_chars = index.min_chars
+
+    def run(texts: pd.Series, drops: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else "\n".join(without(t, d, min_chars)) for t, d in zip(texts, drops, strict=True)], dtype=object)
+
+    rows = _with_drops(index, docs, id_col, text_col)
+    # the condition keeps unchanged texts out of Python: they are sent as nulls
+    hit = F.col("__drop").isNotNull()
+    rows = rows.withColumn("__new", F.pandas_udf(run, "string")(F.when(hit, F.col(text_col)), F.col("__drop")))
+    return rows.withColumn(text_col, F.when(hit, F.col("__new")).otherwise(F.col(text_col))).select(*docs.columns)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:

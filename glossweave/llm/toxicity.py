@@ -313,3 +313,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), (fold(docs[id_col]) == 0).alias("held_out"))
     out = _scored(own, model, "held_out")
     return out.select("doc_id", "held_out", "score", (out["score"] >= threshold).cast("int").alias("predicted"), "passages")
+
+
+def accept(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """docs' rows, all columns, whose score is below the threshold. Only text goes to Python."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = held.value
+        by_word = m.by_word()
+        for texts in batches:
+            rows = [features(m, by_word, t)[:2] for t in texts]
+            yield pd.Series(m.probability(np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)))
+
+    return docs.where(F.pandas_udf(run, "double")(docs[text_col]) < threshold)
