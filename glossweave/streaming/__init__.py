@@ -1,0 +1 @@
+"""Nothing yet: the data that this engine stands for is batch data, and no operator needs a stream."""
