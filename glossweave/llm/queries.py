@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, langid, line_dedup, mixing, near_dup, quality, sharding, spotsigs, toxicity, warc
 from .common import table
+from .oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,5 +70,3 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity": op9_toxicity,
     "op10_spotsigs": op10_spotsigs,
 }
-
-ORACLES: dict[str, str] = {}
