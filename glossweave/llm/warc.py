@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, to_local
+from .common import fresh_path, materialize, shuffle_partitions, to_local
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 64 << 20
@@ -167,7 +167,9 @@ def read(index: DataFrame, with_payload: bool = True) -> DataFrame:
                         yield pd.DataFrame(rows, columns=names, dtype=object)
 
     part = F.floor(F.col("offset") / RANGE_BYTES)
-    dealt = index.select("archive", "offset", "length", part.alias("part")).repartition("archive", "part").sortWithinPartitions("archive", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    n = max(shuffle_partitions(index.sparkSession), -(-total // RANGE_BYTES))  # by the bytes to read, not the index's own
+    dealt = index.select("archive", "offset", "length", part.alias("part")).repartition(n, "archive", "part").sortWithinPartitions("archive", "offset")
     return dealt.select("archive", "offset", "length").mapInPandas(run, schema)
 
 
