@@ -132,14 +132,14 @@ def with_texts(source: str, changed: dict[int, Entity]) -> str:
         if c is None:
             continue
         if e["dxftype"] == "TABLE":
-            flat = [t for row in c["cells"] or [] for t in row]
+            flat = [t for row in c["cells"] for t in row]
             for own, t in zip(e["at"], flat, strict=False):
-                new[own[0]] = t
+                new[own[0]] = t or ""
         elif e["at"]:
             new[e["at"][0]] = c["text"] or ""
             for i in e["at"][1:]:
                 new[i] = ""
-        for own, a in zip(e.get("attrib_at") or [], c.get("attribs") or [], strict=False):
+        for own, a in zip(e.get("attrib_at") or [], c["attribs"], strict=False):
             if own:
                 new[own[0]] = a["text"] or ""
     return "".join(f"{code:>3}\n{new[i]}\n" for i, (code, _) in enumerate(pairs))
@@ -158,7 +158,8 @@ def write_entities(entities: DataFrame, source: str, out: str) -> DataFrame:
     def run(key, mine: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(mine):
             return pd.DataFrame({"doc_id": [], "output": []})
-        changed = {int(r["entity_ix"]): {"text": r["text"], "cells": r["cells"], "attribs": list(r["attribs"]) if r["attribs"] is not None else None} for r in rows.to_dict("records")}
+        some = lambda v: [] if v is None else list(v)
+        changed = {int(r["entity_ix"]): {"text": r["text"], "cells": [some(row) for row in some(r["cells"])], "attribs": some(r["attribs"])} for r in rows.to_dict("records")}
         text = with_texts(bytes(mine["content"].iloc[0]).decode("utf-8", "replace"), changed)
         name = str(key[0]).rsplit("/", 1)[1]
         to = f"{out.rstrip('/')}/{name}"
