@@ -10,10 +10,12 @@ at its best similarity and at the threshold, and what is not ruled out is confir
 With 42 bands of 6 registers a pair of similarity 0.8 is missed with probability 3e-6.
 
 Links are needed only between classes that are not connected yet. So a bucket is not expanded into its
-pairs: in three rounds all members meet one of them (the smallest, then two drawn at random), links are
-contracted to components, and afterwards members outside a bucket's largest component meet those of
-other components; no pair that could add a link is left out. Hot buckets and copies go through partial
-aggregates and joins that AQE can split.
+pairs: in two rounds all members meet one of them (the smallest, then one drawn at random) and links
+are contracted to components. What is still apart is compared by families, the members of all buckets
+with one smallest member: those outside a family's largest component are held against those of other
+components, in blocks of at most some BLOCK times BLOCK members, by registers first and full sets
+after, and only links leave a block. No pair that could add a link is left out. Hot buckets and copies
+go through partial aggregates, blocks and joins that AQE can split.
 """
 
 from __future__ import annotations
@@ -32,12 +34,13 @@ from .components import components
 
 M, ROWS, BASE, RATE = 252, 6, 1.001, 20.0
 BANDS = M // ROWS
-ROUNDS = 3
+ROUNDS = 2
 #: Log-likelihood by which the threshold must fall short of the best similarity (five deviations).
 RULED_OUT = 12.5
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 NO_ID = 1 << 62  # nodes of classes whose documents all lack an id lie above
 SOME = 512  # documents sketched together
+BLOCK = 512
 _GOLD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -219,21 +222,17 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     if not picked.where("node >= %d" % NO_ID).isEmpty():
         texts = texts.unionByName(_texts_without_id(own, picked, k))
     full = materialize(held.join(texts, "node").select("node", "n", "regs", "text"), "near-full")
-    tested = None
     for r in range(ROUNDS + 1):
         now = materialize(members.join(labels, "node").select("bucket", "node", "n", "label"), "near-labelled")
         open_ = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
         now = materialize(now.join(open_, "bucket", "left_semi"), "near-open")
         if now.isEmpty():
             break
-        pairs = _with_heads(now, r) if r < ROUNDS else _across(now, percent)
-        close = (F.least("nu", "nv") * 100 >= percent * F.greatest("nu", "nv")) & (F.col("u") != F.col("v"))
-        pairs = pairs.where(close).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = materialize(pairs, "near-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = materialize(_confirmed(pairs, full, k, percent), "near-links")
+        if r < ROUNDS:
+            pairs = _with_heads(now, r, percent).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+            links = materialize(_confirmed(materialize(pairs, "near-pairs"), full, k, percent), "near-links")
+        else:
+            links = materialize(_across(now, full, k, percent).distinct(), "near-links")
         by_node = labels.withColumnRenamed("label", "lu").withColumnRenamed("node", "u")
         edges = links.join(by_node, "u").join(labels.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v")
         moved = components(edges.select(F.col("lu").alias("a"), F.col("lv").alias("b")))
@@ -258,25 +257,93 @@ def _texts_without_id(own: DataFrame, picked: DataFrame, k: int) -> DataFrame:
     return found.join(wanted, "set_id").groupBy("node").agg(F.min("text").alias("text"))
 
 
-def _with_heads(now: DataFrame, r: int) -> DataFrame:
+def _with_heads(now: DataFrame, r: int, percent: int) -> DataFrame:
     """Every member of a bucket with one member of it, if they are not connected yet."""
     order = F.col("node") if r == 0 else F.xxhash64(F.lit(r), "node")
     heads = now.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "n", "label")).alias("h"))
     heads = heads.select("bucket", F.col("h.node").alias("v"), F.col("h.n").alias("nv"), F.col("h.label").alias("lv"))
-    met = now.join(heads, "bucket").where(F.col("label") != F.col("lv"))
-    return met.select(F.col("node").alias("u"), F.col("n").alias("nu"), "v", "nv")
-
-
-def _across(now: DataFrame, percent: int) -> DataFrame:
-    """Members outside a bucket's largest component with the members of other components."""
-    counts = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("m")).select("bucket", F.col("m.label").alias("main"))
-    now = now.join(main, "bucket")
-    minor = now.where(F.col("label") != F.col("main")).select("bucket", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"))
-    every = now.select("bucket", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"), "main")
-    size = F.least("nu", "nv") * 100 >= percent * F.greatest("nu", "nv")
-    met = minor.join(every, "bucket").where((F.col("lu") != F.col("lv")) & ((F.col("lv") == F.col("main")) | (F.col("u") < F.col("v"))) & size)
-    return met.select("u", "nu", "v", "nv")
+    close = F.least("n", "nv") * 100 >= percent * F.greatest("n", "nv")
+    return now.join(heads, "bucket").where((F.col("label") != F.col("lv")) & close).select(F.col("node").alias("u"), "v")
+
+
+def _across(now: DataFrame, full: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links between members outside a family's largest component and members of other components.
+
+    A family's minors and all its members are cut into blocks; each pair of blocks is one small group of
+    rows, which Python holds one at a time.
+    """
+    heads = now.groupBy("bucket").agg(F.min("node").alias("family"))
+    rows = now.join(heads, "bucket").select("family", "node", "label").distinct()
+    counts = rows.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("family").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all")).where(F.col("all") > F.col("m.c"))
+    cut = lambda n: F.ceil(n / BLOCK).cast("int")
+    main = main.select("family", F.col("m.label").alias("main"), cut(F.col("all")).alias("vk"), cut(F.col("all") - F.col("m.c")).alias("uk"))
+    rows = rows.join(main, "family").withColumn("is_main", F.col("label") == F.col("main"))
+    part = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    cols = ["family", "node", "label", "is_main"]
+    minors = rows.where(~F.col("is_main")).select(*cols, F.lit(True).alias("minor"), part(F.col("uk")).alias("ub"), each(F.col("vk")).alias("vb"))
+    every = rows.select(*cols, F.lit(False).alias("minor"), part(F.col("vk")).alias("vb"), each(F.col("uk")).alias("ub"))
+    blocks = minors.unionByName(every).join(full, "node")
+    blocks = blocks.repartition("family", "ub", "vb").sortWithinPartitions("family", "ub", "vb")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []  # the rows of a block that may go on in the next batch
+        held: tuple = ()
+        for pdf in batches:
+            keys = list(zip(pdf["family"], pdf["ub"], pdf["vb"], strict=True))
+            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            found = []
+            for at, end in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if rest and keys[at] != held:
+                    found.append(_block(pd.concat(rest), k, percent))
+                    rest = []
+                rest.append(pdf.iloc[at:end])
+                held = keys[at]
+            if found:
+                yield pd.concat(found)
+        if rest:
+            yield _block(pd.concat(rest), k, percent)
+
+    return blocks.mapInPandas(run, "u long, v long")
+
+
+_GRID = np.linspace(0, 1, 101)
+
+
+def _block(pdf: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
+    """The links of a block: pairs that share a band, are not ruled out, and are confirmed."""
+    minor = pdf["minor"].to_numpy(bool)
+    us, vs = pdf[minor], pdf[~minor]
+    out: list[tuple[int, int]] = []
+    if len(us) and len(vs):
+        ru, rv = (np.frombuffer(b"".join(map(bytes, x["regs"])), ">u2").astype(np.uint16).reshape(-1, M) for x in (us, vs))
+        vn, vl, vm, vnode, vtext = vs["n"].to_numpy(), vs["label"].to_numpy(), vs["is_main"].to_numpy(bool), vs["node"].to_numpy(), list(vs["text"])
+        sets: dict[int, np.ndarray] = {}
+        for i, (node, n, label, text) in enumerate(zip(us["node"], us["n"], us["label"], us["text"], strict=True)):
+            fit = (vl != label) & (100 * np.minimum(vn, n) >= percent * np.maximum(vn, n)) & (vm | (node < vnode))
+            at = np.flatnonzero(fit)
+            same = rv[at] == ru[i]
+            band = same.reshape(len(at), BANDS, ROWS).all(2).any(1)
+            at, same = at[band], same[band]
+            if not len(at):
+                continue
+            less = (ru[i] < rv[at]).sum(1)
+            own = shingles(text, k)
+            for j in at[~_ruled_out(n, vn[at], M - less - same.sum(1), less, percent / 100)].tolist():
+                if j not in sets:
+                    sets[j] = shingles(vtext[j], k)
+                if similar(own, sets[j], percent):
+                    out.append((int(node), int(vnode[j])))
+    return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+
+
+def _ruled_out(na: int, nb: np.ndarray, more: np.ndarray, less: np.ndarray, threshold: float) -> np.ndarray:
+    """estimate() for one set against many, on a coarser grid."""
+    u, v = (na / (na + nb))[:, None], (nb / (na + nb))[:, None]
+    ll = _log_likelihood(_GRID[None, :], u, v, more[:, None], less[:, None])
+    ll = np.where(_GRID[None, :] <= np.minimum(u / v, v / u) + 1e-9, ll, -np.inf)
+    return ll.max(1) - ll[:, _GRID >= threshold - 0.011].max(1) > RULED_OUT
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
