@@ -43,6 +43,7 @@ CHAIN = {
     "dictionary": ("dictionary",),
 }
 PACKAGE = {"deep_translator": "deep_translator", "googletrans": "googletrans", "deepl": "deepl", "chatgpt": "openai"}
+#: Fixed value: the instruction of a request.
 SYSTEM = (
     "You are a professional technical translator. Translate the provided values from {source} to {target}. Preserve numbers, "
     "placeholders like '__DXF_DIM__', and DXF control sequences such as '\\n'. Respond "

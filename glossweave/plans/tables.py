@@ -24,8 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="glossweave-")
         spark.sparkContext.setCheckpointDir(base)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base if base.startswith("/") else base
+    fs, p = filesystem(spark, base)
+    base = fs.makeQualified(p).toString()  # a path without a scheme is the default file system's
     path = f"{base.rstrip('/')}/glossweave-{spark.sparkContext.applicationId}"
     if path not in _CLEANED:
         _CLEANED.add(path)
