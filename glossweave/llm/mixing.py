@@ -216,8 +216,8 @@ def _cuts(dealt_out: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _drawn(keyed: DataFrame, sources: DataFrame, blocks: DataFrame) -> DataFrame:
     """keyed with __m_target, __m_source_size and __m_draws (pass, shard), empty if it is not drawn."""
-    own = sources.select("__m_source", "n_blocks", F.col("source_size").alias("__m_source_size"), F.col("target").alias("__m_target"))
-    rows = keyed.join(own, "__m_source").withColumn("__m_block", F.pmod(F.col("__m_hash"), F.col("n_blocks"))).drop("n_blocks")
+    own = sources.select("__m_source", F.col("n_blocks").alias("__m_n"), F.col("source_size").alias("__m_source_size"), F.col("target").alias("__m_target"))
+    rows = keyed.join(own, "__m_source").withColumn("__m_block", F.pmod(F.col("__m_hash"), F.col("__m_n"))).drop("__m_n")
     rows = rows.join(blocks, ["__m_source", "__m_block"], "left")
     out = F.col("__m_upto").isNotNull() & (F.col("__m_hash") >= F.col("__m_upto")) & ~F.array_contains("__m_extra", F.col("__m_hash"))
     draws = F.coalesce("__m_draws", F.array().cast("array<struct<pass:int,shard:int>>"))
