@@ -1,11 +1,11 @@
 """Size-tiered sharding, with DataFrame operations and Hadoop's file system only.
 
 A store is a folder with data/<run>/ (immutable parquet shards), manifests/ (parquet tables of the live
-shards: file, bytes, docs) and versions/<number> (a line naming the manifest). Arrivals are appended as
+shards: file, bytes, docs, sealed) and versions/<number> (a line naming the manifest). Arrivals are appended as
 small shards. Compaction sorts the live shards into tiers by size (a tier is FANOUT times the one
 below), packs the shards of a tier into groups of about the target size and rewrites a group as one
-shard; shards near the target are left alone, and so is a tier of few small shards, so each document
-is rewritten about once a tier. A new manifest becomes visible by the atomic rename of its version
+shard; a shard near the target, or merged from a group near it, is sealed and left alone, and a tier of
+few small shards waits, so each document is rewritten about once a tier. A new manifest becomes visible by the atomic rename of its version
 file, which fails if another writer was first; files no version names are invisible.
 
 Rows are dealt by group, whose bytes are bounded by the target, so no partition is larger than a shard.
@@ -28,6 +28,11 @@ BASE_BYTES = 1 << 20
 FANOUT = 4
 FULL = 0.5  # share of the target from which a shard is left alone
 ARRIVAL_DOCS = 4096
+ROW_GROUP_BYTES = 16 << 20  # so that readers can split a shard
+WAVE_SHARDS = 20_000  # merged by one job; bounds what is broadcast to a line for each of them
+
+
+PARQUET = {"compression": "zstd", "parquet.block.size": str(ROW_GROUP_BYTES)}
 
 
 class ShardStore:
@@ -41,13 +46,13 @@ class ShardStore:
         return sorted(int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()) if fs.exists(p) else []
 
     def manifest(self, version: int | None = None) -> DataFrame | None:
-        """The live shards of a version (the last one): file, bytes, docs; None before the first commit."""
+        """The live shards of a version (the last one); None before the first commit."""
         found = self.versions()
         if not found:
             return None
         version = found[-1] if version is None else version
         line = self.spark.read.text(f"{self.path}/versions/{version:010d}").first()[0]
-        return self.spark.read.schema("file string, bytes long, docs long").parquet(f"{self.path}/manifests/{json.loads(line)['manifest']}")
+        return self.spark.read.schema("file string, bytes long, docs long, sealed boolean").parquet(f"{self.path}/manifests/{json.loads(line)['manifest']}")
 
     def _commit(self, manifest: DataFrame, version: int) -> int:
         """Writes the manifest, then renames its version file into place; raises if that version exists."""
@@ -64,7 +69,7 @@ class ShardStore:
         context.rename(fs.makeQualified(tmp), fs.makeQualified(final), none)  # without OVERWRITE: one writer wins
         return version
 
-    def _written(self, folder: str) -> DataFrame:
+    def _written(self, folder: str, sealed: list[str] | None = None) -> DataFrame:
         """The manifest rows of a folder of parquet files; sizes come from the listing, counts from footers."""
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
         files = files.select(F.col("path").alias("file"), F.col("length").alias("bytes"))
@@ -72,23 +77,27 @@ class ShardStore:
         docs = rows.select(F.col("_metadata.file_path").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("docs"))
         # both columns name the same files, one with an empty authority
         plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-        return files.join(docs, plain(files["file"]) == plain(docs["f"])).select("file", "bytes", "docs")
+        full = F.col("bytes") >= FULL * self.target
+        if sealed:  # the groups that were near the target, whatever the size they compress to together
+            full = full | F.regexp_extract("file", "__group=([^/]+)/", 1).isin(sealed)
+        rows = files.join(docs, plain(files["file"]) == plain(docs["f"]), "left")
+        return rows.select("file", "bytes", F.coalesce("docs", F.lit(0)).alias("docs"), full.alias("sealed"))
 
     def append(self, docs: DataFrame) -> int:
         """Adds docs as small shards of at most ARRIVAL_DOCS rows, as Spark's tasks find them; no shuffle.
         Gives the new version. An empty table commits a version without new shards."""
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        docs.write.option("compression", "zstd").option("maxRecordsPerFile", ARRIVAL_DOCS).parquet(folder)
+        docs.write.options(**PARQUET).option("maxRecordsPerFile", ARRIVAL_DOCS).parquet(folder)
         last = self.versions()
         new = self._written(folder)
         old = self.manifest()
         return self._commit(new if old is None else old.unionByName(new), last[-1] + 1 if last else 1)
 
     def plan(self, force: bool = False) -> DataFrame:
-        """file, bytes, docs, group of the shards to merge: groups of similar sizes and about the target. A
+        """file, bytes, docs, group and its size of the shards to merge: groups of similar sizes and about the target. A
         group of fewer than FANOUT shards waits until it fills the target, unless force."""
         live = self.manifest()
-        small = live.where(F.col("bytes") < FULL * self.target)
+        small = live.where(~F.col("sealed") & (F.col("docs") > 0))
         tier = F.greatest(F.lit(0), F.floor(F.log(F.col("bytes") / BASE_BYTES) / F.log(F.lit(float(FANOUT))))).cast("int")
         small = small.withColumn("tier", F.lit(0) if force else tier)
         order = Window.partitionBy("tier").orderBy("bytes", "file").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,27 +105,30 @@ class ShardStore:
         each = Window.partitionBy("tier", "group")
         small = small.withColumns({"n": F.count(F.lit(1)).over(each), "size": F.sum("bytes").over(each)})
         due = (F.col("n") > 1) & (F.lit(force) | (F.col("n") >= FANOUT) | (F.col("size") >= FULL * self.target))
-        return small.where(due).select("file", "bytes", "docs", F.concat_ws("-", "tier", "group").alias("group"))
+        return small.where(due).select("file", "bytes", "docs", "size", F.concat_ws("-", "tier", "group").alias("group"))
 
     def compact(self, force: bool = False) -> int | None:
-        """Merges the planned groups, one shard each, and commits; None if there is nothing to merge."""
+        """Merges the planned groups, one shard each, and commits; None if there is nothing to merge. A plan of
+        more than WAVE_SHARDS shards is merged in several calls."""
         version = self.versions()[-1]
-        chosen = self.plan(force)
-        lines = chosen.collect()  # a line a shard
+        lines = self.plan(force).orderBy("group", "file").limit(WAVE_SHARDS + 1).collect()
         if not lines:
             return None
+        if len(lines) > WAVE_SHARDS:  # the last group may be cut short; alone it is merged in parts
+            lines = [r for r in lines if r["group"] != lines[-1]["group"]] or lines
         plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
         rows = self.spark.read.parquet(*(r["file"] for r in lines))
         columns = rows.columns
         rows = rows.withColumn("__file", plain(F.col("_metadata.file_path")))
         groups = self.spark.createDataFrame([(r["file"], r["group"]) for r in lines], "__name string, __group string")
-        dealt = rows.join(groups, rows["__file"] == plain(groups["__name"])).select(*columns, "__group")
+        dealt = rows.join(F.broadcast(groups), rows["__file"] == plain(groups["__name"])).select(*columns, "__group")
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         n = max(1, min(len({r["group"] for r in lines}), 100_000))
-        dealt.repartition(n, "__group").write.option("compression", "zstd").partitionBy("__group").parquet(folder)
+        dealt.repartition(n, "__group").write.options(**PARQUET).partitionBy("__group").parquet(folder)
         live = self.manifest(version)
         kept = live.join(groups.select(F.col("__name").alias("file")), "file", "left_anti")
-        return self._commit(kept.unionByName(self._written(folder)), version + 1)
+        sealed = sorted({r["group"] for r in lines if r["size"] >= FULL * self.target})
+        return self._commit(kept.unionByName(self._written(folder, sealed)), version + 1)
 
     def compact_all(self) -> int:
         """Merges until no group is due; each round has fewer shards. Gives the last version."""
