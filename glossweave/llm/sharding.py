@@ -79,7 +79,7 @@ class ShardStore:
         plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
         full = F.col("bytes") >= FULL * self.target
         if sealed:  # the groups that were near the target, whatever the size they compress to together
-            full = full | F.regexp_extract("file", "__group=([^/]+)/", 1).isin(sealed)
+            full = full | F.regexp_extract("file", "__sh_group=([^/]+)/", 1).isin(sealed)
         rows = files.join(docs, plain(files["file"]) == plain(docs["f"]), "left")
         return rows.select("file", "bytes", F.coalesce("docs", F.lit(0)).alias("docs"), full.alias("sealed"))
 
@@ -119,14 +119,14 @@ class ShardStore:
         plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
         rows = self.spark.read.parquet(*(r["file"] for r in lines))
         columns = rows.columns
-        rows = rows.withColumn("__file", plain(F.col("_metadata.file_path")))
-        groups = self.spark.createDataFrame([(r["file"], r["group"]) for r in lines], "__name string, __group string")
-        dealt = rows.join(F.broadcast(groups), rows["__file"] == plain(groups["__name"])).select(*columns, "__group")
+        rows = rows.withColumn("__sh_file", plain(F.col("_metadata.file_path")))
+        groups = self.spark.createDataFrame([(r["file"], r["group"]) for r in lines], "__sh_name string, __sh_group string")
+        dealt = rows.join(F.broadcast(groups), rows["__sh_file"] == plain(groups["__sh_name"])).select(*columns, "__sh_group")
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         n = max(1, min(len({r["group"] for r in lines}), 100_000))
-        dealt.repartition(n, "__group").write.options(**PARQUET).partitionBy("__group").parquet(folder)
+        dealt.repartition(n, "__sh_group").write.options(**PARQUET).partitionBy("__sh_group").parquet(folder)
         live = self.manifest(version)
-        kept = live.join(groups.select(F.col("__name").alias("file")), "file", "left_anti")
+        kept = live.join(groups.select(F.col("__sh_name").alias("file")), "file", "left_anti")
         sealed = sorted({r["group"] for r in lines if r["size"] >= FULL * self.target})
         return self._commit(kept.unionByName(self._written(folder, sealed)), version + 1)
 
@@ -142,7 +142,7 @@ class ShardStore:
         if not files:
             raise PySparkException("the store has no shards")
         rows = self.spark.read.parquet(*files)
-        return rows.withColumn("__shard", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/?([^/]+)$", 0))
+        return rows.withColumn("__sh_shard", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/?([^/]+)$", 0))
 
     def vacuum(self, keep: int = 1) -> int:
         """Deletes data that none of the last keep versions names, and older versions; gives how many files."""
@@ -173,8 +173,8 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     store.append(docs)
     version = store.compact_all()
     name = lambda c: F.regexp_extract(c, "([^/]+)/?([^/]+)$", 0)
-    live = store.manifest(version).select(name(F.col("file")).alias("__name"), F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"))
-    live = live.withColumn("shard", F.row_number().over(Window.orderBy("__name")))  # a row a shard
+    live = store.manifest(version).select(name(F.col("file")).alias("__sh_name"), F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"))
+    live = live.withColumn("shard", F.row_number().over(Window.orderBy("__sh_name")))  # a row a shard
     rows = store.read(version)
-    own = rows.select(rows[id_col].cast("long").alias("doc_id"), F.octet_length(rows[text_col]).cast("long").alias("n_bytes"), F.sha2(rows[text_col].cast("binary"), 256).alias("text_sha256"), "__shard")
-    return own.join(live, own["__shard"] == live["__name"]).select("doc_id", "n_bytes", "text_sha256", "shard", "shard_bytes", "shard_docs", F.lit(version).alias("version"))
+    own = rows.select(rows[id_col].cast("long").alias("doc_id"), F.octet_length(rows[text_col]).cast("long").alias("n_bytes"), F.sha2(rows[text_col].cast("binary"), 256).alias("text_sha256"), "__sh_shard")
+    return own.join(live, own["__sh_shard"] == live["__sh_name"]).select("doc_id", "n_bytes", "text_sha256", "shard", "shard_bytes", "shard_docs", F.lit(version).alias("version"))

@@ -234,7 +234,7 @@ def test_components(spark):
 
 
 def test_shard_store(spark, odd_docs):
-    docs = spark.createDataFrame([(i, words(i, 200), "s") for i in range(400)], "doc_id long, text string, __shard2 string").repartition(8)
+    docs = spark.createDataFrame([(i, words(i, 200), "s") for i in range(400)], "doc_id long, text string, __group string").repartition(8)
     store = sharding.ShardStore(spark, fresh_path(spark, "store"), 60_000)
     assert store.versions() == [] and store.manifest() is None
     for part in range(3):
@@ -245,6 +245,7 @@ def test_shard_store(spark, odd_docs):
     assert len(after) < len(before) and sum(r.docs for r in after) == sum(r.docs for r in before) == 400
     assert all(r.bytes < 2.5 * 60_000 for r in after)
     assert sorted(r.doc_id for r in store.read().collect()) == list(range(400))
+    assert store.read().columns == ["doc_id", "text", "__group", "__sh_shard"]
     assert store.read(2).count() == sum(1 for i in range(400) if i % 3 < 2)  # older versions can be read
     with pytest.raises(Exception, match="exist"):
         store._commit(store.manifest(), last)  # another writer was first
