@@ -9,9 +9,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .functions import text as T
 from .operators import flatten
-from .operators.providers import Options
+from .operators.providers import Options, with_environment
 from .plans import localise
 from .plans.localise import Outputs
 from .sources import dxf, sinks
@@ -36,11 +35,11 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--source", default="auto")
     t.add_argument("--target", default="ru")
     t.add_argument("--api-key")
-    t.add_argument("--model", default="gpt-4o-mini")
+    t.add_argument("--model")
     t.add_argument("--base-url")
     t.add_argument("--temperature", type=float, default=0.2)
-    t.add_argument("--strict-mode", default="verbosity")
-    t.add_argument("--strict-value", type=float, default=0.5)
+    t.add_argument("--strict-mode")
+    t.add_argument("--strict-value", type=float)
     t.add_argument("--map-csv")
     t.add_argument("--texts-txt")
     t.add_argument("--translated-txt")
@@ -54,10 +53,6 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def strict_value(value: float) -> float:
-    return max(0.0, min(1.0, value))
-
-
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.command == "coverage":
         print(localise.check_and_enrich(spark, args.translations, args.extract, args.map).count())
@@ -75,8 +70,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
             return 2
         dxf.write_entities(localise.apply_dictionary(entities, args.mapping, args.source_en), args.input, args.output).count()
     else:
-        mode = args.strict_mode if args.strict_mode in T.REASONING_NOTES else "verbosity"
-        options = Options(args.provider, args.source, args.target, args.api_key, args.model, args.base_url, args.temperature, mode, strict_value(args.strict_value))
+        options = with_environment(Options(args.provider, args.source, args.target, args.api_key, args.model, args.base_url, args.temperature, args.strict_mode, args.strict_value))
         outputs = Outputs(args.texts_txt, args.translated_txt, args.map_csv, not args.no_txt, not args.no_map)
         done = localise.run_entities(entities, options, outputs, args.output, args.style)
         dxf.write_entities(done.entities, args.input, args.output).count()

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import importlib.util
 import json
+import os
 import urllib.parse
 import urllib.request
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.errors import PySparkRuntimeError
@@ -57,14 +58,52 @@ class Options:
     source_lang: str = "auto"
     target_lang: str = "ru"
     api_key: str | None = None
-    model: str = "gpt-4o-mini"
+    model: str | None = "gpt-4o-mini"
     base_url: str | None = None
     temperature: float = 0.2
-    strict_mode: str = "verbosity"
-    strict_value: float = 0.5
+    strict_mode: str | None = "verbosity"
+    strict_value: float | None = 0.5
     dictionary: dict[str, str] = field(default_factory=dict)
 
 
+def with_environment(options: Options, env: Mapping[str, str] = os.environ) -> Options:
+    """Settings left open taken from the environment; strictness clamped to 0..1 (0.5 if it is no number),
+    unknown modes verbosity."""
+    mode = (options.strict_mode or env.get("OPENAI_STRICT_MODE", "")).strip().lower()
+    value = options.strict_value
+    if value is None:
+        try:
+            value = float(env.get("OPENAI_STRICT_VALUE", ""))
+        except ValueError:
+            value = 0.5
+    return replace(
+        options,
+        provider=(options.provider or "google").lower(),
+        source_lang=options.source_lang or "auto",
+        target_lang=options.target_lang or "ru",
+        api_key=options.api_key or (env.get("OPENAI_API_KEY") if options.provider in ("chatgpt", "gpt", "openai") else None),
+        model=options.model or env.get("OPENAI_MODEL", "gpt-4o-mini"),
+        base_url=options.base_url or env.get("OPENAI_BASE_URL"),
+        strict_mode=mode if mode in T.REASONING_NOTES else "verbosity",
+        strict_value=max(0.0, min(1.0, value)),
+    )
+
+
+def message_of(reply) -> str:
+    """The first text that is not empty in a chat reply: objects, mappings or models of either; the content
+    of a choice's message (a text, or parts with texts), else the choice's own text."""
+    if hasattr(reply, "model_dump"):
+        reply = reply.model_dump()
+    get = lambda x, k: x.get(k) if isinstance(x, Mapping) else getattr(x, k, None)
+    for choice in get(reply, "choices") or []:
+        content = get(get(choice, "message"), "content") or get(choice, "text")
+        if isinstance(content, list):
+            content = "".join(x if isinstance(x, str) else get(x, "text") or "" for x in content)
+        if content:
+            return content
+    return ""
+
+
 def backend(options: Options) -> str:
     """The first backend of the provider's chain that can be built here."""
     name = (options.provider or "google").lower()
@@ -207,7 +246,7 @@ def _chatgpt(options: Options) -> Translate:  # pragma: no cover - network
             wanted = [(str(i), texts[i]) for i in part]
             messages = [{"role": "system", "content": system}, {"role": "user", "content": request(wanted)}]
             reply = client.chat.completions.create(model=options.model, messages=messages, response_format={"type": "json_object"}, **extra)
-            for i, t in zip(part, answers(reply.choices[0].message.content or "{}", wanted), strict=True):
+            for i, t in zip(part, answers(message_of(reply) or "{}", wanted), strict=True):
                 out[i] = t
         return out
 

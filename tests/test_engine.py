@@ -108,7 +108,7 @@ def test_text_pair_dictionary(spark, tmp_path):
 
 
 def test_sinks_and_coverage(spark, tmp_path):
-    texts = ["plain", ' "q", x ', "two\nlines", "", "é"]
+    texts = ["plain", ' "q", x ', "two\nlines", "", 'é\\P\\"']
     keys = spark.createDataFrame([(i, 9 - i, t) for i, t in enumerate(texts, 1)], "rn long, count long, text_en string")
     at = lambda n: f"file://{tmp_path}/{n}"
     sinks.write_frequency_csv(keys, at("f.csv"))

@@ -187,6 +187,22 @@ def test_provider_chain():
     assert list(providers.chunks(list("abcde"), 2)) == [["a", "b"], ["c", "d"], ["e"]]
 
 
+def test_options_from_the_environment():
+    env = {"OPENAI_API_KEY": "k", "OPENAI_STRICT_MODE": " EFFORT ", "OPENAI_STRICT_VALUE": "7", "OPENAI_MODEL": "m"}
+    got = providers.with_environment(providers.Options("openai", "", "", None, None, None, 0.2, None, None), env)
+    assert (got.source_lang, got.target_lang, got.api_key, got.model, got.strict_mode, got.strict_value) == ("auto", "ru", "k", "m", "effort", 1.0)
+    bare = providers.with_environment(providers.Options("deepl", model=None, strict_mode="x", strict_value=None), {"OPENAI_STRICT_VALUE": "much"})
+    assert (bare.api_key, bare.model, bare.strict_mode, bare.strict_value) == (None, "gpt-4o-mini", "verbosity", 0.5)
+
+
+def test_message_of():
+    from types import SimpleNamespace as S
+
+    assert providers.message_of(S(choices=[S(message=S(content=""), text=None), S(message=S(content="a"))])) == "a"
+    assert providers.message_of({"choices": [{"message": {"content": [{"text": "a"}, "b"]}}]}) == "ab"
+    assert providers.message_of({"choices": [{"text": "old"}]}) == "old" and providers.message_of({}) == "" and providers.message_of(None) == ""
+
+
 def test_translate(spark):
     keys = spark.createDataFrame([(1, " a\\Pb "), (2, "c"), (3, "d<>")], "rn long, text_en string")
     got = providers.translate(keys, providers.Options("dictionary", dictionary={" a\nb ": "x\ny", "c": "", "d__DXF_DIM__": "__DXF_DIM__e"}), 2)
