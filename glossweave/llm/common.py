@@ -2,74 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
+import contextlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import filesystem, fresh_path, materialize, shared_dir, table  # noqa: F401
+
 #: The white space that separates words, [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; only Spark opens the path."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir, which driver and executors share.
-
-    Where that setting is absent (tests, local mode) a temporary folder is set in its place.
-    The folder is removed when the application ends normally.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="glossweave-")
-        spark.sparkContext.setCheckpointDir(base)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base if base.startswith("/") else base
-    path = f"{base.rstrip('/')}/glossweave-{spark.sparkContext.applicationId}"
-    if path not in _CLEANED:
-        _CLEANED.add(path)
-        atexit.register(remove, spark, path)
-    return path
-
-
-_CLEANED: set[str] = set()
-
-
-def filesystem(spark: SparkSession, path: str):
-    """Hadoop's file system of a path, and the path as Hadoop's own type (driver side only)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of ours if the session still lives."""
-    try:
-        fs, p = filesystem(spark, path)
-        fs.delete(p, True)
-    except Exception:  # at exit the JVM may be gone; nothing to do then
-        pass
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it back: lineage ends here, and a lost
-    executor costs no recomputation of what came before."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; fold 0 is held out. A null id counts as fold 0."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)), F.lit(0))
@@ -84,9 +28,17 @@ def to_local(uri: str) -> tuple[object, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def trim() -> None:
+    """Gives memory that a finished task has freed back to the machine; Python workers live on and their
+    next task may be another operator's."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def module_path(*parts: str) -> str:
-    return os.path.join(os.path.dirname(__file__), *parts)
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

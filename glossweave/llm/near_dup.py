@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trim
 from .components import components
 
 M, ROWS, BASE, RATE = 252, 6, 1.001, 20.0
@@ -39,7 +39,8 @@ ROUNDS = 2
 RULED_OUT = 12.5
 CACHE_WORDS = 100_000
 NO_ID = 1 << 62  # nodes of classes whose documents all lack an id lie above
-SOME = 512  # documents sketched together
+SOME, SOME_CHARS = 512, 4_000_000  # documents sketched together, and their code points (one at least)
+ELEMENTS = 500_000
 BLOCK = 512
 _GOLD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -84,7 +85,9 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
         sizes = np.array([len(sets[i]) for i in todo])
         least = np.full((len(todo), M), np.inf)
         limit = (np.log(M) + reach) / (sizes * RATE)
-        _throw(np.concatenate([sets[i] for i in todo]), np.repeat(np.arange(len(todo)), sizes), limit, least)
+        every, owner = np.concatenate([sets[i] for i in todo]), np.repeat(np.arange(len(todo)), sizes)
+        for at in range(0, len(every), ELEMENTS):  # minima of parts merge
+            _throw(every[at : at + ELEMENTS], owner[at : at + ELEMENTS], limit, least)
         done = least.max(1) <= limit  # no later point can lower a register
         value = np.floor(1 - np.log(least[done]) / np.log(BASE))
         out[np.array(todo)[done]] = np.clip(value, 0, 65535).astype(np.uint16)
@@ -142,8 +145,11 @@ def _sketched(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), SOME):
-                part = pdf.iloc[at : at + SOME]
+            ends = np.cumsum([len(t) if t else 0 for t in pdf["text"]])
+            at = 0
+            while at < len(pdf):
+                end = min(at + SOME, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SOME_CHARS))))
+                part, at = pdf.iloc[at:end], end
                 sets = [shingles(t, k) for t in part["text"]]
                 regs = sketch(sets)
                 yield pd.DataFrame(
@@ -154,6 +160,8 @@ def _sketched(docs: DataFrame, k: int) -> DataFrame:
                         "regs": [r.astype(">u2").tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)],
                     }
                 )
+        _WORDS.clear()
+        trim()
 
     return docs.mapInPandas(run, "doc_id long, n long, set_id binary, regs binary")
 
@@ -192,6 +200,9 @@ def _confirmed(pairs: DataFrame, full: DataFrame, k: int, percent: int) -> DataF
                 out = estimate(np.frombuffer(ru, ">u2"), np.frombuffer(rv, ">u2"), nu, nv, percent / 100)[1]
                 keep[i] = not out and similar(own(u, tu), own(v, tv), percent)
             yield pdf.loc[keep, ["u", "v"]]
+        last.clear()
+        _WORDS.clear()
+        trim()
 
     return pairs.join(left, "u").join(right, "v").mapInPandas(run, "u long, v long")
 
@@ -304,6 +315,8 @@ def _across(now: DataFrame, full: DataFrame, k: int, percent: int) -> DataFrame:
                 yield pd.concat(found)
         if rest:
             yield _block(pd.concat(rest), k, percent)
+        _WORDS.clear()
+        trim()
 
     return blocks.mapInPandas(run, "u long, v long")
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize
+from .common import fold, materialize, trim
 
 BUCKETS = 1 << 18
 HALF = BUCKETS // 2
@@ -38,7 +38,7 @@ STRENGTH, LEAST, MOST, DRIFT = 8.0, 2.2, 6.0, 0.5
 CALIBRATION_FOLD = 4
 PREFIXES = (6, 5, 4, 3)
 WORDS = re.compile(r"[^\W_]+")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def places(unit: str) -> tuple[int, int]:
@@ -48,10 +48,10 @@ def places(unit: str) -> tuple[int, int]:
 
 
 class Buckets(dict):
-    """Word to the buckets of the word and its prefixes, for up to CACHE_WORDS words."""
+    """Word to the buckets of the word and its prefixes, for some words (an entry is some 500 bytes)."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= CACHE_WORDS // 8:
             self.clear()
         units = [word, *(word[:k] + "-" for k in PREFIXES if len(word) > k)]
         found = self[word] = tuple(b for u in units for b in places(u))
@@ -217,7 +217,9 @@ def _counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
                 n[y] += 1
         if sum(n):
             at = np.flatnonzero(c.sum(0))
-            yield pd.DataFrame({"b": [*at, -1], "c": [*c[0, at], n[0]], "t": [*c[1, at], n[1]]})
+            yield pd.DataFrame({"b": np.append(at, -1), "c": np.append(c[0, at], n[0]), "t": np.append(c[1, at], n[1])})
+        _BUCKETS.clear()
+        trim()
 
     rows = docs.mapInPandas(run, "b int, c long, t long").groupBy("b").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
     out = np.zeros((2, BUCKETS + 1), np.int64)  # bucket -1 holds the numbers
@@ -260,6 +262,8 @@ def _scored(docs: DataFrame, model: Model, extra: str) -> DataFrame:
             out["doc_id"] = pdf["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
             out[extra] = pdf[extra]
             yield out
+        by_word.clear()
+        trim()
 
     return docs.mapInPandas(run, f"x double, joined double, words long, score double, passages array<struct<start:int,end:int,score:double>>, doc_id long, {extra} {kind}")
 
@@ -325,5 +329,7 @@ def accept(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
         for texts in batches:
             rows = [features(m, by_word, t)[:2] for t in texts]
             yield pd.Series(m.probability(np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)))
+        by_word.clear()
+        trim()
 
     return docs.where(F.pandas_udf(run, "double")(docs[text_col]) < threshold)
