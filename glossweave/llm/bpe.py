@@ -4,7 +4,7 @@ For every prefix of a word the encoding has one last token: a token that ends th
 automaton over all tokens, which yields every suffix match) and is compatible with the last token
 of the prefix before it. Two tokens are compatible when their joined bytes encode to just those
 two. Following the stored lengths back from the end gives the ids. Words are cut by the usual
-pattern and, once encoded, kept in a bounded cache of the Python worker. No shuffle: one narrow
+pattern and, once encoded, kept in a bounded cache of the task. No shuffle: one narrow
 map over the scan, with memory bounded by an Arrow batch, one text and the cache.
 """
 
@@ -21,11 +21,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import trim
+
 #: Fixed values of the format: how text is cut before merging, and which bytes print as themselves.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PRINTABLE = (range(0x21, 0x7F), range(0xA1, 0xAD), range(0xAE, 0x100))
-#: Words remembered by a worker; the cache is emptied when it is full, which changes no result.
-CACHE_WORDS = 500_000
+#: Words remembered by a task; the cache is emptied when it is full, which changes no result.
+CACHE_WORDS = 400_000
 CACHE_WORD_CHARS = 64
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
@@ -78,6 +80,7 @@ class Bpe:
             a, b = (in_bytes(x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
             self.rank[self.ids[a], self.ids[b]] = (r, self.ids[a + b])
             merged.add(self.ids[a + b])
+        self.made = {self.rank[p][1]: (self.rank[p][0], *p) for p in self.rank}  # token: rank, left part, right part
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized") for t in spec.get("added_tokens", [])):
             raise ValueError("only plain added tokens are read")
@@ -108,11 +111,30 @@ class Bpe:
         key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
+            known = self.pairs[key] = self.stays_apart(left, right)
         return known
 
+    def stays_apart(self, left: int, right: int) -> bool:
+        """Whether no merge ever crosses the border of two tokens side by side. Merges are undone from the
+        last one backwards, on the part of either token that touches the border; a pair there that would
+        have merged before the parts it needs were used up crosses it. Of equal ranks the left merge
+        comes first."""
+        rank, made = self.rank, self.made
+        before = len(rank) + 1  # merges of lower rank find the two parts side by side
+        while True:
+            found = rank.get((left, right))
+            if found is not None and found[0] < before:
+                return False
+            a, b = made.get(left), made.get(right)
+            if a is None and b is None:
+                return True
+            if b is None or (a is not None and a[0] > b[0]):
+                before, left = a[0], a[2]
+            else:
+                before, right = b[0] + 1, b[1]
+
     def whole(self, token: int) -> bool:
         """Whether the token's bytes encode to that token alone."""
         known = self.alone.get(token)
@@ -201,6 +223,8 @@ def _over(docs: DataFrame, id_col: str, text_col: str, path: str | None, schema:
                 out = pd.DataFrame([row(bpe, t or "") for t in part.iloc[:, 1]], columns=[c.split()[0] for c in schema.split(", ")][1:])
                 out.insert(0, "doc_id", part.iloc[:, 0].astype("Int64").to_numpy(dtype=object, na_value=None))
                 yield out
+        bpe.cache.clear()  # the vocabulary and the pairs stay for the worker's next task
+        trim()
 
     return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInPandas(run, schema)
 
