@@ -155,7 +155,7 @@ def write_entities(entities: DataFrame, source: str, out: str) -> DataFrame:
     spark = entities.sparkSession
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][xX][fF]").load(source).select(F.col("path").alias("doc_id"), "content")
 
-    def run(key, mine: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, mine: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(mine):
             return pd.DataFrame({"doc_id": [], "output": []})
         some = lambda v: [] if v is None else list(v)
