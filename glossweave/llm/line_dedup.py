@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize
+from .common import SPACE, materialize, trim
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -154,6 +154,7 @@ def postings_of(docs: DataFrame, min_chars: int, id_col: str, text_col: str) ->
                         hashes += [text_hash(text)] * len(own)
                         keys += own
             yield pd.DataFrame({"key": keys, "doc_id": pd.Series(ids, dtype=object), "text_hash": hashes})
+        trim()
 
     return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInPandas(run, "key binary, doc_id long, text_hash binary")
 
@@ -164,7 +165,7 @@ def count_refs(postings: DataFrame) -> DataFrame:
 
 
 def _build(hot: DataFrame, n_shards: int) -> DataFrame:
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         f = CuckooFilter(len(pdf))
         f.insert(list(pdf["key"]))
         return pd.DataFrame({"shard": [key[0]], "table": [f.to_bytes()]})
@@ -193,7 +194,7 @@ def _changed(index: LineIndex, postings: DataFrame, touched: DataFrame) -> LineI
     delta = up.unionByName(down)
     delta = delta.select("key", "up", shard_of(delta["key"], index.n_shards).alias("shard"))
 
-    def apply(key, was: pd.DataFrame, change: pd.DataFrame) -> pd.DataFrame:
+    def apply(key: tuple, was: pd.DataFrame, change: pd.DataFrame) -> pd.DataFrame:
         f = CuckooFilter(raw=was["table"].iloc[0]) if len(was) else CuckooFilter(4 * len(change))
         if len(change):
             f.delete(list(change["key"][~change["up"].astype(bool)]))
@@ -236,6 +237,8 @@ def _suspects(index: LineIndex, postings: DataFrame) -> DataFrame:
                     at = np.flatnonzero(shards == s)
                     hit[at] = filters[s].contains([bytes(k) for k in pdf["key"].iloc[at]])
             yield pdf.loc[hit, ["key", "doc_id", "text_hash"]]
+        filters.clear()
+        trim()
 
     with_shard = postings.select("key", "doc_id", "text_hash", shard_of(postings["key"], index.n_shards).alias("shard"))
     return with_shard.mapInPandas(probe, "key binary, doc_id long, text_hash binary")
@@ -266,6 +269,7 @@ def clean(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: s
             out = pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept_sha256", "kept_text"][: 3 + with_text])
             out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
             yield out
+        trim()
 
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return _with_drops(index, own, "doc_id", "text").select("doc_id", "text", F.col("__drop").alias("drop")).mapInPandas(run, schema)
@@ -289,8 +293,10 @@ def _with_drops(index: LineIndex, docs: DataFrame, id_col: str, text_col: str) -
         .agg(F.collect_set("key").alias("__drop"))  # at most the lines of one text
     )
 
-    def hashes(texts: pd.Series) -> pd.Series:
-        return pd.Series([text_hash(t) if t and len(t) >= min_chars else None for t in texts], dtype=object)
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([text_hash(t) if t and len(t) >= min_chars else None for t in texts], dtype=object)
+        trim()
 
     own = docs.withColumn("__own", F.pandas_udf(hashes, "binary")(docs[text_col]))
     return own.join(drops, own[id_col].cast("long").eqNullSafe(drops["__d"]) & (own["__own"] == drops["__h"]), "left").drop("__own", "__d", "__h")
@@ -300,8 +306,10 @@ def replace_text(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text
     """docs, all columns and rows, with the lines removed from their texts; null text stays null."""
     min_chars = index.min_chars
 
-    def run(texts: pd.Series, drops: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else "\n".join(without(t, d, min_chars)) for t, d in zip(texts, drops, strict=True)], dtype=object)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, drops in batches:
+            yield pd.Series([None if t is None else "\n".join(without(t, d, min_chars)) for t, d in zip(texts, drops, strict=True)], dtype=object)
+        trim()
 
     rows = _with_drops(index, docs, id_col, text_col)
     # the condition keeps unchanged texts out of Python: they are sent as nulls
