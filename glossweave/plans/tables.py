@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
+from pyspark.errors import PySparkRuntimeError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is absent (tests, local mode) a temporary folder is set in its place.
-    The folder is removed when the application ends normally.
+    Where that setting is absent in local mode (tests) a temporary folder is set in its place; with
+    executors of their own that is an error, as they would not see it. The folder is removed when the
+    application ends normally.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not is_local(spark.sparkContext.master):
+            raise PySparkRuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="glossweave-")
         spark.sparkContext.setCheckpointDir(base)
     fs, p = filesystem(spark, base)
@@ -36,6 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANED: set[str] = set()
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def filesystem(spark: SparkSession, path: str):
     """Hadoop's file system of a path, and the path as Hadoop's own type (driver side only)."""
     jvm = spark.sparkContext._jvm
@@ -61,4 +71,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     executor costs no recomputation of what came before."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[back] = path
+    return back
+
+
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes the files of materialised tables that nothing reads any more; others are left alone."""
+    for df in tables:
+        path = _WRITTEN.pop(df, None) if df is not None else None
+        if path:
+            remove(df.sparkSession, path)

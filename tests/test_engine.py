@@ -247,11 +247,37 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_entry_without_the_optional_folders(tmp_path):
-    """The registry and the library import when the optional subpackage and the pipeline are gone."""
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_optional_folders(tmp_path, pipeline):
+    """With exactly the optional folders deleted (and the pipeline beside them or not) the registry
+    imports and holds the engine's queries, and the other tests are still found."""
     import shutil
 
     to = tmp_path / "repo"
-    shutil.copytree(REPO, to, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
-    code = "import __spark_entry__ as e, glossweave.cli; q = e.queries(); assert 'text_bag' in q and not any(n.startswith('op') or n == 'pipeline' for n in q if n not in ('output_settings',)); e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=to, check=True, env=os.environ | {"PYTHONPATH": str(to)})
+    shutil.copytree(REPO, to, ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse"))
+    for folder in ("glossweave/llm", "tests/llm"):
+        shutil.rmtree(to / folder, ignore_errors=True)
+    if not pipeline:
+        (to / "corpus_pipeline.py").unlink(missing_ok=True)
+    env = os.environ | {"PYTHONPATH": str(to)}
+    code = "import __spark_entry__ as e, glossweave.cli; from glossweave.plans.queries import QUERIES as q, ORACLES as o; assert e.queries() == q and e.oracle_sql() == o"
+    subprocess.run([sys.executable, "-c", code], cwd=to, check=True, env=env)
+    # collects everything; those run here need no session of their own
+    subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "-k", "test_message_of or test_replies"], cwd=to, check=True, env=env, stdout=subprocess.DEVNULL)
+
+
+def test_shared_folder(spark, monkeypatch):
+    """A machine-local folder stands in for the shared one in local mode only; released tables leave it."""
+    from glossweave.plans import tables
+
+    assert tables.is_local("local") and tables.is_local("local[4]") and not any(map(tables.is_local, ("local-cluster[2,1,1024]", "yarn", "spark://h:7077", "k8s://h")))
+    kept = tables.materialize(spark.range(3).toDF("x"), "kept")
+    fs, p = tables.filesystem(spark, tables._WRITTEN[kept])
+    assert fs.exists(p) and kept.count() == 3
+    tables.release(kept, None, spark.range(1))
+    assert not fs.exists(p)
+    monkeypatch.setattr(tables, "is_local", lambda master: False)
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+        with pytest.raises(PySparkException):
+            tables.shared_dir(spark)
