@@ -7,7 +7,7 @@ import contextlib
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.tables import filesystem, fresh_path, materialize, shared_dir, table  # noqa: F401
+from ..plans.tables import filesystem, fresh_path, materialize, release, shared_dir, table  # noqa: F401
 
 #: The white space that separates words, [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,12 +26,15 @@ def components(edges: DataFrame) -> DataFrame:
         step = e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p"))
         step = materialize(step, "cc-step")
         second = step.select(F.col("a").alias("p"), F.col("p").alias("q"))
-        step = materialize(step.join(second, "p").select("a", "q"), "cc-jump")  # every node has a pointer
+        jump = materialize(step.join(second, "p").select("a", "q"), "cc-jump")  # every node has a pointer
+        release(step)
         if found is None:
-            found = step.select(F.col("a").alias("node"), F.col("q").alias("label"))
+            found = materialize(jump.select(F.col("a").alias("node"), F.col("q").alias("label")), "cc-labels")
         else:
-            moved = found.join(step.select(F.col("a").alias("label"), F.col("q").alias("to")), "label", "left")
-            found = materialize(moved.select("node", F.coalesce("to", "label").alias("label")), "cc-labels")
-        to_a, to_b = step.select("a", F.col("q").alias("x")), step.select(F.col("a").alias("b"), F.col("q").alias("y"))
-        e = e.join(to_a, "a").join(to_b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        e = materialize(e, "cc-edges")
+            moved = found.join(jump.select(F.col("a").alias("label"), F.col("q").alias("to")), "label", "left")
+            last, found = found, materialize(moved.select("node", F.coalesce("to", "label").alias("label")), "cc-labels")
+            release(last)
+        to_a, to_b = jump.select("a", F.col("q").alias("x")), jump.select(F.col("a").alias("b"), F.col("q").alias("y"))
+        left = e.join(to_a, "a").join(to_b, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        last, e = e, materialize(left, "cc-edges")
+        release(last, jump)

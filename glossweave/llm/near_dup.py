@@ -11,11 +11,12 @@ With 42 bands of 6 registers a pair of similarity 0.8 is missed with probability
 
 Links are needed only between classes that are not connected yet. So a bucket is not expanded into its
 pairs: in two rounds all members meet one of them (the smallest, then one drawn at random) and links
-are contracted to components. What is still apart is compared by families, the members of all buckets
-with one smallest member: those outside a family's largest component are held against those of other
-components, in blocks of at most some BLOCK times BLOCK members, by registers first and full sets
-after, and only links leave a block. No pair that could add a link is left out. Hot buckets and copies
-go through partial aggregates, blocks and joins that AQE can split.
+are contracted to components. What is still apart is compared bucket by bucket: members outside a
+bucket's largest component are held against those of other components, in blocks of at most some BLOCK
+times BLOCK members that carry registers but no texts; a pair that shares several buckets is taken up
+in the first. Pairs that the registers do not rule out leave a block and are confirmed on the full sets.
+No pair that could add a link is left out. Buckets of more than HOT members are dealt out by a salt, and
+so is the text of a class that meets many; copies go through partial aggregates.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, trim
+from .common import materialize, release, trim
 from .components import components
 
 M, ROWS, BASE, RATE = 252, 6, 1.001, 20.0
@@ -38,10 +39,10 @@ ROUNDS = 2
 #: Log-likelihood by which the threshold must fall short of the best similarity (five deviations).
 RULED_OUT = 12.5
 CACHE_WORDS = 100_000
-NO_ID = 1 << 62  # nodes of classes whose documents all lack an id lie above
+HOT = 1024  # members of a bucket that one task may join
 SOME, SOME_CHARS = 512, 4_000_000  # documents sketched together, and their code points (one at least)
 ELEMENTS = 500_000
-BLOCK = 512
+BLOCK, PAIRS = 512, 16_384  # members a side of a block; pairs whose registers are compared at once
 _GOLD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -140,8 +141,14 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def document_key(doc_id: Column, text: Column) -> Column:
+    """16 bytes that stand for an id (or its lack) and a text: rows that share them are one document."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("none")), F.lit(" "), F.coalesce(text, F.lit("")))))
+
+
 def _sketched(docs: DataFrame, k: int) -> DataFrame:
-    """docs: doc_id, text. Gives doc_id, n, set_id (128 bits), regs (2 bytes a register; null if empty)."""
+    """docs: doc_id, doc_key, text. Gives doc_id, doc_key, n, set_id (128 bits), regs (2 bytes a register;
+    null if empty)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -155,6 +162,7 @@ def _sketched(docs: DataFrame, k: int) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None),
+                        "doc_key": part["doc_key"].to_numpy(),
                         "n": [len(s) for s in sets],
                         "set_id": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                         "regs": [r.astype(">u2").tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)],
@@ -163,22 +171,25 @@ def _sketched(docs: DataFrame, k: int) -> DataFrame:
         _WORDS.clear()
         trim()
 
-    return docs.mapInPandas(run, "doc_id long, n long, set_id binary, regs binary")
+    return docs.mapInPandas(run, "doc_id long, doc_key binary, n long, set_id binary, regs binary")
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """One row a set: node (its smallest id), set_id, n, regs."""
-    full = rows.where("n > 0")
-    ids = full.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    node = F.coalesce("doc_id", F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("set_id"), 2))
-    one = full.select("set_id", "regs").groupBy("set_id").agg(F.min("regs").alias("regs"))  # the same for all
-    return ids.select("set_id", "n", node.alias("node")).join(one, "set_id")
+    """One row a set: node (a number of its own, fixed as the table is written), set_id, n, regs, and first,
+    the smallest id of its documents (those without one come last) with that document's key."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc_key")).alias("first")
+    one = rows.where("n > 0").groupBy("set_id").agg(first, F.max("n").alias("n"), F.min("regs").alias("regs"))  # n and regs are the same for all
+    return one.select(F.monotonically_increasing_id().alias("node"), "set_id", "n", "regs", "first")
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs: u, v; full: node, n, regs, text. The pairs whose full sets are similar enough."""
-    left = full.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("regs").alias("ru"), F.col("text").alias("tu"))
-    right = full.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("regs").alias("rv"), F.col("text").alias("tv"))
+    """pairs: u, v, sv and perhaps su; full: node, n, regs, text. The pairs whose full sets are similar enough.
+    su and sv spread the classes that meet many: each value has a copy of the class's text."""
+
+    def side(x: str, spread: bool) -> tuple[DataFrame, list[str]]:
+        by = [x, f"s{x}"] if spread else [x]
+        wanted = full.join(pairs.select(F.col(x).alias("node"), f"s{x}").distinct(), "node") if spread else full
+        return wanted.select(F.col("node").alias(x), *by[1:], *(F.col(c).alias(c[0] + x) for c in ("n", "regs", "text"))), by
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: dict[int, np.ndarray] = {}  # the sets of a few documents met last
@@ -204,155 +215,174 @@ def _confirmed(pairs: DataFrame, full: DataFrame, k: int, percent: int) -> DataF
         _WORDS.clear()
         trim()
 
-    return pairs.join(left, "u").join(right, "v").mapInPandas(run, "u long, v long")
+    (left, by_u), (right, by_v) = side("u", "su" in pairs.columns), side("v", True)
+    return pairs.join(left, by_u).join(right, by_v).mapInPandas(run, "u long, v long")
 
 
-def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a row of docs: doc_id, n_shingles, component_id, kept.
+def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    doc_id, text = docs[id_col].cast("long"), docs[text_col]
+    return docs.select(doc_id.alias("doc_id"), document_key(doc_id, text).alias("doc_key"), text.alias("text"))
 
-    Sets are linked with 100 * intersection >= percent * union. component_id is the smallest id reachable.
-    Null or wordless text has an empty set, linked with nothing: its component is its own id. Rows of one
-    id are one document. A null id takes part; a component without any id has a null component_id, and
-    its rows are kept. Ties cannot occur. Other columns are ignored; an empty table gives an empty table.
-    """
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+
+def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """One row a row of docs: doc_id, doc_key, n, and g: the first document (as in _classes) of its component;
+    null for an empty set."""
+    own = _own(docs, id_col, text_col)
     rows = materialize(_sketched(own, k), "near-rows")
     classes = materialize(_classes(rows), "near-classes")
     bands = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     bucket = F.xxhash64("band", F.substring("regs", F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS)))
-    banded = classes.select("node", "n", "regs", bands.alias("band")).select(bucket.alias("bucket"), "node", "n")
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    members = materialize(banded.join(shared, "bucket"), "near-members")
-    nodes = materialize(members.select("node").distinct(), "near-nodes")
-    # one row of docs for each candidate node carries its text: the row of the smallest id, or any of null id
-    held = classes.join(nodes, "node", "left_semi").select("node", "set_id", "n", "regs")
-    picked = rows.select("doc_id", "set_id").join(held.select("set_id", "node"), "set_id")
-    with_id = picked.where(F.col("doc_id") == F.col("node")).select("doc_id").distinct()
-    texts = own.join(with_id, "doc_id").groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text"))
-    labels = nodes.select("node", F.col("node").alias("label"))
-    if not picked.where("node >= %d" % NO_ID).isEmpty():
-        texts = texts.unionByName(_texts_without_id(own, picked, k))
-    full = materialize(held.join(texts, "node").select("node", "n", "regs", "text"), "near-full")
+    banded = classes.select("node", "n", "regs", bands.alias("band")).select(bucket.alias("bucket"), "node", "n", F.col("band").cast("byte").alias("band"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket", F.ceil(F.col("c") / HOT).cast("int").alias("salts"))
+    salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
+    members = materialize(banded.join(shared, "bucket").withColumn("salt", salt), "near-members")
+    labels = materialize(members.select("node").distinct().select("node", F.col("node").alias("label")), "near-labels")
+    # the text of each candidate class is that of its first document
+    held = classes.join(labels.select("node"), "node", "left_semi").select("node", "n", "regs", F.col("first.doc_key").alias("doc_key"))
+    texts = own.select("doc_key", "text").join(held.select("doc_key", "node"), "doc_key").groupBy("node").agg(F.min("text").alias("text"))
+    full = materialize(held.select("node", "n", "regs").join(texts, "node"), "near-full")
+    written = members
     for r in range(ROUNDS + 1):
-        now = materialize(members.join(labels, "node").select("bucket", "node", "n", "label"), "near-labelled")
-        open_ = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-        now = materialize(now.join(open_, "bucket", "left_semi"), "near-open")
-        if now.isEmpty():
+        now = materialize(members.join(labels, "node"), "near-now")
+        met = materialize(_with_heads(now, r), "near-open")
+        release(now, written)
+        if met.isEmpty():
             break
         if r < ROUNDS:
-            pairs = _with_heads(now, r, percent).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-            links = materialize(_confirmed(materialize(pairs, "near-pairs"), full, k, percent), "near-links")
+            close = F.least("n", "nv") * 100 >= percent * F.greatest("n", "nv")
+            pairs = met.where((F.col("label") != F.col("lv")) & close).groupBy(F.col("node").alias("u"), "v").agg(F.max("salt").alias("sv"))
         else:
-            links = materialize(_across(now, full, k, percent).distinct(), "near-links")
-        by_node = labels.withColumnRenamed("label", "lu").withColumnRenamed("node", "u")
+            pairs = _across(met, full, percent)
+        pairs = materialize(pairs, "near-pairs")
+        links = materialize(_confirmed(pairs, full, k, percent), "near-links")
+        by_node = labels.select(F.col("node").alias("u"), F.col("label").alias("lu"))
         edges = links.join(by_node, "u").join(labels.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v")
         moved = components(edges.select(F.col("lu").alias("a"), F.col("lv").alias("b")))
-        moved = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
-        labels = materialize(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "near-labels")
-    of_set = classes.select("set_id", "node").join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("label"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(of_set, "set_id", "left")
-    component = F.when(F.col("label").isNull(), F.col("doc_id")).when(F.col("label") < NO_ID, F.col("label"))
-    out = out.withColumn("component_id", component)
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+        to = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        last, labels = labels, materialize(labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "near-labels")
+        release(pairs, links, moved, last)
+        members, written = met.select("bucket", "node", "n", "band", "salts", "salt"), met  # closed buckets stay closed
+    release(full)
+    firsts = labels.join(classes.select("node", "first"), "node").groupBy("label").agg(F.min("first").alias("g"))
+    of_set = classes.select("set_id", "node", "first").join(labels.join(firsts, "label").select("node", "g"), "node", "left").select("set_id", F.coalesce("g", "first").alias("g"))
+    return rows.select("doc_id", "doc_key", "n", "set_id").join(of_set, "set_id", "left").drop("set_id")
 
 
-def _texts_without_id(own: DataFrame, picked: DataFrame, k: int) -> DataFrame:
-    """node and text for classes that only rows without id belong to."""
-    wanted = picked.where("node >= %d" % NO_ID).select("set_id", "node").distinct()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"set_id": [hashlib.blake2b(shingles(t, k).tobytes(), digest_size=16).digest() for t in pdf["text"]], "text": pdf["text"]})
+def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a row of docs: doc_id, n_shingles, component_id, kept.
 
-    found = own.where("doc_id is null and text is not null").select("text").mapInPandas(run, "set_id binary, text string")
-    return found.join(wanted, "set_id").groupBy("node").agg(F.min("text").alias("text"))
+    Sets are linked with 100 * intersection >= percent * union. component_id is the smallest id reachable.
+    Null or wordless text has an empty set, linked with nothing: its component is its own id. Rows of one
+    id with different texts are linked by their own sets and may lie in different components. A null id
+    takes part; a component without any id has a null component_id, and its rows are kept. Ties cannot
+    occur. Other columns are ignored; an empty table gives an empty table.
+    """
+    out = _linked(docs, k, percent, id_col, text_col)
+    out = out.withColumn("component_id", F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("g.doc_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
-def _with_heads(now: DataFrame, r: int, percent: int) -> DataFrame:
-    """Every member of a bucket with one member of it, if they are not connected yet."""
+def _with_heads(now: DataFrame, r: int) -> DataFrame:
+    """now's rows in buckets whose members are not all connected yet, with one member of the bucket: v, nv, lv."""
     order = F.col("node") if r == 0 else F.xxhash64(F.lit(r), "node")
-    heads = now.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "n", "label")).alias("h"))
-    heads = heads.select("bucket", F.col("h.node").alias("v"), F.col("h.n").alias("nv"), F.col("h.label").alias("lv"))
-    close = F.least("n", "nv") * 100 >= percent * F.greatest("n", "nv")
-    return now.join(heads, "bucket").where((F.col("label") != F.col("lv")) & close).select(F.col("node").alias("u"), "v")
+    head = F.min(F.struct(order.alias("o"), "node", "n", "label")).alias("h")
+    heads = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("salts").alias("m"), head).where("x <> y")
+    salts = F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("salt")
+    heads = heads.select("bucket", salts, F.col("h.node").alias("v"), F.col("h.n").alias("nv"), F.col("h.label").alias("lv"))
+    return now.join(heads, ["bucket", "salt"])
 
 
-def _across(now: DataFrame, full: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links between members outside a family's largest component and members of other components.
+def _across(met: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs u, v that the registers do not rule out, of members outside a bucket's largest component and
+    members of other components, with the numbers of their blocks.
 
-    A family's minors and all its members are cut into blocks; each pair of blocks is one small group of
-    rows, which Python holds one at a time.
+    A bucket's minors and all its members are cut into blocks; each pair of blocks is one small group of
+    rows. A bucket of one block takes part with one row a member.
     """
-    heads = now.groupBy("bucket").agg(F.min("node").alias("family"))
-    rows = now.join(heads, "bucket").select("family", "node", "label").distinct()
-    counts = rows.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("family").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all")).where(F.col("all") > F.col("m.c"))
+    counts = met.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), F.max("salts").alias("salts"))
+    main = counts.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all"), F.max("salts").alias("salts"))
     cut = lambda n: F.ceil(n / BLOCK).cast("int")
-    main = main.select("family", F.col("m.label").alias("main"), cut(F.col("all")).alias("vk"), cut(F.col("all") - F.col("m.c")).alias("uk"))
-    rows = rows.join(main, "family").withColumn("is_main", F.col("label") == F.col("main"))
-    part = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    cols = ["family", "node", "label", "is_main"]
-    minors = rows.where(~F.col("is_main")).select(*cols, F.lit(True).alias("minor"), part(F.col("uk")).alias("ub"), each(F.col("vk")).alias("vb"))
-    every = rows.select(*cols, F.lit(False).alias("minor"), part(F.col("vk")).alias("vb"), each(F.col("uk")).alias("ub"))
-    blocks = minors.unionByName(every).join(full, "node")
-    blocks = blocks.repartition("family", "ub", "vb").sortWithinPartitions("family", "ub", "vb")
+    salts = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    main = main.select("bucket", salts, F.col("m.label").alias("main"), cut(F.col("all")).alias("vk"), cut(F.col("all") - F.col("m.c")).alias("uk"))
+    rows = met.select("bucket", "salt", "band", "node", "n", "label").join(main, ["bucket", "salt"])
+    is_main = F.col("label") == F.col("main")
+    part = lambda n: F.pmod(F.xxhash64(F.lit(7), "node"), n).cast("int")
+    place = lambda u, v, ub, vb: F.struct(u.alias("as_u"), v.alias("as_v"), ub.cast("int").alias("ub"), vb.cast("int").alias("vb"))
+    yes, no = F.lit(True), F.lit(False)
+    as_u = F.transform(F.sequence(F.lit(0), F.col("vk") - 1), lambda b: place(yes, no, part(F.col("uk")), b))
+    as_v = F.transform(F.sequence(F.lit(0), F.col("uk") - 1), lambda b: place(no, yes, b, part(F.col("vk"))))
+    many = F.when(is_main, as_v).otherwise(F.concat(as_u, as_v))
+    places = F.when((F.col("uk") == 1) & (F.col("vk") == 1), F.array(place(~is_main, yes, F.lit(0), F.lit(0)))).otherwise(many)
+    blocks = rows.select("bucket", "band", "node", "n", "label", is_main.alias("is_main"), F.explode(places).alias("p")).select("*", "p.*").drop("p")
+    blocks = blocks.join(full.select("node", "regs"), "node").repartition("bucket", "ub", "vb").sortWithinPartitions("bucket", "ub", "vb")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []  # the rows of a block that may go on in the next batch
-        held: tuple = ()
         for pdf in batches:
-            keys = list(zip(pdf["family"], pdf["ub"], pdf["vb"], strict=True))
-            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
-            found = []
-            for at, end in zip(starts, [*starts[1:], len(keys)], strict=True):
-                if rest and keys[at] != held:
-                    found.append(_block(pd.concat(rest), k, percent))
-                    rest = []
-                rest.append(pdf.iloc[at:end])
-                held = keys[at]
-            if found:
-                yield pd.concat(found)
+            new = pdf[["bucket", "ub", "vb"]].to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], (new[1:] != new[:-1]).any(1)))) if len(new) else []
+            if rest and len(new) and (rest[-1][["bucket", "ub", "vb"]].to_numpy()[-1] != new[0]).any():
+                yield survivors(pd.concat(rest), percent)
+                rest = []
+            if len(starts) > 1:
+                yield survivors(pd.concat([*rest, pdf.iloc[: starts[-1]]]), percent)
+                rest = []
+            if len(new):
+                rest.append(pdf.iloc[starts[-1] :])
         if rest:
-            yield _block(pd.concat(rest), k, percent)
-        _WORDS.clear()
+            yield survivors(pd.concat(rest), percent)
         trim()
 
-    return blocks.mapInPandas(run, "u long, v long")
+    found = blocks.mapInPandas(run, "u long, v long, su int, sv int")
+    return found.select("u", "v", "su", "sv")
 
 
 _GRID = np.linspace(0, 1, 101)
 
 
-def _block(pdf: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
-    """The links of a block: pairs that share a band, are not ruled out, and are confirmed."""
-    minor = pdf["minor"].to_numpy(bool)
-    us, vs = pdf[minor], pdf[~minor]
-    out: list[tuple[int, int]] = []
-    if len(us) and len(vs):
-        ru, rv = (np.frombuffer(b"".join(map(bytes, x["regs"])), ">u2").astype(np.uint16).reshape(-1, M) for x in (us, vs))
-        vn, vl, vm, vnode, vtext = vs["n"].to_numpy(), vs["label"].to_numpy(), vs["is_main"].to_numpy(bool), vs["node"].to_numpy(), list(vs["text"])
-        sets: dict[int, np.ndarray] = {}
-        for i, (node, n, label, text) in enumerate(zip(us["node"], us["n"], us["label"], us["text"], strict=True)):
-            fit = (vl != label) & (100 * np.minimum(vn, n) >= percent * np.maximum(vn, n)) & (vm | (node < vnode))
-            at = np.flatnonzero(fit)
-            same = rv[at] == ru[i]
-            band = same.reshape(len(at), BANDS, ROWS).all(2).any(1)
-            at, same = at[band], same[band]
-            if not len(at):
-                continue
-            less = (ru[i] < rv[at]).sum(1)
-            own = shingles(text, k)
-            for j in at[~_ruled_out(n, vn[at], M - less - same.sum(1), less, percent / 100)].tolist():
-                if j not in sets:
-                    sets[j] = shingles(vtext[j], k)
-                if similar(own, sets[j], percent):
-                    out.append((int(node), int(vnode[j])))
-    return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
-
-
-def _ruled_out(na: int, nb: np.ndarray, more: np.ndarray, less: np.ndarray, threshold: float) -> np.ndarray:
-    """estimate() for one set against many, on a coarser grid."""
+def survivors(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The pairs of some whole blocks (sorted) that are apart, similar in size, not ruled out by their
+    registers, and in no earlier bucket together."""
+    regs = np.frombuffer(b"".join(map(bytes, rows["regs"])), ">u2").astype(np.uint16).reshape(-1, M)
+    node, n, label, band = (rows[c].to_numpy(np.int64) for c in ("node", "n", "label", "band"))
+    is_main, as_u, as_v = (rows[c].to_numpy(bool) for c in ("is_main", "as_u", "as_v"))
+    block = rows[["bucket", "ub", "vb"]].to_numpy()
+    starts = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]).any(1))))
+    us, vs, held, out = [], [], 0, []
+
+    def compare() -> None:
+        u, v = np.concatenate(us), np.concatenate(vs)
+        for at in range(0, len(u), PAIRS):
+            a, b = u[at : at + PAIRS], v[at : at + PAIRS]
+            same = regs[a] == regs[b]
+            shared = same.reshape(len(a), BANDS, ROWS).all(2)
+            here = shared.any(1) & (shared.argmax(1) == band[a])
+            a, b, same = a[here], b[here], same[here]
+            less = (regs[a] < regs[b]).sum(1)
+            left = ~_ruled_out(n[a], n[b], M - less - same.sum(1), less, percent / 100)
+            out.append(np.column_stack([a[left], b[left]]))
+
+    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+        iu, iv = start + np.flatnonzero(as_u[start:end]), start + np.flatnonzero(as_v[start:end])
+        step = max(1, PAIRS // max(1, len(iv)))
+        for at in range(0, len(iu), step):
+            a, b = np.repeat(iu[at : at + step], len(iv)), np.tile(iv, len(iu[at : at + step]))
+            fit = (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (is_main[b] | (node[a] < node[b]))
+            us.append(a[fit])
+            vs.append(b[fit])
+            held += int(fit.sum())
+            if held >= PAIRS:
+                compare()
+                us, vs, held = [], [], 0
+    if held:
+        compare()
+    found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    a, b = found[:, 0], found[:, 1]
+    return pd.DataFrame({"u": node[a], "v": node[b], "su": rows["vb"].to_numpy()[a], "sv": rows["ub"].to_numpy()[a]})
+
+
+def _ruled_out(na: np.ndarray, nb: np.ndarray, more: np.ndarray, less: np.ndarray, threshold: float) -> np.ndarray:
+    """estimate() for many pairs, on a coarser grid."""
     u, v = (na / (na + nb))[:, None], (nb / (na + nb))[:, None]
     ll = _log_likelihood(_GRID[None, :], u, v, more[:, None], less[:, None])
     ll = np.where(_GRID[None, :] <= np.minimum(u / v, v / u) + 1e-9, ll, -np.inf)
@@ -360,6 +390,12 @@ def _ruled_out(na: int, nb: np.ndarray, more: np.ndarray, less: np.ndarray, thre
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' rows, all columns, that link() keeps."""
-    drop = link(docs, k, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, docs[id_col].cast("long") == drop["__drop"], "left_anti")
+    """docs' rows, all columns: of each component of link() the document with the smallest id, and of one
+    without any id the document first by the digest of its text. Rows of one id and text are one document,
+    rows without id and of one text likewise; they stay or go together. Empty sets stay."""
+    linked = _linked(docs, k, percent, id_col, text_col)
+    g = F.col("g.doc_id")
+    stays = F.when(F.col("g").isNull(), True).when(g.isNull(), F.col("doc_key") == F.col("g.doc_key")).otherwise(F.col("doc_id").eqNullSafe(g))
+    drop = linked.where(~stays).select(F.col("doc_key").alias("__near_drop")).distinct()
+    key = document_key(docs[id_col].cast("long"), docs[text_col])
+    return docs.join(drop, key == F.col("__near_drop"), "left_anti")

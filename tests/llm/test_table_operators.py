@@ -172,8 +172,11 @@ def family(n, seed=3):
 @pytest.mark.parametrize("rounds", [0, 2])
 @pytest.mark.parametrize("k", [2, 5])
 def test_near_duplicates(spark, monkeypatch, rounds, k):
+    """Small blocks, salts and chunks of pairs, so that a family needs several of each."""
     monkeypatch.setattr(near_dup, "ROUNDS", rounds)
     monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "HOT", 8)
+    monkeypatch.setattr(near_dup, "PAIRS", 50)
     rows = family(80)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = near_dup.link(docs, k).collect()
@@ -201,6 +204,60 @@ def test_near_duplicates_edges(spark, odd_docs, no_docs):
     assert {(r.component_id, r.kept) for r in near_dup.link(only_null, 2).collect()} == {(None, True)}
 
 
+def brute_rows(rows, k):
+    """Component of each row (id, text), rows being linked by their sets: the smallest id that is not null."""
+    sets = dict(enumerate(t for _, t in rows))
+    root = {i: c for i, (_, c) in brute_near(sets.items(), k).items()}
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[root[i]] = min(doc_id, least.get(root[i], doc_id))
+    return [least.get(root[i]) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates_of_repeated_and_missing_ids(spark, monkeypatch, rounds, k):
+    """Ids that occur with different texts lose no link, and rows without id are linked and go like others."""
+    monkeypatch.setattr(near_dup, "ROUNDS", rounds)
+    a, b, c, d = (words(i, 120) for i in (41, 42, 43, 44))
+    near = lambda t, n=1: t + " " + words(90 + n, n)
+    rows = [(5, a), (5, b), (9, near(a)), (9, near(a)), (None, near(a, 2)), (None, near(b)), (3, near(b, 2)), (7, c), (7, c), (None, c), (None, d), (None, d), (None, near(d)), (None, None), (None, " "), (8, None), (8, ""), (6, "lone text")]
+    docs = spark.createDataFrame([(*r, j) for j, r in enumerate(rows)], "doc_id long, text string, doc_key int")
+    want = brute_rows(rows, k)
+    assert want[:7] == [5, 3, 5, 5, 5, 3, 3]
+    got = Counter((r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in near_dup.link(docs, k).collect())
+    assert got == Counter((i, bool((t or "").split()), w, w is None or i == w) for (i, t), w in zip(rows, want, strict=True))
+    kept = sorted(r.doc_key for r in near_dup.keep_one(docs, k).collect())
+    lone = [j for j, (i, t) in enumerate(rows) if not (t or "").split()]
+    of_d = [j for j in (10, 11, 12) if j in kept]
+    assert sorted(j for j in kept if j not in (10, 11, 12)) == sorted({0, 6, 7, 8, 17, *lone})
+    assert of_d in ([10, 11], [12])  # one text of those without any id
+
+
+def test_hot_bucket_pairs(spark):
+    """survivors() against all pairs: members of one bucket that are apart, in one block and in many."""
+    import pandas as pd
+
+    base = np.random.default_rng(5).integers(0, 1 << 62, 900, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[i * 7 :], base[: i * 3] + np.uint64(i + 1)])) for i in range(40)]
+    regs = near_dup.sketch(sets)
+    rows = pd.DataFrame({"node": range(40), "n": [len(x) for x in sets], "label": [i // 2 for i in range(40)], "regs": [r.astype(">u2").tobytes() for r in regs]})
+    bands = regs.reshape(40, near_dup.BANDS, near_dup.ROWS)
+    blocks = []
+    for band in range(near_dup.BANDS):
+        for value in {tuple(b) for b in bands[:, band]}:
+            mine = rows[(bands[:, band] == value).all(1)]
+            main = mine["label"].value_counts().idxmax()
+            is_main = mine["label"] == main
+            blocks.append(mine.assign(bucket=len(blocks), band=band, ub=0, vb=0, is_main=is_main, as_u=~is_main, as_v=True))
+    got = near_dup.survivors(pd.concat(blocks), 80)
+    pairs = [tuple(sorted(p)) for p in zip(got["u"], got["v"], strict=True)]
+    assert len(pairs) == len(set(pairs))
+    true = {(i, j) for j in range(40) for i in range(j) if near_dup.similar(sets[i], sets[j], 80) and i // 2 != j // 2 and (bands[i] == bands[j]).all(1).any()}
+    assert true and true <= set(pairs)
+
+
 def test_sketch():
     r = np.random.default_rng(1)
     a = np.unique(r.integers(0, 1 << 62, 4000, dtype=np.uint64))
