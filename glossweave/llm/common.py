@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import filesystem, fresh_path, materialize, release, shared_dir, table  # noqa: F401
@@ -40,5 +40,12 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have, for columns on the way."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

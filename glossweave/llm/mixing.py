@@ -9,26 +9,31 @@ hypergeometric law (conditional hypergeometric draws, inverted from their exact
 the leaves are output shards with exact quotas. Every shard then takes the next blocks of each
 source's permuted sequence, so shards are disjoint, and is shuffled locally.
 
-Only (source, block) sums are shuffled, and joins are on (source, block), so a source with a third of
-all rows is spread over its blocks (at most MAX_BLOCKS of them; a block has some BLOCK_DOCS documents
-until then). Tables of sources are small and are never broadcast by hint: Spark decides by measured
-sizes.
+Shards hold some SHARD_WORDS words and SHARD_BLOCKS blocks each, so their number and that of the blocks
+follow the mix and no task grows with it. Only (source, block) sums are shuffled, and joins are on (source,
+block), so a source with a third of all rows is spread over its blocks; places in the permuted order are
+counted by segments of some SEGMENT blocks. Tables of sources are never broadcast by hint: Spark decides
+by measured sizes. The leaves are written once, before the blocks meet them.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize
+from ..operators.frequency import dense
+from .common import SPACE, materialize, release
 
 #: Fixed values of the contract: repeating weights and the most a source or document may be repeated.
 WEIGHTS = (5, 2, 1)
 MOST = 3
-SHARD_LEVELS = 6  # 64 shards
-MAX_BLOCKS, BLOCK_DOCS = 4096, 64
+SHARD_WORDS, SHARD_BLOCKS = 1 << 24, 64
+LEAST_LEVELS = 3  # eight shards at least
+TREE_STEP = 4  # levels of the tree between two written tables
+SEGMENT = 1024
 TOP_UP = 256
 TREE_SOURCES = 512  # sources that one tree deals out
 SEED = 20_240
@@ -85,30 +90,32 @@ def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Col
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """sizes: source, source_size, one row a source. Adds rank (by code point, null last), weight, target.
+    """sizes: source_size and a key of each source, __m_source, in the order of the sources. Adds rank, weight,
+    target.
 
-    A source is at its cap (most times its size) if, with all sources of a smaller cap a weight at
-    theirs, an equal share of the rest by weight would reach it.
+    The level of the water is raised until no more sources meet their cap (most times their size): each
+    round is one aggregate over the sources, whatever their number.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    w = sizes.withColumn("rank", F.row_number().over(by_name).cast("long"))
-    w = w.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("rank") - 1, F.lit(len(weights))).cast("int") + 1))
-    w = w.withColumn("cap", most * F.col("source_size"))
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    all_ = Window.partitionBy()
-    w = w.withColumn("left", F.sum("source_size").over(all_) - F.coalesce(F.sum("cap").over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = w.withColumn("heavy", F.sum("weight").over(by_cap.rowsBetween(0, Window.unboundedFollowing)))
-    w = w.withColumn("capped", F.col("left") * F.col("weight") >= F.col("cap") * F.col("heavy"))
-    rest = F.sum("source_size").over(all_) - F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0)).over(all_)
-    share = rest / F.sum(F.when(F.col("capped"), 0).otherwise(F.col("weight"))).over(all_)
-    return w.select(*sizes.columns, "rank", "weight", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share * F.col("weight")).alias("target"))
-
-
-def _deal(seed: int, level: int):
+    w = dense(sizes, "__m_source").withColumnRenamed("rn", "rank")
+    w = w.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("rank") - 1, F.lit(len(weights))).cast("int") + 1).cast("long"))
+    w = materialize(w.withColumn("cap", most * F.col("source_size")), "mix-caps")
+    total, free = w.agg(F.sum("source_size"), F.sum("weight")).first()
+    at_cap, share = 0, lambda rest, free: F.lit(float(rest)) * F.col("weight") / F.lit(float(free))
+    while free:
+        full = F.col("cap") <= share(total - at_cap, free)
+        caps, left = w.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if (caps or 0, left or 0) == (at_cap, free):
+            break
+        at_cap, free = caps or 0, left or 0
+    target = F.least(F.col("cap").cast("double"), share((total or 0) - at_cap, free)) if free else F.col("cap").cast("double")
+    return w.withColumn("target", target).drop("cap")
+
+
+def _deal(seed: int):
     """One conditional draw: the state keeps the blocks not yet passed and those the child still needs."""
 
     def take(a: Column, x: Column) -> Column:
-        u = _uniform(F.lit(seed + 1), F.lit(level), F.col("tree"), F.col("node"), F.size(a["out"]))
+        u = _uniform(F.lit(seed + 1), F.col("level"), F.col("tree"), F.col("node"), F.size(a["out"]))
         return _bind(hypergeometric(a["pop"], x, a["need"], u), lambda n: F.struct((a["pop"] - x).alias("pop"), (a["need"] - n).alias("need"), F.array_append(a["out"], n).alias("out")))
 
     return take
@@ -119,24 +126,25 @@ def shard_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     tree = F.floor((F.col("rank") - 1) / TREE_SOURCES)
     nodes = quotas.groupBy(tree.alias("tree")).agg(F.array_sort(F.collect_list(F.struct("rank", "quota"))).alias("all"))  # at most TREE_SOURCES
     nodes = nodes.select("tree", F.lit(0).cast("long").alias("node"), F.transform("all", lambda x: x["rank"]).alias("ranks"), F.transform("all", lambda x: x["quota"]).alias("q"))
+    total = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x)
+    odd = F.pmod(F.xxhash64(F.lit(seed), "level", "tree", "node"), F.lit(2))
+    start = F.struct(total.alias("pop"), F.floor((total + odd) / 2).cast("long").alias("need"), F.array().cast("array<bigint>").alias("out"))
+    left = F.aggregate("q", start, _deal(seed), lambda a: a["out"])  # the same expression on every level
+    pair = F.array(
+        F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("q")),
+        F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("q", "left", lambda a, b: a - b).alias("q")),
+    )
     for level in range(levels):
-        total = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x)
-        odd = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "tree", "node"), F.lit(2))
-        half = F.floor((total + odd) / 2).cast("long")
-        start = F.struct(total.alias("pop"), half.alias("need"), F.array().cast("array<bigint>").alias("out"))
-
-        left = nodes.withColumn("left", F.aggregate("q", start, _deal(seed, level), lambda a: a["out"]))
-        pair = F.array(
-            F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("q")),
-            F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("q", "left", lambda a, b: a - b).alias("q")),
-        )
-        nodes = left.select("tree", "ranks", F.explode(pair).alias("p")).select("tree", "ranks", "p.node", "p.q")
+        if level and level % TREE_STEP == 0:
+            nodes = materialize(nodes, "mix-nodes").repartition("tree", "node")
+        nodes = nodes.withColumn("level", F.lit(level)).withColumn("left", left).select("tree", "ranks", F.explode(pair).alias("p")).select("tree", "ranks", "p.node", "p.q")
     leaves = nodes.select(F.col("node").alias("shard"), F.explode(F.arrays_zip("ranks", "q")).alias("e"))
-    return leaves.select(F.col("e.ranks").alias("rank"), "shard", F.col("e.q").alias("n"))
+    return materialize(leaves.select(F.col("e.ranks").alias("rank"), "shard", F.col("e.q").alias("n")).where("n > 0"), "mix-leaves")
 
 
 def _key(source: Column) -> Column:
-    return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
+    """In the order of sources by code point, null last."""
+    return F.when(source.isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), source))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
@@ -149,24 +157,41 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
     )
 
 
-def _blocks(keyed: DataFrame, levels: int, seed: int, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame]:
-    """The sources (with target and n_blocks) and their drawn blocks (with draws and, in the last one of
-    the broken pass, the words to take in that pass)."""
+def _placed(sums: DataFrame, seed: int) -> DataFrame:
+    """sums: __m_source, n_blocks, __m_block, size. Adds pos and before, the blocks and the words ahead of a
+    block in the source's permuted order, and held, the source's blocks that hold documents. Sums run inside
+    segments of the permuting hash, then over the segments of a source."""
+    mixed = F.xxhash64(F.lit(seed + 2), "__m_source", "__m_block")
+    segment = F.floor(F.shiftrightunsigned(mixed, 11).cast("double") / float(1 << 53) * F.ceil(F.col("n_blocks") / SEGMENT))
+    sums = sums.withColumn("mixed", F.shiftrightunsigned(mixed, 11)).withColumn("segment", segment)
+    of = sums.groupBy("__m_source", "segment").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"))
+    ahead = Window.partitionBy("__m_source").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)  # a row a segment
+    whole = Window.partitionBy("__m_source")
+    of = of.select("__m_source", "segment", F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("c0"), F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("s0"), F.sum("c").over(whole).alias("held"))
+    order = Window.partitionBy("__m_source", "segment").orderBy("mixed", "__m_block")  # some SEGMENT rows
+    placed = sums.withColumn("pos", F.row_number().over(order).cast("long") - 1).withColumn("before", F.sum("size").over(order) - F.col("size"))
+    placed = placed.join(of, ["__m_source", "segment"])
+    return placed.withColumn("pos", F.col("pos") + F.col("c0")).withColumn("before", F.col("before") + F.col("s0")).drop("c0", "s0", "segment", "mixed")
+
+
+def _blocks(keyed: DataFrame, levels: int | None, seed: int, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame, int]:
+    """The sources (with target and n_blocks), their drawn blocks (with draws and, in the last one of
+    the broken pass, the words to take in that pass) and the levels of the tree."""
     sized = materialize(keyed.select("__m_source", "__m_hash", "__m_size"), "mix-sizes")
     raw = sized.groupBy("__m_source").agg(F.sum("__m_size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    named = raw.withColumn("source", F.when(F.col("__m_source") != "n", F.substring("__m_source", 2, 1 << 30)))
+    sources = targets(raw, weights, most)
+    words = sources.agg(F.sum("target")).first()[0] or 0.0
+    if levels is None:
+        levels = max(LEAST_LEVELS, math.ceil(math.log2(max(1.0, words / SHARD_WORDS))))
+    block_words = max(1.0, words / ((1 << levels) * SHARD_BLOCKS))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long")
-    sources = targets(named, weights, most).withColumn("full", full)
-    sources = sources.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("full") * F.col("source_size")))
-    sources = sources.withColumn("n_blocks", F.least(F.lit(MAX_BLOCKS), F.greatest(F.lit(1), F.floor(F.col("n_docs") / BLOCK_DOCS))).cast("long"))
+    sources = sources.withColumn("full", full).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("full") * F.col("source_size")))
+    sources = sources.withColumn("n_blocks", F.greatest(F.lit(1), F.least(F.col("n_docs"), F.ceil(F.col("source_size") / F.lit(block_words)))).cast("long"))
     sources = materialize(sources.select("__m_source", "rank", "source_size", "target", "full", "rest", "n_blocks"), "mix-sources")
     block = F.pmod(F.col("__m_hash"), F.col("n_blocks"))
     dealt_out = sized.join(sources.select("__m_source", "n_blocks"), "__m_source").withColumn("__m_block", block)
-    sums = dealt_out.groupBy("__m_source", "__m_block").agg(F.sum("__m_size").alias("size"))
-    order = Window.partitionBy("__m_source").orderBy(F.xxhash64(F.lit(seed + 2), "__m_source", "__m_block"), "__m_block")  # at most MAX_BLOCKS rows a source
-    placed = sums.withColumn("pos", F.row_number().over(order).cast("long") - 1).withColumn("before", F.sum("size").over(order) - F.col("size"))
-    placed = placed.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("__m_source")))
-    placed = placed.join(sources.select("__m_source", "rank", "full", "rest"), "__m_source")
+    sums = dealt_out.groupBy("__m_source", "n_blocks", "__m_block").agg(F.sum("__m_size").alias("size"))
+    placed = _placed(materialize(sums, "mix-sums"), seed).drop("n_blocks").join(sources.select("__m_source", "rank", "full", "rest"), "__m_source")
     broken = F.col("before") < F.col("rest")
     placed = materialize(
         placed.select(
@@ -176,9 +201,8 @@ def _blocks(keyed: DataFrame, levels: int, seed: int, weights: tuple[int, ...],
         ),
         "mix-blocks",
     )
-    quotas = placed.groupBy("rank").agg(F.sum("draws").alias("quota"))
-    leaves = shard_quotas(quotas, levels, seed)
-    runs = leaves.withColumn("end", F.sum("n").over(Window.partitionBy("rank").orderBy("shard"))).where("n > 0")  # a row a shard
+    leaves = shard_quotas(placed.groupBy("rank").agg(F.sum("draws").alias("quota")), levels, seed)
+    runs = leaves.withColumn("end", F.sum("n").over(Window.partitionBy("rank").orderBy("shard")))  # a row a shard
     dealt = runs.select("rank", F.col("shard").cast("int").alias("shard"), F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("draw"))
     each = placed.where("draws > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1)).alias("pass"))
     each = each.withColumn("draw", F.col("pass") * F.col("held") + F.col("pos")).join(dealt, ["rank", "draw"])
@@ -187,7 +211,9 @@ def _blocks(keyed: DataFrame, levels: int, seed: int, weights: tuple[int, ...],
         F.max("full").alias("__m_full"),
     )
     edges = placed.where("cut is not null").select("__m_source", "__m_block", "cut")
-    return sources, drawn.join(_cuts(dealt_out, edges), ["__m_source", "__m_block"], "left")
+    blocks = materialize(drawn.join(_cuts(dealt_out, edges), ["__m_source", "__m_block"], "left"), "mix-drawn")
+    release(sized, placed, leaves)
+    return sources, blocks, levels
 
 
 def _cuts(dealt_out: DataFrame, edges: DataFrame) -> DataFrame:
@@ -225,9 +251,10 @@ def _drawn(keyed: DataFrame, sources: DataFrame, blocks: DataFrame) -> DataFrame
     return rows.withColumn("__m_draws", draws).drop("__m_upto", "__m_extra", "__m_full", "__m_block")
 
 
-def plan(docs: DataFrame, levels: int = SHARD_LEVELS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def plan(docs: DataFrame, levels: int | None = None, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row a row of docs: doc_id, source, size, source_size, target and draws, an array of (pass,
-    shard) with an element for each time that the mix takes it.
+    shard) with an element for each time that the mix takes it. levels: the depth of the tree, for two to
+    that power shards; by the size of the mix if it is None.
 
     Null text has size 0. Null source is a source of its own, ranked last. Null ids are ids like others.
     Repeated rows (same id and text) and ties of the hash are drawn alike. A source of size 0
@@ -235,17 +262,19 @@ def plan(docs: DataFrame, levels: int = SHARD_LEVELS, seed: int = SEED, weights:
     """
     docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[source_col].cast("string").alias("source"))
     keyed = materialize(_keyed(docs, "doc_id", "text", "source", seed).drop("text"), "mix-keys")
-    sources, blocks = _blocks(keyed, levels, seed, weights, most)
+    sources, blocks, _ = _blocks(keyed, levels, seed, weights, most)
     rows = _drawn(keyed, sources, blocks)
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col("__m_size").alias("size"), F.col("__m_source_size").alias("source_size"), F.col("__m_target").alias("target"), F.col("__m_draws").alias("draws"))
 
 
-def mix(docs: DataFrame, levels: int = SHARD_LEVELS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", in_shards: bool = True) -> DataFrame:
+def mix(docs: DataFrame, levels: int | None = None, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", in_shards: bool = True) -> DataFrame:
     """The mixed corpus: docs' rows, each as often as it is drawn, with all of docs' columns and, if
-    in_shards, one partition or part of one a shard, shuffled inside. Cases as in plan()."""
-    keyed = _keyed(docs, id_col, text_col, source_col, seed)
-    sources, blocks = _blocks(keyed, levels, seed, weights, most)
+    in_shards, one partition a shard, shuffled inside. Cases as in plan()."""
+    row = F.struct(*docs.columns).alias("__m_row")  # so that no column of docs clashes with those on the way
+    keyed = docs.select(row, docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[source_col].alias("source"))
+    keyed = _keyed(keyed, "doc_id", "text", "source", seed).drop("doc_id", "text", "source")
+    sources, blocks, levels = _blocks(keyed, levels, seed, weights, most)
     rows = _drawn(keyed, sources, blocks).withColumn("__m_draw", F.explode("__m_draws"))
     if in_shards:
-        rows = rows.repartition(1 << levels, "__m_draw.shard").sortWithinPartitions("__m_draw.shard", F.xxhash64(F.lit(seed + 3), "__m_draw.shard", "__m_draw.pass", "__m_hash"))
-    return rows.select(*docs.columns)
+        rows = rows.repartitionById(1 << levels, F.col("__m_draw.shard")).sortWithinPartitions(F.xxhash64(F.lit(seed + 3), "__m_draw.shard", "__m_draw.pass", "__m_hash"))
+    return rows.select("__m_row.*")

@@ -17,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.plan(table(spark, sf_dir, "documents"))
     taken = F.col("size") * F.size("draws")
-    return drawn.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return drawn.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("draws.pass").alias("passes"), F.col("draws.shard").alias("shards"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
