@@ -3,8 +3,9 @@
 Writing: payloads are compared by their SHA-256; of equal payloads of at least MIN_REVISIT bytes the
 smallest page_id becomes a response, the others revisits of it. Every task appends gzip members, one a
 record, to archives of its own of at most ARCHIVE_BYTES, and returns the index: offset, length, URL and
-digest of each record. The index is written to the shared folder in the same job, so it names exactly
-the archives of the attempts that succeeded; files of lost attempts are named by no index.
+digest of each record. The index is written beside the archives in the same job, so it names exactly
+the archives of the attempts that succeeded; files of lost attempts are named by no index. A payload
+of a third of all pages meets its response in SALTS parts.
 
 Reading: the selected index rows are dealt out by archive and RANGE_BYTES of offset (so no archive is
 one task's work), sorted, and neighbouring ranges with gaps of at most GAP bytes are read at once.
@@ -21,37 +22,40 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, shuffle_partitions, to_local
+from .common import filesystem, fresh_path, materialize, release, shuffle_partitions, to_local
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES, GAP, READ_BYTES = 16 << 20, 64 << 10, 8 << 20
 GZIP_LEVEL = 1
+SALTS = 16
 #: Fixed values of the format.
 VERSION = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"  # the pages carry no date
+INDEX_FOLDER = "index"
 INDEX = "page_id long, url string, record_type string, refers_to long, digest string, payload_bytes long, archive string, offset long, length long"
 
 
-def record_id(page_id: int | None, url: str | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>"
+def record_id(page_id: int | None, url: str | None, row: int) -> str:
+    """row tells rows of one page_id and URL apart."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {row} {url}')}>"
 
 
 def one_line(value: str | None) -> str:
     return " ".join((value or "").splitlines())
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """A response record, or a revisit record without payload if refers_to is given."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, row: int = 0, original: tuple[int, str | None, int] | None = None) -> bytes:
+    """A response record, or a revisit record without payload if the original (page_id, url, row) is given."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
+    block = http if original else http + payload
     head = {
-        "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": record_id(page_id, url),
+        "WARC-Type": "revisit" if original else "response",
+        "WARC-Record-ID": record_id(page_id, url, row),
         "WARC-Date": DATE,
         "WARC-Target-URI": one_line(url),
         "WARC-Payload-Digest": f"sha256:{digest}",
@@ -60,8 +64,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     }
     if page_id is not None:
         head["X-Page-Id"] = str(page_id)
-    if refers_to is not None:
-        head |= {"WARC-Profile": PROFILE, "X-Refers-To-Page-Id": str(refers_to)}
+    if original:
+        head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(*original[:2], original[2]), "WARC-Refers-To-Target-URI": one_line(original[1]), "WARC-Refers-To-Date": DATE, "X-Refers-To-Page-Id": str(original[0])}
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode("utf-8", "replace") + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -77,23 +81,30 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block.partition(b"\r\n\r\n")[2]
 
 
-def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes archives into a new folder of the shared one and returns their index (INDEX).
+def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", out: str | None = None) -> DataFrame:
+    """Writes archives and their index below the folder out, which must be new, and returns the index (INDEX);
+    read_index() opens it again. Without out a folder of the shared one is used, which goes with the
+    application.
 
     Null html is an empty payload; null url an empty one. A null id is larger than all others: it is
     referred to by nothing, and its page revisits if another page has the payload. Rows that repeat the
-    smallest id of a payload are responses all. Other columns are ignored. An empty table gives an empty
-    index.
+    smallest id of a payload are responses all, and a revisit names the first of them. Other columns are
+    ignored. An empty table gives an empty index.
     """
-    spark, out = pages.sparkSession, fresh_path(pages.sparkSession, "warc")
+    spark = pages.sparkSession
+    out = fresh_path(spark, "warc") if out is None else out.rstrip("/")
+    fs_of, at = filesystem(spark, out)
+    out = fs_of.makeQualified(at).toString()
     payload = F.coalesce(pages[html_col], F.lit("")).cast("binary")
-    own = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    known = own.select("page_id", "digest", F.octet_length("payload").alias("n")).where(F.col("n") >= MIN_REVISIT)
-    shared = known.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c"))
+    own = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    known = own.select("page_id", "digest", "url", "row", F.octet_length("payload").alias("n")).where((F.col("n") >= MIN_REVISIT))
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row", "url"))).alias("first")
+    shared = known.groupBy("digest").agg(first, F.count(F.lit(1)).alias("c"))
     shared = materialize(shared.where("c > 1 and first is not null").select("digest", "first"), "warc-shared")
-    rows = own.join(shared, "digest", "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    rows = rows.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    parted = shared.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = own.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(parted, ["digest", "salt"], "left")
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first.page_id")), F.col("first"))
+    rows = rows.withColumn("ref", refers).select("page_id", "url", "payload", "digest", "row", F.col("ref.page_id").alias("refers_to"), F.col("ref.url").alias("ref_url"), F.col("ref.row").alias("ref_row"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, folder = to_local(out)
@@ -106,14 +117,15 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
             for pdf in batches:
                 index = []
                 ids, refs = (pdf[c].astype("Int64").to_numpy(dtype=object, na_value=None) for c in ("page_id", "refers_to"))
-                for page_id, url, body, digest, ref in zip(ids, pdf["url"], pdf["payload"], pdf["digest"], refs, strict=True):
+                ref_rows = pdf["ref_row"].astype("Int64").to_numpy(dtype=object, na_value=None)
+                for page_id, url, body, digest, row, ref, ref_url, ref_row in zip(ids, pdf["url"], pdf["payload"], pdf["digest"], pdf["row"].tolist(), refs, pdf["ref_url"], ref_rows, strict=True):
                     if stream is None or offset >= ARCHIVE_BYTES:
                         if stream is not None:
                             stream.close()
                         name, offset, n = f"{stem}-{n:04d}.warc.gz", 0, n + 1
                         stream = fs.open_output_stream(f"{folder}/{name}", compression=None)
                     pack = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31)
-                    raw = pack.compress(record(page_id, url, bytes(body), digest, ref)) + pack.flush()
+                    raw = pack.compress(record(page_id, url, bytes(body), digest, row, None if ref is None else (ref, ref_url, ref_row))) + pack.flush()
                     stream.write(raw)
                     index.append((page_id, url, "response" if ref is None else "revisit", ref, digest, len(body), f"{out}/{name}", offset, len(raw)))
                     offset += len(raw)
@@ -123,7 +135,14 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
             if stream is not None:
                 stream.close()
 
-    return materialize(rows.mapInPandas(run, INDEX), "warc-index")
+    rows.mapInPandas(run, INDEX).write.option("compression", "zstd").parquet(f"{out}/{INDEX_FOLDER}")
+    release(shared)
+    return read_index(spark, out)
+
+
+def read_index(spark: SparkSession, out: str) -> DataFrame:
+    """The index of the archives below a folder."""
+    return spark.read.schema(INDEX).parquet(f"{out.rstrip('/')}/{INDEX_FOLDER}")
 
 
 def ranges(wanted: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
