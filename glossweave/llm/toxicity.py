@@ -7,7 +7,7 @@ Scores under LEAST are zero, and a drift a word makes clean text lose. One linea
 maximal-scoring segments of a text. Their scores follow an extreme-value law in clean text, whose rate
 comes from the word scores of clean documents and whose scale from their largest segments; a
 document's score joins its significant segments and is calibrated on labelled documents that the word
-scores did not see.
+scores did not see. The model that scores has these documents counted in as well.
 
 At most MAX_LABELLED labelled documents, drawn by a hash of their id and without copies of each other,
 fit the model; only their labels are broadcast, and counts are kept in a table of BUCKETS. All
@@ -206,27 +206,29 @@ def one_of_copies(docs: DataFrame, known: DataFrame) -> DataFrame:
     return left.select("__d", "__y").groupBy("__d").agg(F.max("__y").alias("__y"))
 
 
-def _counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Documents by bucket, toxic and clean, and their numbers. docs: text, __y."""
+def _counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Documents by bucket and their numbers, each by group: clean, toxic, and clean, toxic of the calibration
+    fold. docs: text, group."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, n = np.zeros((2, BUCKETS), np.int64), [0, 0]
+        c, n = np.zeros((4, BUCKETS), np.int32), [0] * 4
         for pdf in batches:
-            for text, y in zip(pdf["text"], pdf["__y"], strict=True):
-                c[y, units_of(text)] += 1
-                n[y] += 1
+            for text, g in zip(pdf["text"], pdf["group"], strict=True):
+                c[g, units_of(text)] += 1
+                n[g] += 1
         if sum(n):
-            at = np.flatnonzero(c.sum(0))
-            yield pd.DataFrame({"b": np.append(at, -1), "c": np.append(c[0, at], n[0]), "t": np.append(c[1, at], n[1])})
+            at = np.flatnonzero(c.any(0))
+            yield pd.DataFrame({"b": np.append(at, -1), **{f"c{g}": np.append(c[g, at], n[g]).astype(np.int64) for g in range(4)}})
         _BUCKETS.clear()
         trim()
 
-    rows = docs.mapInPandas(run, "b int, c long, t long").groupBy("b").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
-    out = np.zeros((2, BUCKETS + 1), np.int64)  # bucket -1 holds the numbers
+    names = [f"c{g}" for g in range(4)]
+    rows = docs.mapInPandas(run, "b int, " + ", ".join(f"{x} long" for x in names)).groupBy("b").agg(*(F.sum(x).alias(x) for x in names))
+    out = np.zeros((4, BUCKETS + 1), np.int64)  # bucket -1 holds the numbers
     pdf = rows.toPandas()  # at most BUCKETS + 1 rows
-    for i, k in enumerate(("c", "t")):
-        out[i, pdf["b"].to_numpy(np.int64)] = pdf[k].to_numpy(np.int64)
-    return out[1, :-1], out[0, :-1], int(out[1, -1]), int(out[0, -1])
+    for g, x in enumerate(names):
+        out[g, pdf["b"].to_numpy(np.int64)] = pdf[x].to_numpy(np.int64)
+    return out[:, :-1], out[:, -1]
 
 
 def _clean_rate(docs: DataFrame, model: Model) -> float:
@@ -269,27 +271,31 @@ def _scored(docs: DataFrame, model: Model, extra: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Model:
-    """Token scores from all of docs and the labelled ones of folds 1 to 3; calibration from fold 4.
+    """Token scores from the labelled documents of folds 1 to 3; rate, scale and calibration from fold 4; then
+    the counts of fold 4 join those of the others.
 
-    With no toxic or no clean label the model scores everything 0.
+    With no toxic or no clean label in folds 1 to 3 the model scores everything 0.
     """
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     known = materialize(one_of_copies(own, labelled(labels, max_labelled)), "toxic-labels")
-    of = lambda k: own.join(F.broadcast(k), own["doc_id"] == k["__d"]).select("doc_id", "text", "__y")
-    toxic, clean, n_toxic, n_clean = _counts(of(known.where(fold(F.col("__d")) != CALIBRATION_FOLD)).select("text", "__y"))
-    if not n_toxic or not n_clean:
-        return Model(toxic, clean, 0.5, 1.0, 0.0, (-30.0, 0.0, 0.0))
-    model = Model(toxic, clean, n_toxic / (n_toxic + n_clean), 1.0, 0.0, (0.0, 0.0, 0.0))
-    held_back = known.where(fold(F.col("__d")) == CALIBRATION_FOLD)
+    of = lambda k: own.join(F.broadcast(k), own["doc_id"] == k["__d"])  # noqa: E731  at most max_labelled rows
+    later = F.col("__d").isNotNull() & (fold(F.col("__d")) == CALIBRATION_FOLD)
+    c, n = _counts(of(known).select("text", (F.col("__y") + 2 * later.cast("int")).alias("group")))
+    if not n[0] or not n[1]:
+        return Model(c[1], c[0], 0.5, 1.0, 0.0, (-30.0, 0.0, 0.0))
+    model = Model(c[1], c[0], n[1] / (n[0] + n[1]), 1.0, 0.0, (0.0, 0.0, 0.0))
+    held_back = known.where(later)
     model.rate = _clean_rate(of(held_back.where("__y = 0")).select("text"), model)
-    seen = _scored(of(held_back).withColumnRenamed("__y", "y"), model, "y")
+    seen = _scored(of(held_back).select("doc_id", "text", F.col("__y").alias("y")), model, "y")
     # the normalised score at log_k = 0, in bins: a bounded table however many rows share an id
     binned = seen.select("y", F.round(F.least(F.greatest("x", F.lit(-30.0)), F.lit(60.0)) * 4).alias("x"), F.round(F.log1p("joined") * 10).alias("j"))
     pdf = binned.groupBy("y", "x", "j").count().toPandas()
     if not len(pdf) or pdf["y"].nunique() < 2:
-        return replace(model, weights=(-1.0, 1.0, 1.0))
-    y, n, x, j = pdf["y"].to_numpy(float), pdf["count"].to_numpy(float), pdf["x"].to_numpy(float) / 4, np.expm1(pdf["j"].to_numpy(float) / 10)
-    return calibrate(model, x, j, y, n)
+        model = replace(model, weights=(-1.0, 1.0, 1.0))
+    else:
+        y, m, x, j = pdf["y"].to_numpy(float), pdf["count"].to_numpy(float), pdf["x"].to_numpy(float) / 4, np.expm1(pdf["j"].to_numpy(float) / 10)
+        model = calibrate(model, x, j, y, m)
+    return replace(model, toxic=c[1] + c[3], clean=c[0] + c[2])
 
 
 def calibrate(model: Model, x: np.ndarray, joined: np.ndarray, y: np.ndarray, n: np.ndarray) -> Model:
