@@ -63,6 +63,38 @@ def test_mixing(request, spark, sf, name):
     assert Counter(r.doc_id for r in mixed.collect()) == +Counter({i: sum(len(r.draws) for r in rows if r.doc_id == i) for i in {r.doc_id for r in rows}})
 
 
+def test_mixing_many_sources_and_shards(spark, monkeypatch):
+    """More sources than a tree deals out, more blocks than a segment holds and more levels than a step; the
+    shards follow the size of the mix, are disjoint passes over blocks, and each is one partition."""
+    monkeypatch.setattr(mixing, "TREE_SOURCES", 16)
+    monkeypatch.setattr(mixing, "SEGMENT", 8)
+    monkeypatch.setattr(mixing, "TREE_STEP", 2)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 1000)
+    r = random.Random(3)
+    source = lambda i: None if i % 97 == 0 else "big" if i % 3 == 0 else f"s{i % 40:02d}"
+    rows = [(i, words(i, r.randint(0, 40)), source(i), "x", 2) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __m_source string, __m_draw int")
+    got = mixing.plan(docs).collect()
+    sizes, taken, in_shard = Counter(), Counter(), Counter()
+    for x in got:
+        sizes[x.source] += x.size
+        taken[x.source] += x.size * len(x.draws)
+        in_shard.update({d.shard: x.size for d in x.draws})
+    want = brute_targets(sizes)
+    assert all(abs(taken[s] - want[s]) <= max(0.02 * want[s], 40) for s in sizes) and all(math.isclose(x.target, want[x.source], rel_tol=1e-9) for x in got)
+    levels = math.ceil(math.log2(sum(want.values()) / 1000))
+    in_shard = Counter()
+    for x in got:
+        for d in x.draws:
+            in_shard[d.shard] += x.size
+    assert levels == 5 and set(in_shard) == set(range(32)) and max(in_shard.values()) < 2.5 * sum(in_shard.values()) / 32
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    placed = mixed.select("doc_id", F.spark_partition_id().alias("p")).collect()
+    by_shard = Counter((x.doc_id, d.shard) for x in got for d in x.draws)
+    assert Counter((x.doc_id, x.p) for x in placed) == by_shard
+
+
 def test_splitting_tree_keeps_quotas(spark):
     quotas = {r: q for r, q in enumerate([1000, 10, 555, 0, 100_000, 1], 1)}
     df = spark.createDataFrame(list(quotas.items()), "rank long, quota long")
@@ -116,6 +148,29 @@ def test_warc(spark):
     assert sorted(back.values(), key=len) == ["short", big]
 
 
+def test_warc_archives_are_kept(spark, tmp_path):
+    """Archives and index below a path can be read in another session; ids are unique and revisits name them."""
+    import gzip
+
+    same = "<html>" + words(2, 60)
+    rows = [(i % 40, f"http://h/{i % 40}", same if i % 3 else words(i, 30)) for i in range(120)] + [(None, "u", same)]
+    out = f"file://{tmp_path}/warc"
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), out=out)
+    index = warc.read_index(spark.newSession(), out)
+    want = brute_pages([(i, h) for i, _, h in rows])
+    found = warc.read(index).collect()
+    assert Counter((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in found) == Counter((i, d, t, ref) for (i, _, d, t, ref), n in want.items() for _ in range(n))
+    raw = b"".join(gzip.open(p).read() for p in (tmp_path / "warc").glob("*.warc.gz"))
+    ids, heads = re.findall(rb"WARC-Record-ID: (\S+)", raw), raw.split(b"WARC/1.1\r\n")[1:]
+    assert len(ids) == len(set(ids)) == len(rows)
+    kind = {re.search(rb"WARC-Record-ID: (\S+)", h)[1]: (re.search(rb"WARC-Type: (\w+)", h)[1], re.search(rb"X-Page-Id: (\d+)", h), re.search(rb"Target-URI: (\S+)", h)[1]) for h in heads}
+    revisits = [h for h in heads if b"WARC-Type: revisit" in h]
+    assert len(revisits) == sum(n for r, n in want.items() if r[3] == "revisit")
+    for h in revisits:
+        of, page, uri = kind[re.search(rb"WARC-Refers-To: (\S+)", h)[1]]
+        assert of == b"response" and page[1] == re.search(rb"X-Refers-To-Page-Id: (\d+)", h)[1] and uri == re.search(rb"WARC-Refers-To-Target-URI: (\S+)", h)[1]
+
+
 def test_warc_all_pages(spark, sf):
     pages = table(spark, sf, "pages")
     doubled = pages.unionByName(pages.withColumn("page_id", F.col("page_id") + 1000))
@@ -252,7 +307,9 @@ def test_hot_bucket_pairs(spark):
             is_main = mine["label"] == main
             blocks.append(mine.assign(bucket=len(blocks), band=band, ub=0, vb=0, is_main=is_main, as_u=~is_main, as_v=True))
     got = near_dup.survivors(pd.concat(blocks), 80)
-    pairs = [tuple(sorted(p)) for p in zip(got["u"], got["v"], strict=True)]
+    pairs = [tuple(sorted((u, v))) for u, vs in zip(got["node"], got["partners"], strict=True) if vs is not None for v in vs]
+    held = got.groupby("bucket")["node"].agg(set)
+    assert all(v in held[b] for b, vs in zip(got["bucket"], got["partners"], strict=True) if vs is not None for v in vs)  # their texts are in the block
     assert len(pairs) == len(set(pairs))
     true = {(i, j) for j in range(40) for i in range(j) if near_dup.similar(sets[i], sets[j], 80) and i // 2 != j // 2 and (bands[i] == bands[j]).all(1).any()}
     assert true and true <= set(pairs)
@@ -309,6 +366,50 @@ def test_shard_store(spark, odd_docs):
     assert store.vacuum() > 0 and store.versions() == [last] and store.read().count() == 400
 
 
+def test_shards_are_bounded_by_bytes(spark):
+    """Long documents among short ones: arrivals stay under the target unless a document alone is longer,
+    tiers merge up to it, and shards of a larger target are cut."""
+    target = 60_000
+    rows = [(i, words(i, 12_000 if i % 50 == 7 else 3000 if i % 10 == 3 else 30), {"k": [i]}) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, meta map<string,array<long>>").repartition(3)
+    size = {r[0]: len(r[1]) for r in rows}
+    store = sharding.ShardStore(spark, fresh_path(spark, "store"), target)
+    store.append(docs)
+    held = defaultdict(list)
+    for r in store.read().select("doc_id", "__sh_shard").collect():
+        held[r["__sh_shard"]].append(size[r.doc_id])
+    assert len(held) > 20 and all(len(v) == 1 or sum(v) <= 1.2 * target for v in held.values())
+    tiers = Counter(r.group.split("-")[0] for r in store.plan().collect())
+    assert tiers
+    store.compact_all()
+    live = store.manifest().where("docs > 0").collect()
+    assert sum(r.docs for r in live) == 600 and all(r.docs == 1 or r.bytes <= 2 * target for r in live)
+    assert not store.plan().collect() and sorted(r.doc_id for r in store.read().collect()) == list(range(600))
+    large = sharding.ShardStore(spark, store.path + "-2", 100 * target)
+    large.append(docs.coalesce(1))
+    large.compact_all()
+    assert max(r.bytes for r in large.manifest().collect()) > 4 * target
+    again = sharding.ShardStore(spark, large.path, target)
+    assert {r.parts > 1 for r in again.plan().collect() if r.group.startswith("cut")} == {True}
+    again.compact_all()
+    live = again.manifest().where("docs > 0").collect()
+    assert all(r.docs == 1 or r.bytes <= 2 * target for r in live) and sorted(r.doc_id for r in again.read().collect()) == list(range(600))
+    assert again.read().where("doc_id = 5").first().meta == {"k": [5]}
+    assert again.vacuum() > 0 and again.read().count() == 600
+
+
+def test_waves(spark, monkeypatch):
+    """A plan of more shards than a wave takes several calls and keeps every document."""
+    monkeypatch.setattr(sharding, "WAVE_SHARDS", 7)
+    monkeypatch.setattr(sharding, "SLOT_SHARDS", 10)
+    store = sharding.ShardStore(spark, fresh_path(spark, "store"), 40_000)
+    store.append(spark.createDataFrame([(i, words(i, 100)) for i in range(300)], "doc_id long, text string").repartition(30))
+    first = store.compact()
+    assert first == 2 and store.plan().count() > 0
+    last = store.compact_all()
+    assert last > 3 and sorted(r.doc_id for r in store.read().collect()) == list(range(300)) and len(store.manifest().collect()) < 30
+
+
 def test_shard_documents(spark, odd_docs, no_docs, sf):
     for docs in (odd_docs, no_docs, table(spark, sf, "documents")):
         got = sharding.shard_documents(docs, target_bytes=50_000).collect()

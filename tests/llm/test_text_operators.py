@@ -1,6 +1,7 @@
 """Line dedup, language ID, quality, BPE, toxicity against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -58,6 +59,40 @@ def test_line_dedup_is_reversible(spark, sf):
     assert kept(both, docs) == sorted((i, h) for i, _, _, h in brute_lines(pairs_of(docs), min_docs=2))
 
 
+def test_line_index_grows_and_is_kept(spark, monkeypatch, tmp_path):
+    """Filters made for few keys are built anew as documents come, shards multiply, postings of a shard are
+    dealt over several tasks, and a saved index goes on in another session."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 100)
+    monkeypatch.setattr(line_dedup, "TASK_POSTINGS", 64)
+    line = lambda k: f"line {k} " + words(k, 12)
+    doc = lambda i, ks: (i, "\n".join(map(line, ks)))
+    a = [doc(i, range(20)) for i in range(6)]
+    b = [doc(100 + i, range(i % 2 * 10, 1500, 1 + i % 2)) for i in range(7)]
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    small = line_dedup.build(df(a))
+    before = {r.shard: len(r.table) for r in small.filters.collect()}
+    grown = line_dedup.insert(small, df([doc(50, range(700))] * 2 + [doc(51 + i, range(700)) for i in range(4)]))
+    assert grown.n_shards == small.n_shards == 8 and all(len(r.table) > before[r.shard] for r in grown.filters.collect() if r.shard in before)
+    for index in (grown, line_dedup.insert(grown, df(b))):
+        hot = [bytes(r.key) for r in index.refs.where("n_docs >= 5").collect()]
+        stored = [line_dedup.CuckooFilter(raw=bytes(r.table)) for r in index.filters.collect()]
+        assert sum(f.stash.total() for f in stored) < 16 and sum(np.count_nonzero(f.table) for f in stored) + sum(f.stash.total() for f in stored) == len(hot)
+    assert index.n_shards > 8
+    line_dedup.save(index, f"file://{tmp_path}/index")
+    held = line_dedup.load(spark.newSession(), f"file://{tmp_path}/index")
+    rows = a + [doc(50, range(700))] * 2 + [doc(51 + i, range(700)) for i in range(4)] + b
+    again = lambda i: sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.clean(i, df(rows)).collect()), key=repr)
+    assert again(held) == brute_lines(rows)
+    less = line_dedup.delete(held, df(b))
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.clean(less, df(rows[: -len(b)])).collect()), key=repr) == brute_lines(rows[: -len(b)])
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(i, "x" * 50 + f"\n{i}", 1, "h", "o", "n") for i in range(6)], "doc_id long, text string, __d int, __h string, __own string, __new string")
+    out = line_dedup.replace_text(line_dedup.build(docs), docs)
+    assert out.columns == docs.columns and sorted((r.text, r.__getattr__("__h")) for r in out.collect()) == sorted((f"{i}" if i < 5 else docs.collect()[5].text, "h") for i in range(6))
+
+
 def test_cuckoo_filter():
     r = random.Random(5)
     keys = [r.randbytes(16) for _ in range(5000)]
@@ -172,6 +207,49 @@ def test_language_held_out(spark):
     assert all(abs(again[r.doc_id] - r.score) < 1e-9 for r in rows)
 
 
+def brute_ngrams(text):
+    """Bucket counts by definition: 2 to 4 code points inside words, word ends marked by a space."""
+    out = Counter()
+    for word in re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in text.lower())):
+        marked = f" {word} "
+        for n in (2, 3, 4):
+            for i in range(len(marked) - n + 1):
+                h = n
+                for c in marked[i : i + n]:
+                    h = (h ^ ord(c)) * 0x9E3779B1 & 0xFFFFFFFF
+                    h ^= h >> 15
+                out[h & (langid.BUCKETS - 1)] += 1
+    return out
+
+
+def test_language_scores_against_brute_force(spark, sf):
+    """The sample, the vectors, the model fitted to them and every score, one document after the other."""
+    docs = table(spark, sf, "documents")
+    rows = sorted((r.doc_id, r.text, r.lang) for r in docs.select("doc_id", "text", "lang").collect())
+
+    def vector(text):
+        out = np.zeros(langid.BUCKETS)
+        for b, n in brute_ngrams(text).items():
+            out[b] = n
+        return out / max(out.sum(), 1)
+
+    learn = [(i, t, lang) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 5 and re.search(r"[^\W\d_]", t or "")]
+    x = np.array([vector(t) for _, t, _ in learn] + [vector(langid.piece_of(t)) for _, t, _ in learn]).astype(np.float32).astype(np.float16).astype(np.float32)
+    want = langid.train(x, [lang for *_, lang in learn] * 2, np.array([i for i, *_ in learn] * 2))
+    model = langid.fit(docs)
+    assert model.langs == sorted({lang for *_, lang in learn}) and model.threshold == pytest.approx(want.threshold, abs=1e-4) and model.temperature == want.temperature
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for i, t, _ in rows:
+        r = got[i]
+        if not re.search(r"[^\W\d_]", t or ""):
+            assert (r.lang_pred, r.score, r.accepted) == ("und", 0.0, False)
+            continue
+        hidden = [sum(v * want.embeddings[b, d] for b, v in zip(np.flatnonzero(vector(t)), vector(t)[vector(t) > 0], strict=True)) for d in range(langid.DIM)]
+        z = [(sum(h * w for h, w in zip(hidden, want.weights[:, k], strict=True)) + want.bias[k]) / want.temperature for k in range(len(want.langs))]
+        p = [math.exp(v - max(z)) / sum(math.exp(u - max(z)) for u in z) for v in z]
+        assert abs(max(p) - r.score) < 1e-3 and (r.lang_pred == want.langs[int(np.argmax(p))] or max(p) - sorted(p)[-2] < 1e-3)
+
+
 def test_language_edges(spark, odd_docs, no_docs):
     model = langid.fit(odd_docs)
     rows = langid.predict(odd_docs, model).collect()
@@ -200,6 +278,78 @@ def test_segments():
         assert all(abs(v - s[a:b].sum()) < 1e-9 for a, b, v in got)
 
 
+def brute_toxicity(docs, labels):
+    """The scores of docs (id, text) with labels (id, toxic), one document after the other."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    toxic = defaultdict(int)
+    for i, y in labels:
+        if i is not None and y is not None and fold(i):
+            toxic[i] = max(toxic[i], int(y > 0))
+    known = [(*toxicity.minima(t), i, toxic[i]) for i, t in docs if i in toxic]
+    for k in range(4):  # of the rows that share the k-th min-hash, the first by id and label
+        first = {}
+        for row in known:
+            key = (row[4], row[5], *(m for j, m in enumerate(row[:4]) if j != k))
+            first[row[k]] = min(first.get(row[k], (key, row)), (key, row))
+        known = [row for _, row in first.values()]
+    label = {}
+    for *_, i, y in known:
+        label[i] = max(y, label.get(i, 0))
+    texts = [(i, t) for i, t in docs if i in label]
+
+    def counted(rows):
+        c, n = {0: Counter(), 1: Counter()}, Counter()
+        for i, t in rows:
+            words_ = set(re.findall(r"[^\W_]+", (t or "").lower()))
+            units = words_ | {w[:k] + "-" for w in words_ for k in (6, 5, 4, 3) if len(w) > k}
+            c[label[i]].update({b for u in units for b in toxicity.places(u)})
+            n[label[i]] += 1
+        return c, n
+
+    def scorer(c, base):
+        def share(unit, prior):
+            t, f = (min(c[y][b] for b in toxicity.places(unit)) for y in (1, 0))
+            return (t + 8 * prior) / (t + f + 8)
+
+        def of(word):
+            p = base
+            for k in (3, 4, 5, 6):
+                if len(word) > k:
+                    p = share(word[:k] + "-", p)
+            p = share(word, p)
+            v = math.log(max(p, 1e-4) / max(1 - p, 1e-4)) - math.log(base / (1 - base))
+            return (min(v, 6) if v > 2.2 else -0.25 if v < -2.2 else 0) - 0.5
+
+        return of
+
+    def seen(t, of, rate, log_k):
+        s = np.array([of(w) for w in re.findall(r"[^\W_]+", (t or "").lower())])
+        normal = [rate * v - log_k - math.log(max(1, len(s))) for _, _, v in toxicity.segments(s)]
+        return max(normal, default=-log_k - math.log(max(1, len(s)))), sum(v for v in normal if v > 0)
+
+    c, n = counted([(i, t) for i, t in texts if fold(i) != 4])
+    base = n[1] / (n[0] + n[1])
+    of, held = scorer(c, base), [(i, t) for i, t in texts if fold(i) == 4]
+    bins = Counter(int(np.clip(np.round(4 * of(w)) + 8, 0, 63)) for i, t in held if not label[i] for w in re.findall(r"[^\W_]+", (t or "").lower()))
+    rate = toxicity.extreme_rate((np.array(sorted(bins)) - 8) / 4, np.array([bins[b] for b in sorted(bins)], float))
+    points = Counter()
+    for i, t in held:
+        x, joined = seen(t, of, rate, 0.0)
+        points[label[i], math.floor(min(max(x, -30), 60) * 4 + 0.5) / 4, math.floor(math.log1p(joined) * 10 + 0.5) / 10] += 1
+    y, x, j = (np.array([p[k] for p in sorted(points)], float) for k in range(3))
+    model = toxicity.calibrate(toxicity.Model(np.zeros(1), np.zeros(1), base, rate, 0.0, (0.0, 0.0, 0.0)), x, np.expm1(j), y, np.array([points[p] for p in sorted(points)], float))
+    c, _ = counted(texts)
+    of = scorer(c, base)
+    return {i: float(model.probability(*map(np.array, seen(t, of, rate, model.log_k)))) for i, t in docs}
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    want = brute_toxicity(pairs_of(docs), [(r.doc_id, r.toxic) for r in labels.collect()])
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 1e-6
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     known = {r.doc_id: r.toxic for r in labels.collect()}
