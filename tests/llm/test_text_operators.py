@@ -90,7 +90,7 @@ def test_line_index_grows_and_is_kept(spark, monkeypatch, tmp_path):
 def test_columns_of_any_name_stay(spark):
     docs = spark.createDataFrame([(i, "x" * 50 + f"\n{i}", 1, "h", "o", "n") for i in range(6)], "doc_id long, text string, __d int, __h string, __own string, __new string")
     out = line_dedup.replace_text(line_dedup.build(docs), docs)
-    assert out.columns == docs.columns and sorted((r.text, r.__getattr__("__h")) for r in out.collect()) == sorted((f"{i}" if i < 5 else docs.collect()[5].text, "h") for i in range(6))
+    assert out.columns == docs.columns and sorted((r.text, r["__h"]) for r in out.collect()) == sorted((f"{i}" if i < 5 else docs.collect()[5].text, "h") for i in range(6))
 
 
 def test_cuckoo_filter():
