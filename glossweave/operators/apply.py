@@ -20,7 +20,7 @@ from .flatten import dimension_override
 from .schema import ATTRIBUTES, LEADERS, STYLED, TARGETS
 
 NATIVE_PAIRS = 50
-STYLE_NAME, STYLE_FONT = "RU", "Arial.ttf"
+STYLE_NAME = "RU"
 _CODE = re.compile(r"\\[A-Za-z][^\\]*")
 
 

@@ -11,13 +11,6 @@ from .schema import ATTRIBUTES, INSERTS, LEADERS
 ITEM = "array<struct<kind:string,detail:string,text:string>>"
 
 
-def in_scope(entities: DataFrame) -> DataFrame:
-    """Model space and named layouts once each, then blocks: layouts other than Model come on their own."""
-    return entities.where((F.col("space") != "layout") | (F.col("container") != "Model") | F.col("space").isNull()).unionByName(
-        entities.where((F.col("space") == "layout") & (F.col("container") == "Model"))
-    )
-
-
 def prefix_of() -> Column:
     """BLOCK:{name} inside blocks (BLOCK if unnamed), null in layouts."""
     name = T.text_or_empty("container")

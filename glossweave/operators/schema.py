@@ -7,10 +7,6 @@ ENTITIES = (
     "doc_id string, space string, container string, entity_ix bigint, dxftype string, text string, tag string,"
     " attribs array<struct<tag:string,text:string>>, cells array<array<string>>, alternatives array<string>, style string"
 )
-BAG = "kind string, detail string, text string"
-FREQUENCY = "count bigint, text_en string"
-PAIRS = "pos bigint, en string, ru string"
-RESPONSE = "translations array<struct<id:string,text:string>>"
 #: Entity types whose text is read, and those whose text is written back.
 LEADERS = ("MULTILEADER", "MLEADER", "LEADER")
 ATTRIBUTES = ("ATTRIB", "ATTDEF")

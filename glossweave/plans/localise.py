@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.errors import PySparkValueError
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,12 @@ class Outputs:
     save_map: bool = True
 
 
+def default_paths(input_path: str, fmt: str = "dwg") -> dict[str, str]:
+    """Where output, map and texts go if nothing else is said: beside the input, named after it."""
+    stem = input_path[: len(input_path) - len(Path(input_path).suffix)]
+    return {"output": f"{stem}_ru.{fmt}", "map": f"{stem}_map.csv", "texts": f"{stem}_texts.txt", "translated": f"{stem}_texts_ru.txt"}
+
+
 @dataclass(frozen=True)
 class Result:
     translated: DataFrame  # rn, count, text_en, text_ru
@@ -65,7 +72,8 @@ def pairs_of(done: DataFrame) -> dictionary.Ordered:
 
 def run_entities(entities: DataFrame, options: providers.Options, outputs: Outputs = Outputs(), output_path: str | None = None, style: str | None = apply.STYLE_NAME) -> Result:
     """As run_bag() for the texts of entities, and the entities with their texts replaced."""
-    found = run_bag(flatten.text_bag(flatten.in_scope(entities)), options, outputs, output_path)
+    entities = materialize(entities, "entities")  # drawings are parsed once
+    found = run_bag(flatten.text_bag(entities), options, outputs, output_path)
     return Result(found.translated, apply.apply_to_entities(entities, pairs_of(found.translated), style), found.summary)
 
 
