@@ -7,7 +7,6 @@ one can be built. Every distinct text is sent once, and the result is written be
 
 from __future__ import annotations
 
-import importlib.util
 import json
 import os
 import urllib.parse
@@ -23,14 +22,15 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.tables import materialize
 
-Translate = Callable[[list[str]], list[str]]
+#: Prepared texts and, where a backend looks at them, their originals.
+Translate = Callable[..., list[str]]
 
 #: Texts a request, by backend. None: as many as a batch holds.
 BATCH = {"deep_translator": None, "googletrans": 30, "google_free": 1, "deepl": 40, "chatgpt": 16, "chatgpt_legacy": 1, "noop": None, "dictionary": None}
 #: The backends each provider name may use, in order.
 CHAIN = {
     "google": ("deep_translator", "googletrans", "google_free"),
-    "auto": ("deep_translator", "googletrans", "google_free"),
+    "auto": ("deep_translator", "googletrans", "google_free", "deepl"),
     "deep_google": ("deep_translator",),
     "googletrans": ("googletrans", "google_free"),
     "google_free": ("google_free",),
@@ -43,7 +43,6 @@ CHAIN = {
     "identity": ("noop",),
     "dictionary": ("dictionary",),
 }
-PACKAGE = {"deep_translator": "deep_translator", "googletrans": "googletrans", "deepl": "deepl", "chatgpt": "openai"}
 #: Fixed value: the instruction of a request.
 SYSTEM = (
     "You are a professional technical translator. Translate the provided values from {source} to {target}. Preserve numbers, "
@@ -64,6 +63,7 @@ class Options:
     strict_mode: str | None = "verbosity"
     strict_value: float | None = 0.5
     dictionary: dict[str, str] = field(default_factory=dict)
+    deepl_key: str | None = None
 
 
 def with_environment(options: Options, env: Mapping[str, str] = os.environ) -> Options:
@@ -81,7 +81,8 @@ def with_environment(options: Options, env: Mapping[str, str] = os.environ) -> O
         provider=(options.provider or "google").lower(),
         source_lang=options.source_lang or "auto",
         target_lang=options.target_lang or "ru",
-        api_key=options.api_key or (env.get("OPENAI_API_KEY") if options.provider in ("chatgpt", "gpt", "openai") else None),
+        api_key=options.api_key or env.get("OPENAI_API_KEY"),
+        deepl_key=options.deepl_key or env.get("DEEPL_AUTH_KEY") or env.get("DEEPL_API_KEY"),
         model=options.model or env.get("OPENAI_MODEL", "gpt-4o-mini"),
         base_url=options.base_url or env.get("OPENAI_BASE_URL"),
         strict_mode=mode if mode in T.REASONING_NOTES else "verbosity",
@@ -104,28 +105,40 @@ def message_of(reply) -> str:
     return ""
 
 
-def backend(options: Options) -> str:
-    """The first backend of the provider's chain that can be built here."""
-    name = (options.provider or "google").lower()
+class Unavailable(Exception):
+    """A backend that lacks its package or its key."""
+
+
+def select(options: Options) -> tuple[str, Translate]:
+    """The first backend of the provider's chain that can be built here, and it. A missing package passes to
+    the next one; another failure does so for auto and for googletrans, and is raised otherwise."""
+    name, tried = (options.provider or "google").lower(), []
     for b in CHAIN.get(name, ()):
-        if b == "deepl" and not options.api_key:
-            raise PySparkRuntimeError("deepl needs a key")
-        if b not in PACKAGE or importlib.util.find_spec(PACKAGE[b]):
-            return b
-    raise PySparkRuntimeError(f"no translation provider for {options.provider!r}")
+        try:
+            return b, BACKENDS[b](options)
+        except (ImportError, Unavailable) as e:
+            tried.append(f"{b}: {e}")
+        except Exception as e:
+            if name != "auto" and b != "googletrans":
+                raise PySparkRuntimeError(f"{b} can't be used: {e}") from e
+            tried.append(f"{b}: {e}")
+    raise PySparkRuntimeError(f"no translation provider for {options.provider!r}" + "".join(f"; {x}" for x in tried))
+
+
+def backend(options: Options) -> str:
+    return select(options)[0]
 
 
 def build(options: Options) -> Translate:
-    b = backend(options)
-    return {"noop": _noop, "dictionary": _dictionary, "google_free": _google_free, "deep_translator": _deep_translator, "googletrans": _googletrans, "deepl": _deepl, "chatgpt": _chatgpt}[b](options)
+    return select(options)[1]
 
 
 def _noop(options: Options) -> Translate:
-    return lambda texts: list(texts)
+    return lambda texts, originals=None: list(texts)
 
 
 def _dictionary(options: Options) -> Translate:
-    return lambda texts: [options.dictionary.get(t, t) for t in texts]
+    return lambda texts, originals=None: [options.dictionary.get(t, t) for t in texts]
 
 
 def chunks(texts: list[str], size: int | None) -> Iterator[list[str]]:
@@ -134,7 +147,7 @@ def chunks(texts: list[str], size: int | None) -> Iterator[list[str]]:
         yield texts[at : at + size]
 
 
-def _google_free(options: Options) -> Translate:  # pragma: no cover - network
+def _google_free(options: Options) -> Translate:
     def one(text: str) -> str:
         query = urllib.parse.urlencode({"client": "gtx", "sl": options.source_lang.lower(), "tl": options.target_lang.lower(), "dt": "t", "q": text})
         try:
@@ -143,52 +156,66 @@ def _google_free(options: Options) -> Translate:  # pragma: no cover - network
         except Exception:  # this provider gives the text itself for any failure
             return text
 
-    return lambda texts: [one(t) for t in texts]
+    return lambda texts, originals=None: [one(t) for t in texts]
 
 
-def _deep_translator(options: Options) -> Translate:  # pragma: no cover - network
+def _deep_translator(options: Options) -> Translate:
     from deep_translator import GoogleTranslator
 
     client = GoogleTranslator(source=options.source_lang, target=options.target_lang)
-    return lambda texts: client.translate_batch(texts) if hasattr(client, "translate_batch") else [client.translate(t) for t in texts]
+    return lambda texts, originals=None: list(client.translate_batch(list(texts))) if hasattr(client, "translate_batch") else [client.translate(t) for t in texts]
+
+
+def _one_by_one(texts: list[str], ask: Callable[[str], object]) -> list[str]:
+    """Each text on its own; the text itself where that fails or gives none."""
+    out = []
+    for t in texts:
+        try:
+            got = getattr(ask(t), "text", None)
+        except Exception:  # a failure costs one text its translation, no more
+            got = None
+        out.append(t if got is None else got)
+    return out
 
 
-def _googletrans(options: Options) -> Translate:  # pragma: no cover - network
+def _googletrans(options: Options) -> Translate:
     from googletrans import Translator
 
     client = Translator()
+    ask = lambda x: client.translate(x, src=options.source_lang, dest=options.target_lang)
 
-    def one(text: str) -> str:
-        try:
-            return client.translate(text, src=options.source_lang, dest=options.target_lang).text
-        except Exception:  # as above, text by text
-            return text
-
-    def run(texts: list[str]) -> list[str]:
+    def run(texts: list[str], originals: list[str] | None = None) -> list[str]:
         out: list[str] = []
         for part in chunks(texts, BATCH["googletrans"]):
             try:
-                got = [x.text for x in client.translate(part, src=options.source_lang, dest=options.target_lang)]
-            except Exception:
-                got = []
-            out += got if len(got) == len(part) else [one(t) for t in part]
+                got = ask(part)
+                found = [getattr(x, "text", None) for x in (got if isinstance(got, list) else [got])]
+            except Exception:  # then text by text
+                found = []
+            out += found if len(found) == len(part) and None not in found else _one_by_one(part, ask)
         return out
 
     return run
 
 
-def _deepl(options: Options) -> Translate:  # pragma: no cover - network
+def _deepl(options: Options) -> Translate:
+    if not options.deepl_key:
+        raise Unavailable("a key is needed: deepl_key, DEEPL_AUTH_KEY or DEEPL_API_KEY")
     import deepl
 
-    client = deepl.Translator(options.api_key)
-    source = None if options.source_lang.lower() == "auto" else options.source_lang.upper()
+    client = deepl.Translator(options.deepl_key)
+    source = options.source_lang.strip().upper()
+    ask = lambda x: client.translate_text(x, source_lang=None if source in ("", "AUTO") else source, target_lang=options.target_lang.strip().upper() or "RU")
 
-    def run(texts: list[str]) -> list[str]:
+    def run(texts: list[str], originals: list[str] | None = None) -> list[str]:
         out: list[str] = []
         for part in chunks(texts, BATCH["deepl"]):
-            got = client.translate_text(part, source_lang=source, target_lang=options.target_lang.upper())
-            texts_of = [getattr(x, "text", None) for x in (got if isinstance(got, list) else [got])]
-            out += longest(part, texts_of)
+            try:
+                got = ask(part)
+            except Exception:  # then text by text
+                out += _one_by_one(part, ask)
+                continue
+            out += longest(part, [getattr(x, "text", None) for x in (got if isinstance(got, list) else [got])])
         return out
 
     return run
@@ -229,30 +256,55 @@ def is_worth(text: str) -> bool:
     return len(t) >= 3 and latin and not tag and not (t.isupper() and len(t) <= 3 and " " not in t)
 
 
-def _chatgpt(options: Options) -> Translate:  # pragma: no cover - network
-    from openai import OpenAI
+def _chatgpt(options: Options) -> Translate:
+    """Texts worth it, by their originals, in batches; with a client of the old kind one by one."""
+    if not options.api_key:
+        raise Unavailable("a key is needed: api_key or OPENAI_API_KEY")
+    import openai
 
-    client = OpenAI(api_key=options.api_key, base_url=options.base_url)
-    listed = options.model.lower() in T.REASONING_MODELS
-    level = "low" if options.strict_value <= 0.34 else "medium" if options.strict_value <= 0.67 else "high"
+    try:
+        create, legacy = openai.OpenAI(api_key=options.api_key, **({"base_url": options.base_url} if options.base_url else {})).chat.completions.create, False
+    except (AttributeError, ImportError, TypeError):
+        openai.api_key = options.api_key
+        if options.base_url:
+            openai.api_base = options.base_url
+        create, legacy = openai.ChatCompletion.create, True
+    model, value = options.model or "gpt-4o-mini", 0.5 if options.strict_value is None else options.strict_value
+    listed = model.lower() in T.REASONING_MODELS
+    level = "low" if value <= 0.34 else "medium" if value <= 0.67 else "high"
     system = SYSTEM.format(source=options.source_lang or "auto-detected", target=options.target_lang)
     if listed:
-        system += " " + T.REASONING_NOTES[options.strict_mode][level]
-    extra = {} if listed else {"temperature": options.temperature}
+        system += " " + T.REASONING_NOTES[options.strict_mode if options.strict_mode in T.REASONING_NOTES else "verbosity"][level]
+    extra = ({} if listed else {"temperature": options.temperature}) | ({} if legacy else {"response_format": {"type": "json_object"}})
 
-    def run(texts: list[str]) -> list[str]:
-        out, asked = list(texts), [i for i, t in enumerate(texts) if is_worth(t)]
-        for part in chunks(asked, BATCH["chatgpt"]):
+    def run(texts: list[str], originals: list[str] | None = None) -> list[str]:
+        shown = originals or texts
+        out, asked = list(texts), [i for i, t in enumerate(texts) if is_worth(shown[i] if i < len(shown) else t)]
+        for part in chunks(asked, BATCH["chatgpt_legacy" if legacy else "chatgpt"]):
             wanted = [(str(i), texts[i]) for i in part]
             messages = [{"role": "system", "content": system}, {"role": "user", "content": request(wanted)}]
-            reply = client.chat.completions.create(model=options.model, messages=messages, response_format={"type": "json_object"}, **extra)
-            for i, t in zip(part, answers(message_of(reply) or "{}", wanted), strict=True):
+            try:
+                reply = create(model=model, messages=messages, **extra)
+            except Exception as e:
+                raise PySparkRuntimeError(f"the translation request failed: {e}") from e
+            for i, t in zip(part, answers(message_of(reply) or "{}", wanted, legacy), strict=True):
                 out[i] = t
         return out
 
     return run
 
 
+BACKENDS: dict[str, Callable[[Options], Translate]] = {
+    "noop": _noop,
+    "dictionary": _dictionary,
+    "google_free": _google_free,
+    "deep_translator": _deep_translator,
+    "googletrans": _googletrans,
+    "deepl": _deepl,
+    "chatgpt": _chatgpt,
+}
+
+
 def translate(keys: DataFrame, options: Options, batch: int = 512) -> DataFrame:
     """keys: rn, text_en (distinct). Adds text_ru: prepared, sent in batches, empty answers replaced by the
     original, recovered. A batch whose answers are too few is refused rather than shifted. Written once, so
@@ -264,8 +316,9 @@ def translate(keys: DataFrame, options: Options, batch: int = 512) -> DataFrame:
         ask = build(options)
         for pdf in parts:
             out: list[str | None] = []
-            for part in chunks(list(pdf["prepared"]), batch):
-                got = ask(part)
+            originals = list(pdf["text_en"])
+            for k, part in enumerate(chunks(list(pdf["prepared"]), batch)):
+                got = ask(part, originals[k * batch : (k + 1) * batch])
                 if len(got) < len(part):
                     raise PySparkRuntimeError(f"{len(part)} texts were sent, {len(got)} came back")
                 out += got[: len(part)]
