@@ -57,11 +57,6 @@ def non_blank(c: Text) -> Column:
     return ~is_blank(c)
 
 
-def first_non_blank(*cols: Text) -> Column:
-    """The first text that is not blank, unstripped; empty if there is none."""
-    return F.coalesce(*(F.when(non_blank(c), _col(c)) for c in cols), F.lit(""))
-
-
 def prepare(c: Text) -> Column:
     """For a provider: paragraph codes become line feeds, the placeholder a word."""
     return F.replace(F.replace(_col(c), F.lit(PARAGRAPH), F.lit("\n")), F.lit(DIM), F.lit(DIM_TOKEN))
@@ -183,6 +178,11 @@ def with_suffix(path: Text, suffix: Text) -> Column:
     return F.concat(F.regexp_replace(_col(path), r"(?<=[^/])\.[^./]+\z", ""), _col(suffix))
 
 
+def default_path(path: Text, kind: str, fmt: str = "dwg") -> Column:
+    """Where the output, map, texts or translated texts of an input go if nothing else is said."""
+    return with_suffix(path, F.lit({"output": f"_ru.{fmt}", "map": "_map.csv", "texts": "_texts.txt", "translated": "_texts_ru.txt"}[kind]))
+
+
 def provider_language(lang: Text, provider: str) -> Column:
     """As providers want it: deepl in capitals with auto left out, the free endpoint in small letters."""
     if provider == "deepl":

@@ -6,17 +6,20 @@ benchmark for blocks; entities, control codes and white space are composed from
 
 from __future__ import annotations
 
+import contextlib
+import io
 from collections.abc import Callable
 
+from pyspark.errors import PySparkValueError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import apply, dictionary, flatten, frequency, providers
 from ..operators.schema import TARGETS
-from ..sources import sinks
+from ..sources import dxf, files, sinks
 from . import localise
-from .tables import table
+from .tables import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,9 +87,7 @@ def frequency_txt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("frequency_json_items", FREQ_SQL)
 def frequency_json_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = sinks.frequency_json(frequency.ranked(keys(spark, sf_dir)))
-    items = F.from_json("value", "items array<struct<text_en:string,count:bigint>>")["items"]
-    return whole.select(F.inline(items)).select("text_en", "count")
+    return sinks.json_items(sinks.json_lines(frequency.ranked(keys(spark, sf_dir)))).select("text_en", "count")
 
 
 @query("strip_prefix", rf"SELECT value, regexp_replace(trim(value, '{WS}'), '^\[\d+\]\s*', '') AS text FROM (SELECT '[' || count || '] ' || text_en AS value FROM ({FREQ_SQL}))")
@@ -132,7 +133,7 @@ FLAT_SQL = f"""WITH e AS (SELECT *, {PREFIX_SQL} AS prefix FROM ({ENTITIES_SQL})
 
 @query("entity_flatten", FLAT_SQL)
 def entity_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flatten.text_bag(flatten.in_scope(entities(spark, sf_dir)))
+    return flatten.text_bag(entities(spark, sf_dir))
 
 
 @query("target_filter", f"SELECT entity_ix, dxftype, container FROM ({ENTITIES_SQL}) WHERE dxftype IN ({', '.join(map(LIT, TARGETS))}) AND container <> 'Model'")
@@ -279,10 +280,15 @@ def enriched_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.enriched(keys(spark, sf_dir), some_map(spark, sf_dir))
 
 
-@query("dead_keys", f"SELECT id AS pos, text AS en, 'x' AS ru FROM ({COMPOSED_SQL}) WHERE id % 2 = 0")
+@query(
+    "dead_keys",
+    f"SELECT pos, en, 'x' AS ru FROM (SELECT id AS pos, CASE id % 4 WHEN 0 THEN text WHEN 1 THEN 'no \\~code' WHEN 2 THEN replace(text, '<>', '') ELSE replace(replace(text, '<>', '< >'), '\\P', '\\5') END AS en FROM ({COMPOSED_SQL}))"
+    " WHERE instr(en, '<>') > 0 OR regexp_matches(en, '\\\\[A-Za-z]')",
+)
 def dead_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = composed(spark, sf_dir)
-    en = F.when(F.col("id") % 2 == 0, F.col("text")).otherwise("no \\~code")
+    bare = F.replace(F.replace("text", F.lit("<>"), F.lit("< >")), F.lit("\\P"), F.lit("\\5"))
+    en = F.when(F.col("id") % 4 == 0, F.col("text")).when(F.col("id") % 4 == 1, "no \\~code").when(F.col("id") % 4 == 2, F.replace("text", F.lit("<>"), F.lit(""))).otherwise(bare)
     return dictionary.dead_keys(p.select(F.col("id").alias("pos"), en.alias("en"), F.lit("x").alias("ru")))
 
 
@@ -351,7 +357,13 @@ def strict_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.withColumn("level", T.strict_level("c"))
 
 
-NOTE_SQL = "CASE " + " ".join(f"WHEN m = {LIT(m)} AND lv = {LIT(lv)} THEN {LIT(t)}" for m, by in T.REASONING_NOTES.items() for lv, t in by.items()) + " ELSE '' END"
+#: Fixed values, stated here on their own: the note that a request carries by mode and level.
+NOTE_SQL = """CASE WHEN m = 'effort' AND lv = 'low' THEN 'Keep reasoning effort minimal to prioritise speed over exhaustive detail.'
+ WHEN m = 'effort' AND lv = 'medium' THEN 'Balance reasoning effort to maintain accuracy without unnecessary verbosity.'
+ WHEN m = 'effort' AND lv = 'high' THEN 'Apply high reasoning effort to maximise translation accuracy and nuance.'
+ WHEN lv = 'low' THEN 'Keep the response concise while still delivering an accurate translation.'
+ WHEN lv = 'medium' THEN 'Provide a balanced level of detail to ensure clarity and accuracy.'
+ ELSE 'Provide exhaustive detail to ensure every nuance of the translation is captured.' END"""
 
 
 @query(
@@ -438,3 +450,216 @@ def pipeline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     bag = flatten.bag_of(table(spark, sf_dir, "part"), F.col("p_brand"), F.lit(""), F.col("p_type"))
     return localise.run_bag(bag, providers.Options("dictionary", dictionary={"LARGE": "GROSS", "SMALL": "KLEIN"})).translated
+
+
+# --- Sources and sinks: files written from the driver tables and read again ---
+
+
+def written(spark: SparkSession, name: str, write) -> str:
+    """A fresh path that write(path) has filled."""
+    path = fresh_path(spark, name)
+    write(path)
+    return path
+
+
+def ranked_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequency.ranked(frequency.text_frequency(flatten.bag_of(table(spark, sf_dir, "part"), F.col("p_brand"), F.lit(""), shapes())))
+
+
+def shapes() -> Column:
+    """Texts as drawings hold them: quotes, commas, line feeds, edge spaces."""
+    return F.concat(F.lit(' "'), "p_type", F.lit('",\n'), F.substring("p_name", 1, 3), F.lit(" "))
+
+
+SHAPES_SQL = "' \"' || p_type || '\",' || chr(10) || left(p_name, 3) || ' '"
+TYPES_SQL = f"SELECT t AS text_en, n AS count, row_number() OVER (ORDER BY n DESC, t) AS rn FROM (SELECT trim({SHAPES_SQL}, '{WS}') AS t, count(*) AS n FROM part GROUP BY 1)"
+
+
+@query("extract_csv", f"SELECT count, text_en FROM ({TYPES_SQL})")
+def extract_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_extract(spark, written(spark, "extract.csv", lambda p: sinks.write_frequency_csv(ranked_types(spark, sf_dir), p)))
+
+
+@query("frequency_json_file", f"SELECT count, text_en FROM ({TYPES_SQL})")
+def frequency_json_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_frequency_json(spark, written(spark, "extract.json", lambda p: sinks.write_frequency_json(ranked_types(spark, sf_dir), p)))
+
+
+@query("frequency_txt_file", f"SELECT unnest(string_split('[' || count || '] ' || text_en, chr(10))) AS value FROM ({TYPES_SQL})")
+def frequency_txt_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.text(written(spark, "extract.txt", lambda p: sinks.write_frequency_txt(ranked_types(spark, sf_dir), p)))
+
+
+@query("translated_txt_file", f"SELECT '[' || count || '] ' || upper(replace(text_en, chr(10), '')) AS value FROM ({TYPES_SQL}) WHERE rn <= 100")
+def translated_txt_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longer side's rest is cut: translations of the first hundred keys."""
+    keys = ranked_types(spark, sf_dir)
+    ru = keys.where("rn <= 100").select("rn", F.upper(F.replace("text_en", F.lit("\n"), F.lit(""))).alias("text_ru"))
+    return spark.read.text(written(spark, "ru.txt", lambda p: sinks.write_translated_txt(keys, ru, p)))
+
+
+@query("map_csv", f"SELECT text_en, ' ' || upper(text_en) AS text_ru FROM ({TYPES_SQL})")
+def map_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = ranked_types(spark, sf_dir).withColumn("text_ru", F.concat(F.lit(" "), F.upper("text_en")))
+    return files.read_csv(spark, written(spark, "map.csv", lambda p: sinks.write_map_csv(pairs, p)))
+
+
+@query(
+    "csv_dictionary",
+    f"SELECT en, ru FROM (SELECT trim(CASE WHEN p_partkey % 5 = 0 THEN '  ' ELSE {SHAPES_SQL} END, '{WS}') AS en, trim(CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE ' ' || p_brand END, '{WS}') AS ru FROM part) WHERE en <> ''",
+)
+def csv_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank keys go, blank values and repeated keys stay."""
+    en, ru = F.when(F.col("p_partkey") % 5 == 0, "  ").otherwise(shapes()), F.when(F.col("p_partkey") % 3 == 0, " ").otherwise(F.concat(F.lit(" "), "p_brand"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rn"), en.alias("text_en"), ru.alias("text_ru"))
+    return files.read_csv_dictionary(spark, written(spark, "dictionary.csv", lambda p: sinks.write_map_csv(rows, p))).select("en", "ru")
+
+
+LINES_SQL = "SELECT p_partkey AS ix, '[' || p_size || '] ' || p_type AS en, CASE WHEN p_partkey % 7 = 0 THEN ' ' ELSE ' ' || upper(p_name) END AS ru FROM part"
+
+
+@query(
+    "text_pair_dictionary",
+    rf"""WITH l AS (SELECT row_number() OVER (ORDER BY ix) AS rn, regexp_replace(en, '^\[\d+\]\s*', '') AS en FROM ({LINES_SQL})),
+ r AS (SELECT row_number() OVER (ORDER BY ix) AS rn, trim(ru) AS ru FROM ({LINES_SQL}) WHERE trim(ru) <> '')
+ SELECT en, arg_min(ru, rn) AS ru, min(rn) AS pos FROM l JOIN r USING (rn) GROUP BY en""",
+)
+def text_pair_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank lines go on one side only, which shifts that side; the first value of a key wins."""
+    p = table(spark, sf_dir, "part")
+    en, ru = F.concat(F.lit("["), "p_size", F.lit("] "), "p_type"), F.when(F.col("p_partkey") % 7 == 0, " ").otherwise(F.concat(F.lit(" "), F.upper("p_name")))
+    one = lambda c, name: written(spark, name, lambda path: p.select("p_partkey", c.alias("value")).repartitionByRange(1, "p_partkey").sortWithinPartitions("p_partkey").select("value").write.text(path))
+    return files.read_text_pair_dictionary(spark, one(en, "en.txt"), one(ru, "ru.txt")).select("en", "ru", "pos")
+
+
+JSON_MAP_SQL = "SELECT n_name AS text_en, CASE WHEN n_nationkey % 4 = 0 THEN n_name || chr(10) || '\"' ELSE lower(n_name) END AS text_ru FROM nation"
+
+
+def nation_map(spark: SparkSession, sf_dir: str) -> str:
+    """A flat JSON object in a file."""
+    ru = F.when(F.col("n_nationkey") % 4 == 0, F.concat("n_name", F.lit('\n"'))).otherwise(F.lower("n_name"))
+    whole = table(spark, sf_dir, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", ru)))).alias("value"))  # 25 rows
+    return written(spark, "translations.json", whole.write.text)
+
+
+@query("json_map", JSON_MAP_SQL)
+def json_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_json_map(spark, nation_map(spark, sf_dir))
+
+
+@query("coverage_run", f"SELECT n AS count, text_en, text_ru, true AS in_map FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) JOIN nation ON n_nationkey = c_nationkey JOIN ({JSON_MAP_SQL}) ON text_en = n_name")
+def coverage_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coverage check over files: the extract is enriched in place and the map is written."""
+    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).count().join(table(spark, sf_dir, "nation"), "n_nationkey")
+    extract = written(spark, "extracted.csv", lambda p: sinks.write_frequency_csv(frequency.ranked(counts.select("count", F.col("n_name").alias("text_en"))), p))
+    into = fresh_path(spark, "map.csv")
+    localise.check_and_enrich(spark, nation_map(spark, sf_dir), extract, into)
+    known = files.read_csv(spark, into).select("text_en", F.lit(True).alias("in_map"))
+    return files.read_csv(spark, extract).withColumn("count", F.col("count").cast("long")).join(known, "text_en", "left")
+
+
+@query("dictionary_guards", "SELECT count(*) FILTER (WHERE n_nationkey < 0) = 0 AS refuses_empty, count(*) = 0 AS refuses_full, 25 - count(*) FILTER (WHERE n_nationkey % 2 = 0) AS missing FROM nation")
+def dictionary_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the checks refuse: an empty dictionary, and a map that lacks keys, with their number."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("text_en"), F.lit("x").alias("text_ru"))
+
+    def refused(check, *tables: DataFrame) -> str | None:
+        try:
+            check(*tables)
+        except PySparkValueError as e:
+            return str(e)
+        return None
+
+    lacking = refused(dictionary.check_coverage, n, n.where("n_nationkey % 2 = 0")) or "0"
+    row = (refused(dictionary.check_not_empty, n.where("n_nationkey < 0")) is not None, refused(dictionary.check_not_empty, n) is not None, int(lacking.split()[0]))
+    return spark.createDataFrame([row], "refuses_empty boolean, refuses_full boolean, missing long")
+
+
+@query("reply_messages", "SELECT conv_id, turn, CASE WHEN text = '' THEN 'other' ELSE text END AS message FROM conversations")
+def reply_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat replies of several shapes, the first choice empty in some: the first text that is not."""
+
+    def run(parts):
+        for pdf in parts:
+            found = []
+            for i, text in enumerate(pdf["text"]):
+                message = {"content": text if i % 2 else [{"text": text[:3]}, text[3:]]}
+                choice = {"message": message} if i % 3 else {"text": text}
+                found.append(providers.message_of({"choices": [{"message": {"content": ""}}, choice, {"text": "other"}]}))
+            yield pdf[["conv_id", "turn"]].assign(message=found)
+
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").mapInPandas(run, "conv_id long, turn long, message string")
+
+
+@query("default_outputs", "SELECT c_custkey, 'd.1/' || c_name || '_ru.dxf' AS output, 'd.1/' || c_name || '_map.csv' AS map, 'd.1/' || c_name || '_texts.txt' AS texts, 'd.1/' || c_name || '_texts_ru.txt' AS translated FROM customer")
+def default_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("d.1/"), "c_name", F.when(F.col("c_custkey") % 2 == 0, ".DWG").otherwise(".dxf"))
+    return table(spark, sf_dir, "customer").select("c_custkey", *(T.default_path(path, k, "dxf").alias(k) for k in ("output", "map", "texts", "translated")))
+
+
+# --- Drawings: files made from part, a hundred parts each ---
+
+DRAWN = ("TEXT", "MTEXT", "ATTDEF", "DIMENSION", "LINE")
+
+
+def drawings(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of drawings in two code pages; every fifth file lies below a folder of its own."""
+    p = table(spark, sf_dir, "part")
+    line = lambda code, value: F.concat(F.lit(f"{code:>3}\r\n"), value if isinstance(value, Column) else F.lit(value), F.lit("\r\n"))
+    kind = F.element_at(F.array(*map(F.lit, DRAWN)), F.pmod("p_partkey", F.lit(len(DRAWN))).cast("int") + 1)
+    mtext = F.concat(line(3, F.concat(F.lit("{\\fArial|b0;"), "p_name", F.lit("}"))), line(1, F.concat(F.lit("\\P\\A1;é "), "p_type")))
+    body = F.when(kind == "MTEXT", mtext).when(kind == "DIMENSION", line(1, F.concat(F.lit("<> é "), "p_type"))).otherwise(line(1, F.concat("p_type", F.lit(" é"))))
+    tag = F.when(kind == "ATTDEF", line(2, F.col("p_brand"))).otherwise("")
+    style = F.when(kind != "DIMENSION", line(7, "Standard")).otherwise("")
+    layout = F.when(F.col("p_size") % 2 == 0, line(410, "Sheet")).otherwise("")
+    entity = F.concat(line(0, kind), layout, body, tag, style)
+    drawing = F.floor(F.col("p_partkey") / 100).cast("long").alias("drawing")
+    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", entity.alias("e")))), lambda x: x["e"]), "")  # at most 100
+    page = F.when(F.col("drawing") % 2 == 0, F.concat(line(1, "AC1015"), line(9, "$DWGCODEPAGE"), line(3, "ANSI_1252"))).otherwise(line(1, "AC1032"))
+    head = F.concat(line(0, "SECTION"), line(2, "HEADER"), line(9, "$ACADVER"), page, line(0, "ENDSEC"), line(0, "SECTION"), line(2, "ENTITIES"))
+    whole = F.concat(head, "texts", line(0, "ENDSEC"), line(0, "EOF"))
+    content = F.when(F.col("drawing") % 2 == 0, F.encode(whole, "ISO-8859-1")).otherwise(F.encode(whole, "UTF-8"))
+    name = F.concat(F.when(F.col("drawing") % 5 == 0, F.concat(F.lit("sub/d"), "drawing")).otherwise(F.concat(F.lit("d"), F.floor(F.col("drawing") / 5) * 5)), F.lit("."), F.col("drawing"), F.lit(".dxf"))
+    made = p.groupBy(drawing).agg(texts.alias("texts")).select(name.alias("name"), content.alias("content"))
+    return written(spark, "drawings", lambda path: dxf.write_files(made, path).count())
+
+
+def drawn_sql(replaced: str) -> str:
+    """kind, layout and text of the drawings' entities, by p_partkey; replaced: p_type in the texts."""
+    kinds = "[" + ", ".join(map(LIT, DRAWN)) + "]"
+    return f"""SELECT p_partkey, dxftype, CASE WHEN p_size % 2 = 0 THEN 'Sheet' ELSE 'Model' END AS container, CASE WHEN dxftype = 'MTEXT' THEN p_name || chr(10) || 'é ' || {replaced}
+ WHEN dxftype = 'DIMENSION' THEN '<> é ' || {replaced} WHEN dxftype = 'LINE' THEN NULL ELSE {replaced} || ' é' END AS text
+ FROM (SELECT *, {kinds}[(p_partkey % {len(DRAWN)}) + 1] AS dxftype FROM part)"""
+
+
+@query("drawing_entities", f"SELECT dxftype, container, text, count(*) AS n FROM ({drawn_sql('p_type')}) GROUP BY ALL")
+def drawing_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dxf.read_entities(spark, drawings(spark, sf_dir)).groupBy("dxftype", "container", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("drawing_frequency", f"SELECT trim(text, '{WS}') AS text_en, count(*) AS count FROM ({drawn_sql('p_type')}) WHERE text IS NOT NULL GROUP BY 1")
+def drawing_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command extract over a folder of drawings, its CSV read again."""
+    from .. import cli
+
+    out = fresh_path(spark, "extract.csv")
+    with contextlib.redirect_stdout(io.StringIO()):
+        cli.run(spark, cli.parser().parse_args(["extract", drawings(spark, sf_dir), "--csv", out]))
+    return files.read_extract(spark, out)
+
+
+TYPE_PAIRS = [("STANDARD", "стандарт"), ("SMALL", "малый <>"), ("é", "e"), ("AR", "ar")]
+
+
+@query("drawing_apply", f"SELECT dxftype, container, text, CASE WHEN dxftype IN ('TEXT', 'MTEXT', 'ATTDEF') THEN 'RU' WHEN dxftype = 'LINE' THEN 'Standard' END AS style, count(*) AS n FROM (SELECT dxftype, container, {nested('text', apply.ordered(TYPE_PAIRS))} AS text FROM ({drawn_sql('p_type')})) GROUP BY ALL")
+def drawing_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command apply with a CSV dictionary over a folder of drawings, which are read again from where it
+    wrote them: code pages, styles and names of files as they were."""
+    from .. import cli
+
+    pairs = spark.createDataFrame([(i, *p) for i, p in enumerate(TYPE_PAIRS, 1)], "rn long, text_en string, text_ru string")
+    mapping, out = f"{fresh_path(spark, 'map')}/map.csv", fresh_path(spark, "applied")
+    sinks.write_map_csv(pairs, mapping)
+    with contextlib.redirect_stdout(io.StringIO()):
+        cli.run(spark, cli.parser().parse_args(["apply", drawings(spark, sf_dir), mapping, out]))
+    return dxf.read_entities(spark, out).groupBy("dxftype", "container", "text", "style").agg(F.count(F.lit(1)).alias("n"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.dictionary import from_lines, normalised
+from ..plans.tables import filesystem
+from .sinks import json_items
 
 #: CSV as the standard writer makes it: quotes doubled, line feeds inside quotes, edge spaces kept.
 CSV = {
@@ -91,9 +93,12 @@ def read_extract(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_frequency_json(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True)
+    """count, text_en of a frequency JSON: a folder that write_frequency_json() made, or a file of any layout."""
+    fs, p = filesystem(spark, path)
+    if fs.getFileStatus(p).isDirectory():
+        return json_items(spark.read.text(path))
     items = F.from_json("value", "items array<struct<text_en:string,count:bigint>>")["items"]
-    return whole.select(F.inline(items)).select("count", "text_en")
+    return spark.read.text(path, wholetext=True).select(F.inline(items)).select("count", "text_en")
 
 
 def read_frequency_txt(spark: SparkSession, path: str) -> DataFrame:

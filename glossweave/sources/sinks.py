@@ -1,13 +1,14 @@
-"""Outputs. Each is written as one file in a folder, in the order of rn, like the tables they come from:
-distinct keys, not the corpus."""
+"""Outputs. Each is a folder of files that hold the rows in the order of rn, one after the other by name:
+one file for a few keys, ranges of rn for many."""
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkRuntimeError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.tables import filesystem, materialize
+from ..plans.tables import filesystem, materialize, release
 
 CSV_OUT = {
     "header": "true",
@@ -21,7 +22,7 @@ CSV_OUT = {
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
-    return rows.repartitionByRange(1, "rn").sortWithinPartitions("rn")
+    return rows.repartitionByRange("rn").sortWithinPartitions("rn")  # few rows are coalesced at run time
 
 
 def write_csv(rows: DataFrame, path: str, columns: tuple[str, ...], mode: str = "overwrite") -> None:
@@ -40,23 +41,40 @@ def write_map_csv(pairs: DataFrame, path: str) -> None:
 
 def write_enriched_csv(rows: DataFrame, path: str) -> None:
     """rows: rn, count, text_en, text_ru. The path may be the one that rows were read from: the new file is
-    written beside it, then takes its place."""
-    spark = rows.sparkSession
-    beside = f"{path.rstrip('/')}.new"
-    write_csv(materialize(rows, "enriched"), beside, ("count", "text_en", "text_ru"))
-    fs, old = filesystem(spark, path)
-    fs.delete(old, True)
-    fs.rename(filesystem(spark, beside)[1], old)
-
-
-def frequency_json(ranked: DataFrame) -> DataFrame:
-    """One row, value: {"items": [{"text_en", "count"}]} in order."""
-    items = F.transform(F.sort_array(F.collect_list(F.struct("rn", "text_en", "count"))), lambda x: F.struct(x["text_en"].alias("text_en"), x["count"].alias("count")))
-    return ranked.agg(F.to_json(F.struct(items.alias("items")), {"pretty": "true"}).alias("value"))
+    written beside it, the old one moves aside, the new one takes its place, and the old one goes last, so a
+    crash leaves the input as path or path.old."""
+    spark, path = rows.sparkSession, path.rstrip("/")
+    written = materialize(rows, "enriched")
+    write_csv(written, f"{path}.new", ("count", "text_en", "text_ru"))
+    fs, here = filesystem(spark, path)
+    beside, aside = (filesystem(spark, f"{path}.{x}")[1] for x in ("new", "old"))
+    if fs.exists(here):
+        fs.delete(aside, True)
+        if not fs.rename(here, aside):
+            raise PySparkRuntimeError(f"{path} can't be moved")
+    if not fs.rename(beside, here):
+        raise PySparkRuntimeError(f"{path}.new can't take the place of {path}; the input is {path}.old")
+    fs.delete(aside, True)
+    release(written)
+
+
+def json_lines(ranked: DataFrame) -> DataFrame:
+    """rn, value: the lines of {"items": [{"text_en", "count"}]}, an item a line, brackets before and after."""
+    last = ranked.agg(F.coalesce(F.max("rn"), F.lit(0)).alias("last"))
+    edges = last.select(F.explode(F.array(F.struct(F.lit(0).cast("long").alias("rn"), F.lit('{"items": [').alias("value")), F.struct((F.col("last") + 1).alias("rn"), F.lit("]}").alias("value")))).alias("e")).select("e.*")
+    item = F.to_json(F.struct("text_en", "count"))
+    # a comma before all but the first, so that no row needs to know whether it is the last
+    return ranked.select("rn", F.concat(F.when(F.col("rn") == 1, "  ").otherwise(", "), item).alias("value")).unionByName(edges)
+
+
+def json_items(lines: DataFrame) -> DataFrame:
+    """count, text_en of json_lines(): brackets are no items."""
+    item = F.from_json(F.regexp_replace("value", r"\A[ ,]+", ""), "text_en string, count bigint")
+    return lines.where(F.col("value").rlike(r'\A[ ,]+\{"text_en"')).select(item.alias("i")).select("i.count", "i.text_en")
 
 
 def write_frequency_json(ranked: DataFrame, path: str) -> None:
-    frequency_json(ranked).write.mode("overwrite").text(path)
+    _in_order(json_lines(ranked)).select("value").write.mode("overwrite").text(path)
 
 
 def txt_lines(rows: DataFrame, text: str = "text_en") -> DataFrame:

@@ -57,10 +57,11 @@ def test_flatten(spark):
         entity("block", None, "LEADER", "l"),
         entity("layout", "Model", "LINE", "no"),
         entity(None, None, None, None),
+        entity("layout", None, "TEXT", "no layout name"),
     ]
-    got = flatten.text_bag(flatten.in_scope(spark.createDataFrame(rows, ENTITIES)))
+    got = flatten.text_bag(spark.createDataFrame(rows, ENTITIES))
     assert sorted(map(tuple, got.collect())) == sorted(
-        [("TEXT", "", " a "), ("MTEXT", "", "b"), ("DIMENSION", "", "<> TYP"), ("BLOCK:B:TABLE", "r0c0", "p"), ("INSERT:ATTRIB", "T1", "x"), ("BLOCK:B:ATTRIB", "T1", "x"), ("BLOCK", "G", "t"), ("BLOCK", "", "l")]
+        [("TEXT", "", " a "), ("TEXT", "", "no layout name"), ("MTEXT", "", "b"), ("DIMENSION", "", "<> TYP"), ("BLOCK:B:TABLE", "r0c0", "p"), ("INSERT:ATTRIB", "T1", "x"), ("BLOCK:B:ATTRIB", "T1", "x"), ("BLOCK", "G", "t"), ("BLOCK", "", "l")]
     )
 
 
@@ -205,9 +206,10 @@ def test_drawing(spark, tmp_path):
     source = write(tmp_path / "in" / "a.dxf", DRAWING)
     got = {r.entity_ix: r for r in dxf.read_entities(spark, source).collect()}
     assert [(r.space, r.container, r.dxftype, r.text) for r in (got[i] for i in range(6))] == [
-        ("block", "B1", "ATTDEF", "default"), ("layout", "Model", "TEXT", "Valve <> open"), ("layout", "Model", "MTEXT", "Long part, rest\\PValve"),
+        ("block", "B1", "ATTDEF", "default"), ("layout", "Model", "TEXT", "Valve <> open"), ("layout", "Model", "MTEXT", "Long part, rest\nValve"),
         ("layout", "Model", "INSERT", None), ("layout", "Sheet", "DIMENSION", "<>"), ("layout", "Model", "TABLE", None),
     ]
+    assert got[2].alternatives == ["Long part, rest\\PValve"]
     assert got[3].attribs[0].text == "Valve" and got[5].cells == [["Valve", ""]]
     entities = dxf.read_entities(spark, source)
     done = localise.run_entities(entities, providers.Options("dictionary", dictionary={"Valve": "Klappe", "default": "Vorgabe"}))
@@ -215,10 +217,9 @@ def test_drawing(spark, tmp_path):
     assert done.summary.first().items_translated == 4
     dxf.write_entities(done.entities, source, f"file://{tmp_path}/out").collect()
     back = {r.entity_ix: r for r in dxf.read_entities(spark, f"file://{tmp_path}/out").collect()}
-    assert back[0].text == "Vorgabe" and back[1].text == "Klappe <> open" and back[2].text == "Long part, rest\\PValve" and back[5].cells == [["Klappe", ""]]
+    assert back[0].text == "Vorgabe" and back[1].text == "Klappe <> open" and back[2].text == "Long part, rest\nKlappe" and back[5].cells == [["Klappe", ""]]
     assert back[3].attribs[0].text == "Valve"  # attached attributes are translated but not written back
-    same = dxf.with_texts(DRAWING, {})
-    assert dxf.pairs_of(same) == dxf.pairs_of(DRAWING)
+    assert dxf.with_texts(DRAWING.encode(), {}) == DRAWING.encode()
     assert dxf.input_kind("a/B.DWG") == "dwg"
     with pytest.raises(PySparkException):
         dxf.input_kind("a.pdf")
