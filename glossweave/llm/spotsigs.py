@@ -8,7 +8,9 @@ lengths or remaining signatures cannot reach the threshold are pruned before the
 
 neighbours() finds each document's successor by id without a global sort in one task: ids are cut into
 ranges at approximate quantiles, each range also gets a copy of the first document of the next one, and
-a window inside a range does the rest. Text is shuffled once.
+a window inside a range does the rest. Text is shuffled once. The cuts are made in two steps, COARSE
+parts by literals of the plan and the ranges inside a part by a table, so their number follows the corpus:
+a range has some RANGE_DOCS documents, in corpora of more than MANY ranges some LARGE_DOCS.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.frequency import dense
+from .common import materialize
+
 #: Common words of the four languages that serve as anchors.
 ANCHORS = (
     "the of and to a in is that it for was on with as be by this are at from "
@@ -24,7 +29,8 @@ ANCHORS = (
     "el y los se del las por con no su una para es al lo"
 ).split()
 CHAIN, REACH = 2, 8
-RANGE_DOCS, MAX_RANGES, COARSE = 512, 16_384, 128
+RANGE_DOCS, MANY, LARGE_DOCS, COARSE = 512, 16_384, 65_536, 128
+BROADCAST_RANGES = 1 << 20  # ranges whose first ids (24 bytes each) may be broadcast
 THRESHOLD = 0.8
 
 
@@ -70,15 +76,27 @@ def length_class(sigs: Column, threshold: float = THRESHOLD) -> Column:
     return F.floor(F.log(F.greatest(F.size(sigs), F.lit(1))) / F.log(F.lit(1 / threshold))).cast("int")
 
 
-def _range_of(doc_id: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at most doc_id; 0 for null. Two short scans, not one long one."""
-    if not bounds:
-        return F.lit(0)
-    parts = [bounds[i : i + COARSE] for i in range(0, len(bounds), COARSE)]
-    firsts, rest = F.array(*(F.lit(p[0]) for p in parts)), F.array(*(F.array(*map(F.lit, p)) for p in parts))
-    part = F.size(F.filter(firsts, lambda b: b <= doc_id))
-    inside = F.size(F.filter(F.element_at(rest, F.greatest(part, F.lit(1))), lambda b: b <= doc_id))
-    return F.coalesce(F.when(part > 0, (part - 1) * COARSE + inside).otherwise(0), F.lit(0))
+def _below(doc_id: Column, bounds: Column) -> Column:
+    """How many of the sorted bounds are at most doc_id; 0 for null."""
+    return F.when(doc_id.isNull(), 0).otherwise(F.size(F.filter(bounds, lambda b: b <= doc_id)))
+
+
+def _ranged(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs with range, which follows the order of doc_id (nulls in the first), and about how many there are."""
+    n = docs.count()
+    k = max(1, min(n // RANGE_DOCS, MANY), n // LARGE_DOCS)
+    parts = min(COARSE, k)
+    fine = -(-k // parts)
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
+    part = _below(F.col("doc_id"), F.array(*map(F.lit, sorted(set(cuts or [])))).cast("array<bigint>"))
+    docs = docs.withColumn("part", part)
+    if fine == 1:
+        return docs.withColumn("range", F.col("part").cast("long")).drop("part"), k
+    inner = docs.groupBy("part").agg(F.sort_array(F.array_distinct(F.percentile_approx("doc_id", [i / fine for i in range(1, fine)], 10_000))).alias("cuts"))
+    inner = materialize(inner, "spot-cuts")  # at most COARSE rows
+    docs = docs.join(F.broadcast(inner) if k <= BROADCAST_RANGES else inner, "part")
+    inside = F.coalesce(_below(F.col("doc_id"), F.col("cuts")), F.lit(0))
+    return docs.withColumn("range", F.col("part").cast("long") * (fine + 1) + inside).drop("part", "cuts"), k
 
 
 def neighbours(docs: DataFrame, derive: dict | None = None) -> DataFrame:
@@ -86,18 +104,17 @@ def neighbours(docs: DataFrame, derive: dict | None = None) -> DataFrame:
     next_name, of the next row by (doc_id, text); null ids come first; after the last row comes the first.
     """
     derive = derive or {}
-    n = docs.count()
-    k = max(1, min(MAX_RANGES, n // RANGE_DOCS))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 50_000)).first()[0] if k > 1 else None
-    bounds = sorted({int(x) for x in cuts or []})
-    ranged = docs.select("doc_id", "text", _range_of(F.col("doc_id"), bounds).alias("range"))
-    found = ranged.groupBy("range").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("null")).collect()  # at most MAX_RANGES
-    firsts = sorted((r["range"], None if r["null"] else r["first"]) for r in found)
-    ghosts = [(firsts[i - 1][0], f, int(i == 0)) for i, (_, f) in enumerate(firsts)]  # the first range's goes to the last
-    spark = docs.sparkSession
-    to = spark.createDataFrame(ghosts, "range int, first long, wrap int")
+    ranged, k = _ranged(docs)
+    found = ranged.groupBy("range").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("null"))
+    found = found.select("range", F.when(~F.col("null"), F.col("first")).alias("first"))
+    found = materialize(dense(found, "range"), "spot-ranges")  # a row a range
+    n = found.count()
+    own_rn = found.select("range", F.col("rn").alias("to"))
+    lends = found.select("first", (F.pmod(F.col("rn") - 2, F.lit(max(1, n))) + 1).alias("to"), (F.col("rn") == 1).cast("int").alias("wrap"))
+    to = lends.join(own_rn, "to").select("range", "first", "wrap")  # the first range's goes to the last
+    to = F.broadcast(to) if n <= BROADCAST_RANGES else to
     own = ranged.select("range", "doc_id", "text", F.lit(0).alias("ghost"))
-    lent = docs.join(F.broadcast(to), docs["doc_id"].eqNullSafe(to["first"])).select("range", "doc_id", "text", F.lit(1).alias("ghost"))
+    lent = docs.join(to, docs["doc_id"].eqNullSafe(to["first"])).select("range", "doc_id", "text", F.lit(1).alias("ghost"))
     rows = own.unionByName(lent).repartition("range")
     rows = rows.withColumns({c: f(F.col("text")) for c, f in derive.items()})
     order = Window.partitionBy("range").orderBy("ghost", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
