@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from . import quality
-
 SPACE_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 WORDS_SQL = r"regexp_extract_all(%s, '[^\x20\x09-\x0D]+')"
 LINES = """parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
@@ -16,8 +14,17 @@ marked AS (SELECT k.*, h.key IS NOT NULL AND h.last <> k.doc_id AS gone FROM key
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
  sha256(coalesce(string_agg(line, chr(10) ORDER BY ix) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id"""
 
-_STOCK = " OR ".join(f"contains(lower(line), '{x}')" for x in quality.BOILERPLATE)
-_ALONE = ", ".join("'" + x.decode() + "'" for x in sorted(quality.SEPARATORS))
+#: Fixed values, stated here on their own: stock phrases and separators of the rules.
+PHRASES = (
+    "lorem ipsum", "cookie policy", "cookie settings", "accept cookies", "use cookies", "terms of use", "terms of service",
+    "privacy policy", "enable javascript", "all rights reserved", "sign up for our newsletter", "skip to content",
+    "skip to main content", "click here to", "share on facebook", "share on twitter", "powered by wordpress",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "accepter les cookies",
+    "alle rechte vorbehalten", "datenschutzerklärung", "cookies akzeptieren", "nutzungsbedingungen",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "aceptar cookies",
+)
+_STOCK = " OR ".join(f"contains(lower(line), '{x}')" for x in PHRASES)
+_ALONE = "'|', '>', '<', '»', '«', '•', '·', '/', '::'"
 _SYMBOLS = "length(regexp_replace(%s, '[^#*$%%&|<>]', '', 'g'))"
 
 OP4 = f"""WITH {LINES},
@@ -26,9 +33,9 @@ faults AS (SELECT *, len(words) AS n, length(array_to_string(words, '')) AS char
  len(list_filter(words, lambda x: x IN ({_ALONE}))) AS alone, {_SYMBOLS % "line"} AS symbols,
  len(list_filter(words, lambda x: upper(x) = x AND lower(x) <> x)) AS capitals,
  row_number() OVER (PARTITION BY doc_id, line ORDER BY ix) AS nth FROM w),
-judged AS (SELECT *, n > 0 AND ((alone > 0 AND alone >= greatest(2, {quality.MAX_SEPARATORS_PER_WORD}::DOUBLE * n))
- OR symbols > greatest(2, {quality.MAX_SYMBOLS_PER_WORD}::DOUBLE * n) OR {_STOCK}
- OR (n >= {quality.MIN_LONG_LINE} AND (capitals > {quality.MAX_UPPER_SHARE}::DOUBLE * n OR NOT regexp_matches(line, '[.!?:;…"''”’»)。！？]([\\x20\\x09-\\x0D]|$)')))) AS failed FROM faults),
+judged AS (SELECT *, n > 0 AND ((alone > 0 AND alone >= greatest(2, 0.15::DOUBLE * n))
+ OR symbols > greatest(2, 0.3::DOUBLE * n) OR {_STOCK}
+ OR (n >= 8 AND (capitals > 0.7::DOUBLE * n OR NOT regexp_matches(line, '[.!?:;…"''”’»)。！？]([\\x20\\x09-\\x0D]|$)')))) AS failed FROM faults),
 by_doc AS (SELECT doc_id, sum(n)::BIGINT AS n_words, sum(chars)::BIGINT AS word_chars, sum(symbols)::BIGINT AS n_symbols,
  count(*) FILTER (WHERE n > 0 AND nth > 1) AS n_dup_lines, count(*) FILTER (WHERE failed) AS n_failed_lines, coalesce(sum(chars) FILTER (WHERE n > 0 AND NOT failed), 0)::BIGINT AS kept_chars FROM judged GROUP BY doc_id),
 tokens AS (SELECT doc_id, {WORDS_SQL % "coalesce(text, '')"} AS t FROM documents),
@@ -36,10 +43,10 @@ windows AS (SELECT doc_id, unnest(range(greatest(0, len(t) - 7))) AS i, t FROM t
 same AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(t[i + 1 : i + 8], ' ')) AS c FROM windows),
 covered AS (SELECT doc_id, count(DISTINCT word_ix) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS word_ix FROM same WHERE c > 1) GROUP BY doc_id),
 base AS (SELECT b.*, coalesce(c.n_repeat_words, 0) AS n_repeat_words, CASE WHEN word_chars > 0 THEN kept_chars::DOUBLE / word_chars ELSE 0.0::DOUBLE END AS kept_share FROM by_doc b LEFT JOIN covered c USING (doc_id)),
-failing AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+failing AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
- NOT base_failed AND kept_share >= {quality.MIN_KEPT_SHARE}::DOUBLE AND n_symbols <= {quality.MAX_SYMBOLS_PER_WORD}::DOUBLE * n_words
- AND word_chars::DOUBLE / greatest(n_words, 1) BETWEEN {quality.MEAN_WORD[0]}::DOUBLE AND {quality.MEAN_WORD[1]}::DOUBLE AS kept, n_failed_lines, kept_share FROM failing"""
+ NOT base_failed AND kept_share >= 0.6::DOUBLE AND n_symbols <= 0.3::DOUBLE * n_words
+ AND word_chars::DOUBLE / greatest(n_words, 1) BETWEEN 2.0::DOUBLE AND 25.0::DOUBLE AS kept, n_failed_lines, kept_share FROM failing"""
 
 OP5 = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),

@@ -24,7 +24,6 @@ MIN_WORDS = 20
 #: Rule parameters.
 MIN_KEPT_SHARE = 0.6
 MAX_SYMBOLS_PER_WORD = 0.3
-MAX_DUP_LINES = 0.5
 MAX_SEPARATORS_PER_WORD = 0.15
 MAX_UPPER_SHARE = 0.7  # of words
 MIN_LONG_LINE = 8
@@ -35,6 +34,9 @@ BOILERPLATE = (
     "lorem ipsum", "cookie policy", "cookie settings", "accept cookies", "use cookies", "terms of use", "terms of service",
     "privacy policy", "enable javascript", "all rights reserved", "sign up for our newsletter", "skip to content",
     "skip to main content", "click here to", "share on facebook", "share on twitter", "powered by wordpress",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "accepter les cookies",
+    "alle rechte vorbehalten", "datenschutzerklärung", "cookies akzeptieren", "nutzungsbedingungen",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "aceptar cookies",
 )
 
 SCHEMA = (
