@@ -191,13 +191,21 @@ _LOADED: dict[str, Bpe] = {}
 
 
 def load(path: str) -> Bpe:
-    """One vocabulary per Python worker and path; the file must lie on every machine."""
+    """The vocabulary of a file, read once."""
     if path not in _LOADED:
         with open(path, encoding="utf-8") as f:
             _LOADED[path] = Bpe(json.load(f))
     return _LOADED[path]
 
 
+def from_text(spec: bytes) -> Bpe:
+    """One vocabulary per Python worker and file; workers get the file's bytes, not its path."""
+    key = hashlib.sha256(spec).hexdigest()
+    if key not in _LOADED:
+        _LOADED[key] = Bpe(json.loads(spec))
+    return _LOADED[key]
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -213,10 +221,11 @@ def unpack(raw: bytes) -> list[int]:
 
 
 def _over(docs: DataFrame, id_col: str, text_col: str, path: str | None, schema: str, row) -> DataFrame:
-    path = path or tokenizer_path()
+    with open(path or tokenizer_path(), "rb") as f:
+        held = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: a few MB
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = load(path)
+        bpe = from_text(held.value)
         for pdf in batches:
             for at in range(0, len(pdf), 256):  # results of few texts at a time
                 part = pdf.iloc[at : at + 256]

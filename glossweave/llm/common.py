@@ -11,7 +11,6 @@ from ..plans.tables import filesystem, fresh_path, materialize, release, shared_
 
 #: The white space that separates words, [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
-WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def fold(doc_id: Column) -> Column:
