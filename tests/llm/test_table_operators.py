@@ -437,6 +437,7 @@ def jaccard(a, b):
 def test_spotsigs(request, spark, sf, monkeypatch, name):
     monkeypatch.setattr(spotsigs, "RANGE_DOCS", 3)
     monkeypatch.setattr(spotsigs, "COARSE", 4)
+    monkeypatch.setattr(spotsigs, "BROADCAST_RANGES", 8)
     docs = table(spark, sf, "documents") if name == "documents" else request.getfixturevalue(name)
     rows = sorted(((i, t or "") for i, t in pairs_of(docs)), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
     want = []
