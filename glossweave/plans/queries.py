@@ -490,11 +490,11 @@ def frequency_txt_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(written(spark, "extract.txt", lambda p: sinks.write_frequency_txt(ranked_types(spark, sf_dir), p)))
 
 
-@query("translated_txt_file", f"SELECT '[' || count || '] ' || upper(replace(text_en, chr(10), '')) AS value FROM ({TYPES_SQL}) WHERE rn <= 100")
+@query("translated_txt_file", f"SELECT '[' || count || '] ' || upper(replace(text_en, chr(10), '')) AS value FROM ({TYPES_SQL}) WHERE rn <= 20")
 def translated_txt_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longer side's rest is cut: translations of the first hundred keys."""
+    """The longer side's rest is cut: translations of the first twenty keys."""
     keys = ranked_types(spark, sf_dir)
-    ru = keys.where("rn <= 100").select("rn", F.upper(F.replace("text_en", F.lit("\n"), F.lit(""))).alias("text_ru"))
+    ru = keys.where("rn <= 20").select("rn", F.upper(F.replace("text_en", F.lit("\n"), F.lit(""))).alias("text_ru"))
     return spark.read.text(written(spark, "ru.txt", lambda p: sinks.write_translated_txt(keys, ru, p)))
 
 
