@@ -14,9 +14,11 @@ pairs: in two rounds all members meet one of them (the smallest, then one drawn
 are contracted to components. What is still apart is compared bucket by bucket: members outside a
 bucket's largest component are held against those of other components, in blocks of at most some BLOCK
 times BLOCK members that carry registers but no texts; a pair that shares several buckets is taken up
-in the first. Pairs that the registers do not rule out leave a block and are confirmed on the full sets.
-No pair that could add a link is left out. Buckets of more than HOT members are dealt out by a salt, and
-so is the text of a class that meets many; copies go through partial aggregates.
+in the first. Of what the registers do not rule out a block lists each member's partners, and the block's
+members that have any meet again with their texts, where the pairs are confirmed on the full sets; only
+links leave, so no table of pairs is made. No pair that could add a link is left out. Buckets of more than
+HOT members are dealt out by a salt, and so is the text of a bucket's head; copies go through partial
+aggregates.
 """
 
 from __future__ import annotations
@@ -183,13 +185,10 @@ def _classes(rows: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, full: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs: u, v, sv and perhaps su; full: node, n, regs, text. The pairs whose full sets are similar enough.
-    su and sv spread the classes that meet many: each value has a copy of the class's text."""
-
-    def side(x: str, spread: bool) -> tuple[DataFrame, list[str]]:
-        by = [x, f"s{x}"] if spread else [x]
-        wanted = full.join(pairs.select(F.col(x).alias("node"), f"s{x}").distinct(), "node") if spread else full
-        return wanted.select(F.col("node").alias(x), *by[1:], *(F.col(c).alias(c[0] + x) for c in ("n", "regs", "text"))), by
+    """pairs: u, v and salt, which spreads a v that meets many: each salt has a copy of its text; full: node, n,
+    regs, text. The pairs whose full sets are similar enough."""
+    named = lambda x: [F.col("node").alias(x), *(F.col(c).alias(c[0] + x) for c in ("n", "regs", "text"))]
+    heads = full.join(pairs.select(F.col("v").alias("node"), "salt").distinct(), "node")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: dict[int, np.ndarray] = {}  # the sets of a few documents met last
@@ -215,8 +214,8 @@ def _confirmed(pairs: DataFrame, full: DataFrame, k: int, percent: int) -> DataF
         _WORDS.clear()
         trim()
 
-    (left, by_u), (right, by_v) = side("u", "su" in pairs.columns), side("v", True)
-    return pairs.join(left, by_u).join(right, by_v).mapInPandas(run, "u long, v long")
+    joined = pairs.join(full.select(*named("u")), "u").join(heads.select(*named("v"), "salt"), ["v", "salt"])
+    return joined.mapInPandas(run, "u long, v long")
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -250,17 +249,17 @@ def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -
             break
         if r < ROUNDS:
             close = F.least("n", "nv") * 100 >= percent * F.greatest("n", "nv")
-            pairs = met.where((F.col("label") != F.col("lv")) & close).groupBy(F.col("node").alias("u"), "v").agg(F.max("salt").alias("sv"))
+            pairs = met.where((F.col("label") != F.col("lv")) & close).groupBy(F.col("node").alias("u"), "v").agg(F.max("salt").alias("salt"))
+            found, check = materialize(pairs, "near-pairs"), _confirmed
         else:
-            pairs = _across(met, full, percent)
-        pairs = materialize(pairs, "near-pairs")
-        links = materialize(_confirmed(pairs, full, k, percent), "near-links")
+            found, check = materialize(_across(met, full, percent), "near-partners"), _confirmed_blocks
+        links = materialize(check(found, full, k, percent), "near-links")
         by_node = labels.select(F.col("node").alias("u"), F.col("label").alias("lu"))
         edges = links.join(by_node, "u").join(labels.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v")
         moved = components(edges.select(F.col("lu").alias("a"), F.col("lv").alias("b")))
         to = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
         last, labels = labels, materialize(labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "near-labels")
-        release(pairs, links, moved, last)
+        release(found, links, moved, last)
         members, written = met.select("bucket", "node", "n", "band", "salts", "salt"), met  # closed buckets stay closed
     release(full)
     firsts = labels.join(classes.select("node", "first"), "node").groupBy("label").agg(F.min("first").alias("g"))
@@ -293,8 +292,8 @@ def _with_heads(now: DataFrame, r: int) -> DataFrame:
 
 
 def _across(met: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Pairs u, v that the registers do not rule out, of members outside a bucket's largest component and
-    members of other components, with the numbers of their blocks.
+    """bucket, ub, vb, node, partners: of members outside a bucket's largest component and members of other
+    components, those that the registers do not rule out, by block.
 
     A bucket's minors and all its members are cut into blocks; each pair of blocks is one small group of
     rows. A bucket of one block takes part with one row a member.
@@ -317,37 +316,76 @@ def _across(met: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     blocks = blocks.join(full.select("node", "regs"), "node").repartition("bucket", "ub", "vb").sortWithinPartitions("bucket", "ub", "vb")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[pd.DataFrame] = []  # the rows of a block that may go on in the next batch
-        for pdf in batches:
-            new = pdf[["bucket", "ub", "vb"]].to_numpy()
-            starts = np.flatnonzero(np.concatenate(([True], (new[1:] != new[:-1]).any(1)))) if len(new) else []
-            if rest and len(new) and (rest[-1][["bucket", "ub", "vb"]].to_numpy()[-1] != new[0]).any():
-                yield survivors(pd.concat(rest), percent)
-                rest = []
-            if len(starts) > 1:
-                yield survivors(pd.concat([*rest, pdf.iloc[: starts[-1]]]), percent)
-                rest = []
-            if len(new):
-                rest.append(pdf.iloc[starts[-1] :])
-        if rest:
-            yield survivors(pd.concat(rest), percent)
+        for rows in whole_blocks(batches):
+            yield survivors(rows, percent)
+        trim()
+
+    return blocks.mapInPandas(run, "bucket long, ub int, vb int, node long, partners array<long>")
+
+
+BY_BLOCK = ["bucket", "ub", "vb"]
+
+
+def starts_of(rows: pd.DataFrame) -> list[int]:
+    """Where the blocks of sorted rows begin."""
+    block = rows[BY_BLOCK].to_numpy()
+    return np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]).any(1)))).tolist() if len(rows) else []
+
+
+def whole_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted batches regrouped so that no block is cut."""
+    rest: list[pd.DataFrame] = []  # the rows of a block that may go on in the next batch
+    for pdf in batches:
+        starts = starts_of(pdf)
+        if not starts:
+            continue
+        if rest and (rest[-1][BY_BLOCK].iloc[-1] != pdf[BY_BLOCK].iloc[0]).any():
+            yield pd.concat(rest)
+            rest = []
+        if len(starts) > 1:
+            yield pd.concat([*rest, pdf.iloc[: starts[-1]]])
+            rest = []
+        rest.append(pdf.iloc[starts[-1] :])
+    if rest:
+        yield pd.concat(rest)
+
+
+def _confirmed_blocks(partners: DataFrame, full: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs of _across() whose full sets are similar enough. A block is one small group of rows."""
+    rows = partners.join(full.select("node", "text"), "node").repartition(*BY_BLOCK).sortWithinPartitions(*BY_BLOCK)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in whole_blocks(batches):
+            out: list[tuple[int, int]] = []
+            starts = starts_of(part)
+            for at, end in zip(starts, [*starts[1:], len(part)], strict=True):
+                mine = part.iloc[at:end]
+                text = dict(zip(mine["node"].tolist(), mine["text"], strict=True))
+                sets: dict[int, np.ndarray] = {}
+                for u, vs in zip(mine["node"].tolist(), mine["partners"], strict=True):
+                    for v in [] if vs is None else vs.tolist():
+                        for x in (u, v):
+                            if x not in sets:
+                                sets[x] = shingles(text[x], k)
+                        if similar(sets[u], sets[v], percent):
+                            out.append((u, v))
+            yield pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+        _WORDS.clear()
         trim()
 
-    found = blocks.mapInPandas(run, "u long, v long, su int, sv int")
-    return found.select("u", "v", "su", "sv")
+    return rows.mapInPandas(run, "u long, v long")
 
 
 _GRID = np.linspace(0, 1, 101)
 
 
 def survivors(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """The pairs of some whole blocks (sorted) that are apart, similar in size, not ruled out by their
-    registers, and in no earlier bucket together."""
+    """Of some whole blocks (sorted) the members of pairs that are apart, similar in size, not ruled out by their
+    registers, and in no earlier bucket together; a pair is named by one of its two members."""
     regs = np.frombuffer(b"".join(map(bytes, rows["regs"])), ">u2").astype(np.uint16).reshape(-1, M)
     node, n, label, band = (rows[c].to_numpy(np.int64) for c in ("node", "n", "label", "band"))
     is_main, as_u, as_v = (rows[c].to_numpy(bool) for c in ("is_main", "as_u", "as_v"))
-    block = rows[["bucket", "ub", "vb"]].to_numpy()
-    starts = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]).any(1))))
+    starts = starts_of(rows)
     us, vs, held, out = [], [], 0, []
 
     def compare() -> None:
@@ -362,7 +400,7 @@ def survivors(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
             left = ~_ruled_out(n[a], n[b], M - less - same.sum(1), less, percent / 100)
             out.append(np.column_stack([a[left], b[left]]))
 
-    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+    for start, end in zip(starts, [*starts[1:], len(rows)], strict=True):
         iu, iv = start + np.flatnonzero(as_u[start:end]), start + np.flatnonzero(as_v[start:end])
         step = max(1, PAIRS // max(1, len(iv)))
         for at in range(0, len(iu), step):
@@ -377,8 +415,13 @@ def survivors(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     if held:
         compare()
     found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    a, b = found[:, 0], found[:, 1]
-    return pd.DataFrame({"u": node[a], "v": node[b], "su": rows["vb"].to_numpy()[a], "sv": rows["ub"].to_numpy()[a]})
+    found = found[np.argsort(found[:, 0], kind="stable")]
+    who, first = np.unique(found[:, 0], return_index=True)
+    others = np.setdiff1d(found[:, 1], who)  # rows that are only named
+    partners = np.full(len(who) + len(others), None, object)
+    for i, b in enumerate(np.split(found[:, 1], first[1:]) if len(who) else []):
+        partners[i] = node[b]
+    return rows[[*BY_BLOCK, "node"]].iloc[np.concatenate([who, others])].assign(partners=partners)
 
 
 def _ruled_out(na: np.ndarray, nb: np.ndarray, more: np.ndarray, less: np.ndarray, threshold: float) -> np.ndarray:
