@@ -3,8 +3,10 @@
 A spot signature is a common word (the anchor) and the next CHAIN content words after it, within REACH
 words; a text's fingerprint is its set of hashed signatures. Likeness is the Jaccard similarity of two
 sets. near_pairs() compares many: sets are partitioned by their length so that each meets only
-partitions of compatible length, candidates share one of their rarest signatures, and pairs whose
-lengths or remaining signatures cannot reach the threshold are pruned before the sets are compared.
+partitions of compatible length, candidates share one of their rarest signatures (a frequent one is dealt
+out by a salt), and pairs whose lengths or remaining signatures cannot reach the threshold are pruned before
+the sets are compared. edited_likeness() compares given pairs; whether such a pair is near goes through
+the same partitions and bound.
 
 neighbours() finds each document's successor by id without a global sort in one task: ids are cut into
 ranges at approximate quantiles, each range also gets a copy of the first document of the next one, and
@@ -32,6 +34,7 @@ CHAIN, REACH = 2, 8
 RANGE_DOCS, MANY, LARGE_DOCS, COARSE = 512, 16_384, 65_536, 128
 BROADCAST_RANGES = 1 << 20  # ranges whose first ids (24 bytes each) may be broadcast
 THRESHOLD = 0.8
+HOT = 1024  # sets with a signature that one task joins, about
 
 
 def signatures(text: Column) -> Column:
@@ -122,6 +125,12 @@ def neighbours(docs: DataFrame, derive: dict | None = None) -> DataFrame:
     return rows.where("ghost = 0").drop("ghost", "range")
 
 
+def may_be_near(a: Column, b: Column, threshold: float = THRESHOLD) -> Column:
+    """Whether sets of these lengths can be near: the same or neighbouring partitions, and the bound."""
+    na, nb = F.size(a), F.size(b)
+    return (F.abs(length_class(a, threshold) - length_class(b, threshold)) <= 1) & (F.least(na, nb) >= threshold * F.greatest(na, nb) - 1e-9)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a row of docs: doc_id, text, signatures."""
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
@@ -141,7 +150,8 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
     rows = rows.withColumn("edited", edited).withColumn("edited_sigs", signatures(F.col("edited")))
-    return rows.select(
+    near = lambda b, likeness: F.when(may_be_near(F.col("sigs"), F.col(b)), F.col(likeness) >= THRESHOLD).otherwise(False)
+    out = rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
@@ -150,29 +160,40 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
         likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
         length_class(F.col("sigs")).alias("length_class"),
+        "sigs",
+        "edited_sigs",
+        "next_sigs",
     )
+    return out.withColumns({"edited_is_near": near("edited_sigs", "near_edited"), "next_is_near": near("next_sigs", "near_next")}).drop("sigs", "edited_sigs", "next_sigs")
 
 
 def near_pairs(prints: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """prints: doc_id, signatures. Gives members (doc_id, class_id: the smallest id of the same set) and
-    pairs of classes (a, b, likeness) of at least threshold, each once. Empty sets pair with nothing.
+    pairs of classes (a, b, likeness) of at least threshold, each once. Empty sets pair with nothing. Sets are
+    told apart by themselves: ids may repeat with other sets or be null (then so is the class's id, if all are).
 
     Exact: two such sets share a signature among the first |A| - ceil(t |A|) + 1 of either in any common
-    order; rarest first keeps common signatures out of the join.
+    order; rarest first keeps common signatures out of the join. At the first signature that they share, what
+    is left of either set must suffice for the overlap that the threshold asks for.
     """
     prints = prints.select("doc_id", "signatures")
     by_set = prints.groupBy(F.sha2(fingerprint(F.col("signatures")), 256).alias("key")).agg(F.min("doc_id").alias("class_id"), F.first("signatures").alias("s"))
+    by_set = materialize(by_set.withColumn("node", F.monotonically_increasing_id()), "spot-sets")
     members = prints.withColumn("key", F.sha2(fingerprint(F.col("signatures")), 256)).join(by_set.select("key", "class_id"), "key").select("doc_id", "class_id")
-    sets = by_set.where(F.size("s") > 0).select("class_id", "s", F.size("s").alias("n"), length_class(F.col("s"), threshold).alias("part"))
-    each = sets.select("class_id", "n", "part", F.explode("s").alias("sig"))
+    sets = by_set.where(F.size("s") > 0).select("node", "class_id", "s", F.size("s").alias("n"), length_class(F.col("s"), threshold).alias("part"))
+    each = sets.select("node", "n", "part", F.explode("s").alias("sig"))
     df = each.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
-    rare = each.join(df, "sig").withColumn("rank", F.row_number().over(Window.partitionBy("class_id").orderBy("df", "sig")))
+    rare = each.join(df, "sig").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "sig")))
     rare = rare.where(F.col("rank") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).where("df > 1")
-    a = rare.select(F.col("class_id").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1, F.col("part") - 1)).alias("part"))
-    b = rare.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), "sig", "part")
+    rare = rare.withColumn("salts", F.ceil(F.col("df") / HOT).cast("int"))
+    parts = F.explode(F.array(F.col("part"), F.col("part") + 1, F.col("part") - 1)).alias("part")
+    a = rare.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), "sig", "salts", parts)
+    a = a.select("a", "na", "ra", "sig", "part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    b = rare.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), "sig", "part", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"))
     close = (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b"))
-    found = a.join(b, ["sig", "part"]).where(close).select("a", "b").distinct()
-    left = sets.select(F.col("class_id").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("class_id").alias("b"), F.col("s").alias("sb"))
-    pairs = found.join(left, "a").join(right, "b").select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness"))
+    enough = 1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
+    found = a.join(b, ["sig", "part", "salt"]).where(close & enough).select("a", "b").distinct()
+    left = sets.select(F.col("node").alias("a"), F.col("class_id").alias("ca"), F.col("s").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("class_id").alias("cb"), F.col("s").alias("sb"))
+    pairs = found.join(left, "a").join(right, "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), likeness(F.col("sa"), F.col("sb")).alias("likeness"))
     return members, pairs.where(F.col("likeness") >= threshold)

@@ -452,6 +452,7 @@ def test_spotsigs(request, spark, sf, monkeypatch, name):
     assert len(got) == len(rows)
     have = Counter((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got)
     assert not Counter(want) - have
+    assert all(r.edited_is_near == (r.near_edited >= 0.8) and r.next_is_near == (r.near_next >= 0.8) for r in got)
     same = defaultdict(set)
     texts = defaultdict(set)
     for r in got:
@@ -461,7 +462,9 @@ def test_spotsigs(request, spark, sf, monkeypatch, name):
     assert all(len(v) <= 1 for v in same.values())
 
 
-def test_spotsigs_pairs(spark, sf):
+@pytest.mark.parametrize("hot", [3, 1024])
+def test_spotsigs_pairs(spark, sf, monkeypatch, hot):
+    monkeypatch.setattr(spotsigs, "HOT", hot)
     docs = table(spark, "/root/testdata/sf0.01", "documents").limit(400)
     prints = spotsigs.fingerprints(docs)
     members, pairs = spotsigs.near_pairs(prints)
@@ -474,6 +477,17 @@ def test_spotsigs_pairs(spark, sf):
     assert {(r.a, r.b) for r in pairs.collect()} == want
 
 
+def test_spotsigs_pairs_of_repeated_ids(spark):
+    """Sets that share an id, or have none, keep their pairs apart."""
+    base = "the " + " the ".join(words(i, 3) for i in range(60))
+    near = base + " the last words"
+    other = "the " + " the ".join(words(i, 3) for i in range(500, 560))
+    rows = [(5, base), (5, other), (9, near), (None, other + " the last words"), (None, base)]
+    members, pairs = spotsigs.near_pairs(spotsigs.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sorted((r.a, r.b) for r in pairs.collect()) == [(5, 5), (5, 9)]  # least and greatest skip the null id
+    assert Counter((r.doc_id, r.class_id) for r in members.collect()) == Counter([(5, 5), (5, 5), (9, 9), (None, None), (None, 5)])
+
+
 def test_empty_store_is_refused(spark):
     store = sharding.ShardStore(spark, fresh_path(spark, "store"))
     store._commit(spark.createDataFrame([], "file string, bytes long, docs long, sealed boolean"), 1)
