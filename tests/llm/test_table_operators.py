@@ -270,8 +270,7 @@ def brute_rows(rows, k):
     return [least.get(root[i]) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-@pytest.mark.parametrize("k", [2, 5])
+@pytest.mark.parametrize(("rounds", "k"), [(0, 2), (2, 5)])
 def test_near_duplicates_of_repeated_and_missing_ids(spark, monkeypatch, rounds, k):
     """Ids that occur with different texts lose no link, and rows without id are linked and go like others."""
     monkeypatch.setattr(near_dup, "ROUNDS", rounds)
