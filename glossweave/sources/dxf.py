@@ -439,6 +439,11 @@ def input_kind(path: str) -> str:
     return suffix[1:]
 
 
+def is_drawing(path: str) -> bool:
+    """Whether a path names one drawing, and not a folder or a pattern."""
+    return Path(path).suffix.lower() in (".dxf", ".dwg")
+
+
 def converter(env: Mapping[str, str] = os.environ, windows: bool = os.name == "nt", command: str = "ODAFileConverter") -> str | None:
     """The external converter: on the path, else where the settings of the environment say, else (on Windows)
     the newest one below the program folders."""
@@ -476,11 +481,13 @@ def convert_dwg(source: str, target: str, version: str = CONVERTER_VERSION, comm
 
 
 def prepared_input(spark: SparkSession, path: str) -> str:
-    """A .dxf path (or a folder) as it is; a .dwg one converted into the shared folder, where all executors
-    see it."""
-    if not Path(path).suffix or input_kind(path) == "dxf":
-        return path
+    """A .dxf path, a folder or a pattern as it is; a .dwg file converted into the shared folder, where all
+    executors see it; any other file is refused."""
     fs, p = filesystem(spark, path)
+    if not is_drawing(path) and (re.search(r"[*?\[{]", path) or (fs.exists(p) and fs.getFileStatus(p).isDirectory())):
+        return path
+    if input_kind(path) == "dxf":
+        return path
     to = f"{fresh_path(spark, 'dwg')}/{Path(path).stem}_source.dxf"
     with tempfile.TemporaryDirectory(prefix="glossweave-") as folder:
         local, made = f"{folder}/{Path(path).name}", f"{folder}/made/{Path(path).stem}_source.dxf"
@@ -494,7 +501,7 @@ def prepared_input(spark: SparkSession, path: str) -> str:
 
 def final_path(source: str, output: str, fmt: str) -> str:
     """The output of one drawing with the suffix of the format; a folder as it is."""
-    return output if not Path(source).suffix else output[: len(output) - len(Path(output).suffix)] + f".{fmt}"
+    return output if not is_drawing(source) else output[: len(output) - len(Path(output).suffix)] + f".{fmt}"
 
 
 def save_drawing(entities: DataFrame, source: str, output: str, fmt: str, font: str = STYLE_FONT) -> str:
@@ -502,7 +509,7 @@ def save_drawing(entities: DataFrame, source: str, output: str, fmt: str, font:
     drawings as .dxf files; gives the path."""
     spark = entities.sparkSession
     final = final_path(source, output, fmt)
-    if fmt == "dxf" or not Path(source).suffix:
+    if fmt == "dxf" or not is_drawing(source):
         write_entities(entities, source, final, font).count()
         return final
     between = f"{fresh_path(spark, 'dxf')}/{Path(final).stem}.dxf"

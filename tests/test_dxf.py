@@ -125,9 +125,12 @@ def test_styles(version):
 
 def test_names_below_the_source_stay(spark, tmp_path):
     for name, word in (("a/x.dxf", "one"), ("b/x.DXF", "two"), ("c.dxf", "three")):
-        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / "in" / name).write_text(header("AC1032") + entities(pairs(0, "TEXT", 1, word)))
-    source = f"file://{tmp_path}/in"
+        (tmp_path / "in.v2" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in.v2" / name).write_text(header("AC1032") + entities(pairs(0, "TEXT", 1, word)))
+    source = f"file://{tmp_path}/in.v2"
+    assert dxf.prepared_input(spark, source) == source and dxf.final_path(source, "out.v3", "dwg") == "out.v3"
+    with pytest.raises(PySparkException, match="inputs are"):
+        dxf.prepared_input(spark, f"file://{tmp_path}/x.pdf")
     found = dxf.read_entities(spark, source)
     done = apply.apply_to_entities(found, [("one", "1"), ("two", "2")], None)
     assert dxf.write_entities(done, source, f"file://{tmp_path}/out").count() == 3
@@ -135,7 +138,7 @@ def test_names_below_the_source_stay(spark, tmp_path):
     assert made == {"a/x.dxf": "1", "b/x.DXF": "2", "c.dxf": "three"}
     with pytest.raises(PySparkException):
         dxf.write_entities(done, source, f"file://{tmp_path}/one.dxf")
-    assert sorted(r.text for r in flatten.text_bag(dxf.read_entities(spark, f"file://{tmp_path}/in/*/x.*")).collect()) == ["one", "two"]
+    assert sorted(r.text for r in flatten.text_bag(dxf.read_entities(spark, f"file://{tmp_path}/in.v2/*/x.*")).collect()) == ["one", "two"]
 
 
 def fake_converter(folder):
