@@ -30,7 +30,7 @@ from .common import SPACE, materialize, release
 #: Fixed values of the contract: repeating weights and the most a source or document may be repeated.
 WEIGHTS = (5, 2, 1)
 MOST = 3
-SHARD_WORDS, SHARD_BLOCKS = 1 << 24, 64
+SHARD_WORDS, SHARD_BLOCKS = 1 << 22, 64
 LEAST_LEVELS = 3  # eight shards at least
 TREE_STEP = 4  # levels of the tree between two written tables
 SEGMENT = 1024
