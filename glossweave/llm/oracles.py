@@ -65,9 +65,20 @@ reach(a, b) AS (SELECT a, b FROM sym UNION SELECT r.a, s.b FROM reach r JOIN sym
 SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(r.b), n.doc_id)) AS component_id, least(n.doc_id, coalesce(min(r.b), n.doc_id)) = n.doc_id AS kept
 FROM n LEFT JOIN reach r ON r.a = n.doc_id GROUP BY n.doc_id, n.n"""
 
+_NUMBER = "('0x' || substr(sha256(doc_id::VARCHAR), %d, 8))::BIGINT"
+OP12 = f"""WITH n AS (SELECT *, {_NUMBER % 1} AS a, {_NUMBER % 9} AS b, {_NUMBER % 17} AS c FROM documents),
+v AS (SELECT doc_id AS version_id, source, n_chars, lang, a % 50000 AS event, a % 50000 - 60 + b % 600 AS arrival, a % 50000 + c % 900 AS expiry FROM n),
+known AS (SELECT doc_id, max(source) AS source FROM documents GROUP BY doc_id),
+l AS (SELECT row_number() OVER () AS rid, doc_id, source, {_NUMBER % 25} % 50000 AS t FROM labels LEFT JOIN known USING (doc_id)),
+met AS (SELECT l.rid, l.doc_id, l.t, v.* EXCLUDE (source) FROM l LEFT JOIN v ON v.source = l.source AND event <= t AND arrival <= t AND t < expiry
+ QUALIFY row_number() OVER (PARTITION BY rid ORDER BY event DESC, arrival, version_id DESC NULLS LAST) = 1),
+s AS (SELECT *, t - event AS age, CASE WHEN event IS NULL THEN 'none' WHEN t - event > 120 THEN 'stale' ELSE 'fresh' END AS status FROM met)
+SELECT doc_id, t, version_id, age, status, CASE WHEN status = 'fresh' THEN n_chars END AS n_chars, CASE WHEN status = 'fresh' THEN lang END AS lang FROM s"""
+
 ORACLES = {
     "op2_line_dedup": OP2,
     "op4_quality_rules": OP4,
     "op5_warc": OP5,
     "op6_near_duplicates": OP6,
+    "op12_features": OP12,
 }
