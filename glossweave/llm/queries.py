@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, features, langid, line_dedup, mixing, near_dup, quality, sharding, spotsigs, toxicity, warc
+from . import bpe, features, langid, line_dedup, mixing, near_dup, quality, sharding, spotsigs, token_counts, toxicity, warc
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -62,6 +62,10 @@ def op12_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.document_features(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
@@ -74,4 +78,5 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity": op9_toxicity,
     "op10_spotsigs": op10_spotsigs,
     "op12_features": op12_features,
+    "op13_token_counts": op13_token_counts,
 }

@@ -1,0 +1,109 @@
+"""Feature join, token counts and lexical search against brute force."""
+
+import hashlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from glossweave.llm import features, token_counts
+from glossweave.llm.common import table
+
+from .conftest import words
+from .test_text_operators import pairs_of
+
+
+def numbers(i):
+    h = hashlib.sha256(str(i).encode()).hexdigest()
+    return [int(h[8 * k : 8 * k + 8], 16) for k in range(4)]
+
+
+def brute_features(docs, labels):
+    source, by_source = {}, defaultdict(list)
+    for r in docs:
+        if r.doc_id is None:
+            continue
+        if r.source is not None:
+            source[r.doc_id] = max(source.get(r.doc_id, r.source), r.source)
+            a, b, c, _ = numbers(r.doc_id)
+            e = a % 50000
+            by_source[r.source].append((e, -(e - 60 + b % 600), r.doc_id, e + c % 900, r.n_chars, r.lang))
+    out = Counter()
+    for r in labels:
+        t = None if r.doc_id is None else numbers(r.doc_id)[3] % 50000
+        met = [v for v in by_source.get(source.get(r.doc_id), []) if v[0] <= t and -v[1] <= t < v[3]]
+        if not met:
+            out[r.doc_id, t, None, None, "none", None, None] += 1
+            continue
+        e, _, i, _, n, lang = max(met, key=lambda v: v[:3] + (v[4] is not None, v[4] or 0, v[5] or ""))
+        fresh = t - e <= 120
+        out[r.doc_id, t, i, t - e, "fresh" if fresh else "stale", n if fresh else None, lang if fresh else None] += 1
+    return out
+
+
+def test_features(spark, sf, odd_docs, no_docs):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    got = features.document_features(docs, labels)
+    assert got.columns == ["doc_id", "t", "version_id", "age", "status", "n_chars", "lang"]
+    assert Counter(map(tuple, got.collect())) == brute_features(docs.collect(), labels.collect())
+    asked = spark.createDataFrame([(1,), (1,), (None,), (404,), (8,), (11,), (3,)], "doc_id long")
+    for given in (odd_docs, no_docs):
+        assert Counter(map(tuple, features.document_features(given, asked).collect())) == brute_features(given.collect(), asked.collect())
+    assert features.document_features(docs, labels.where("false")).count() == 0
+
+
+def test_features_of_one_hot_source(spark):
+    """Two thirds of the rows in one source, many versions of one second, repeated questions, names that clash."""
+    docs = spark.createDataFrame([(i, "hot" if i % 3 else f"s{i % 5}", i * 7, "en" if i % 2 else None) for i in range(6000)], "doc_id long, source string, n_chars long, lang string")
+    labels = spark.createDataFrame([(i % 4500, i, "x") for i in range(6000)], "doc_id long, t int, winner string").select("doc_id")
+    want = brute_features(docs.collect(), labels.collect())
+    assert Counter(map(tuple, features.document_features(docs, labels).collect())) == want
+    assert {s for _, _, _, _, s, _, _ in want} == {"none", "fresh", "stale"}
+
+
+def test_versions_that_can_never_win_go(spark):
+    rows = [("k", 10, 5, 30, i) for i in range(50)] + [("k", 10, 6, 29, 99), ("k", 10, 6, 31, 7), ("k", 10, 5, 40, 3), ("k", 10, 50, 45, 1), (None, 1, 1, 9, 1), ("k", None, 1, 9, 1)]
+    versions = spark.createDataFrame(rows, "key string, event long, arrival long, expiry long, id long").selectExpr("*", "struct(id as x) as payload")
+    kept = {(r.arrival, r.expiry, r.best.id) for r in features.thinned(versions).collect()}
+    assert kept == {(5, 30, 49), (5, 40, 3)}
+    questions = spark.createDataFrame([("k", t) for t in range(0, 60)], "key string, t long")
+    got = {r.t: r.winner and r.winner.id for r in features.winners(versions, questions, 30).collect()}
+    assert got == {t: 49 if 10 <= t < 30 else 3 if 30 <= t < 40 else None for t in range(60)}
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=token_counts.tokenizer_path())
+
+
+def library_counts(pieces, docs):
+    return Counter((i, len((t or "").encode()), n := len(pieces.encode(t or "")), n > 4096) for i, t in pairs_of(docs))
+
+
+def test_token_counts(spark, sf, pieces, odd_docs, no_docs):
+    for docs in (table(spark, sf, "documents"), odd_docs, no_docs):
+        got = token_counts.count_tokens(docs)
+        assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+        assert Counter(map(tuple, got.collect())) == library_counts(pieces, docs)
+
+
+@pytest.mark.parametrize("chunk, overlap", [(40, 12), (300, 20)])
+def test_token_counts_by_chunks(spark, pieces, chunk, overlap):
+    """Chunks of a few characters: letters that run on, spaces that run on, bytes, special strings, the
+    vocabulary's own blank, copies; texts whose borders are never stable are widened to one chunk."""
+    texts = [words(i, 40 + i) for i in range(8)] + ["a" * 700, " " * 900, "xy" * 333 + " z" * 200, "▁a ▁▁ " * 120, "\x00\n\t" * 90, "日本語のテキスト😀" * 60, "<s></s><unk><0x0A>" * 40, "é̂ " * 150, "ab" + " " * 333 + "cd" * 100]
+    docs = spark.createDataFrame([(i % 20, t) for i, t in enumerate(texts + texts[:3] + ["", None, "short"])], "doc_id long, text string")
+    got = token_counts.count_tokens(docs, long=30, chunk=chunk, overlap=overlap)
+    assert Counter(map(tuple, got.collect())) == library_counts(pieces, docs)
+
+
+def test_borders_are_stable(pieces):
+    """What stands on either side of a stable border is encoded on its own, whatever follows or goes before."""
+    with open(token_counts.tokenizer_path(), "rb") as f:
+        own = token_counts.loaded(f.read())
+    text = words(3, 30) + " aaaa  bbb\n日本 x<s>é" + words(4, 20)
+    n, [(at, before)] = own.borders(text, [(0, len(text))])
+    assert n == len(pieces.encode(text)) and len(at) > 50
+    for p, k in zip(at, before, strict=True):
+        assert len(pieces.encode(text[:p])) == k
