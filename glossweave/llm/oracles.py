@@ -65,6 +65,16 @@ reach(a, b) AS (SELECT a, b FROM sym UNION SELECT r.a, s.b FROM reach r JOIN sym
 SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(r.b), n.doc_id)) AS component_id, least(n.doc_id, coalesce(min(r.b), n.doc_id)) = n.doc_id AS kept
 FROM n LEFT JOIN reach r ON r.a = n.doc_id GROUP BY n.doc_id, n.n"""
 
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS ts FROM documents),
+c AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+p AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(ts) AS n, unnest(ts) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+i AS (SELECT iid, item_id, term, count(*) AS often FROM (SELECT row_number() OVER () AS iid, item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT iid, item_id, rid, doc_id, sum(often * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+ FROM i JOIN w USING (term) JOIN p USING (term), c GROUP BY iid, item_id, rid, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20"""
+
 _NUMBER = "('0x' || substr(sha256(doc_id::VARCHAR), %d, 8))::BIGINT"
 OP12 = f"""WITH n AS (SELECT *, {_NUMBER % 1} AS a, {_NUMBER % 9} AS b, {_NUMBER % 17} AS c FROM documents),
 v AS (SELECT doc_id AS version_id, source, n_chars, lang, a % 50000 AS event, a % 50000 - 60 + b % 600 AS arrival, a % 50000 + c % 900 AS expiry FROM n),
@@ -80,5 +90,6 @@ ORACLES = {
     "op4_quality_rules": OP4,
     "op5_warc": OP5,
     "op6_near_duplicates": OP6,
+    "op11_search": OP11,
     "op12_features": OP12,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, features, langid, line_dedup, mixing, near_dup, quality, sharding, spotsigs, token_counts, toxicity, warc
+from . import bpe, features, langid, line_dedup, mixing, near_dup, quality, search, sharding, spotsigs, token_counts, toxicity, warc
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -58,6 +58,10 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.document_features(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_spotsigs": op10_spotsigs,
+    "op11_search": op11_search,
     "op12_features": op12_features,
     "op13_token_counts": op13_token_counts,
 }

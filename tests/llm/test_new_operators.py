@@ -1,11 +1,13 @@
 """Feature join, token counts and lexical search against brute force."""
 
 import hashlib
+import math
+import re
 from collections import Counter, defaultdict
 
 import pytest
 
-from glossweave.llm import features, token_counts
+from glossweave.llm import features, search, token_counts
 from glossweave.llm.common import table
 
 from .conftest import words
@@ -107,3 +109,56 @@ def test_borders_are_stable(pieces):
     assert n == len(pieces.encode(text)) and len(at) > 50
     for p, k in zip(at, before, strict=True):
         assert len(pieces.encode(text[:p])) == k
+
+
+def split_terms(text):
+    low = re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", low)
+
+
+def brute_rank(docs, items, k=20):
+    """docs: (doc_id, text) pairs. Rows of all items, one after the other."""
+    bags = [(i, Counter(split_terms(t))) for i, t in docs]
+    bags = [(i, b, b.total()) for i, b in bags if b]
+    n_docs, n_terms = len(bags), sum(n for *_, n in bags)
+    df = Counter(t for _, b, _ in bags for t in b)
+    w = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * n + 1))) for t, n in df.items()}
+    out = []
+    for item, text in items:
+        asked, scores = split_terms(text), []
+        for i, b, n in bags:
+            m = 75 + 25 * n * n_docs // n_terms
+            score = sum(w[t] * (10**9 * b[t] // (1000 * b[t] + 12 * m)) for t in asked if t in b)
+            if score > 0:
+                scores.append((-score, i is None, i))
+        out += [(item, r, i, -s) for r, (s, _, i) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1)]
+    return Counter(out)
+
+
+def test_search(spark, sf, odd_docs, no_docs, monkeypatch):
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    got = search.rank(docs, items)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"] and dict(got.dtypes)["rank"] == "int"
+    assert Counter(map(tuple, got.collect())) == brute_rank(pairs_of(docs), [(r.item_id, r.text) for r in items.collect()])
+    asked = [(1, words(7, 100)), (1, words(7, 100)), (2, None), (3, ""), (None, "THIS line is ÅÉ 中文 own own own"), (4, "!!! ..."), (5, "nowhere"), (6, words(1, 50) + " no id 0123")]
+    questions = spark.createDataFrame([(i, t, 0.5, "x") for i, t in asked], "item_id long, text string, rn double, score string")
+    for block in (search.BLOCK, 1):  # all items at once, and one a block
+        monkeypatch.setattr(search, "BLOCK", block)
+        for k in (2, 20):
+            assert Counter(map(tuple, search.rank(odd_docs, questions, k).collect())) == brute_rank(pairs_of(odd_docs), asked, k)
+    assert search.rank(no_docs, questions).count() == 0 and search.rank(odd_docs, questions.limit(0)).count() == 0
+
+
+def test_search_prunes_terms_and_loses_nothing(spark):
+    """Words of very different frequency, ties among copies, small batches that raise the thresholds."""
+    docs = [(i, " ".join([f"common{i % 2} the"] * (1 + i % 5) + [f"w{(i * j) % (7 * j)}" for j in range(1, 12)])) for i in range(800)]
+    items = [(q, f"the the common0 common1 w{q} w{2 * q} w{q * q % 50} w60") for q in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    assert Counter(map(tuple, search.rank(df, asked, 5).collect())) == brute_rank(docs, items, 5)
+    terms = search.item_terms(asked)
+    indexed, n = search.measured(search.index(df, search.slots(terms)))
+    plan = search.seeded(terms, search.term_statistics(indexed, n, 5)).collect()
+    assert {r.term for r in plan if not r.needed} and all(r.rest < r.threshold or r.rest == 0 for r in plan)
+    whole = {r.doc_id: dict(zip(r.terms, r.counts, strict=True)) for r in search.index(df).collect()}
+    assert all(whole[i] == Counter(split_terms(t)) for i, t in docs)
