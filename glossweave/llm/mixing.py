@@ -2,8 +2,11 @@
 
 Sources get targets by water-filling over their weights. The documents of a source are dealt by a hash
 into blocks, which a second hash permutes; a source is drawn as whole passes over its blocks plus the
-first permuted blocks of one more pass, of which the last is cut inside. That gives an exact quota of
-blocks for each source. A splitting tree deals the quotas out: the root holds the vector of quotas,
+first permuted blocks of one more pass. Where that pass ends, the documents about its end, in permuted order,
+are a pool of at most POOL, of which those are taken that come nearest to the target together: every subset
+of a few is tried, of more the longest first from each place on (so a source of up to POOL documents is
+chosen as a whole, and a document too long for the rest never pushes the others out). That gives an exact
+quota of blocks for each source. A splitting tree deals the quotas out: the root holds the vector of quotas,
 each node gives half of its blocks to either child, its left vector drawn from the multivariate
 hypergeometric law (conditional hypergeometric draws, inverted from their exact probabilities), until
 the leaves are output shards with exact quotas. Every shard then takes the next blocks of each
@@ -34,7 +37,9 @@ SHARD_WORDS, SHARD_BLOCKS = 1 << 22, 64
 LEAST_LEVELS = 3  # eight shards at least
 TREE_STEP = 4  # levels of the tree between two written tables
 SEGMENT = 1024
-TOP_UP = 256
+POOL, BACK = 256, 64  # documents to choose from at the end of a broken pass, and how many of them lie before it
+EXACT = 12  # of so many, every subset is tried
+GROUPS = 1 << 14  # partitions of an exchange at most
 TREE_SOURCES = 512  # sources that one tree deals out
 SEED = 20_240
 
@@ -158,25 +163,25 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
 
 
 def _placed(sums: DataFrame, seed: int) -> DataFrame:
-    """sums: __m_source, n_blocks, __m_block, size. Adds pos and before, the blocks and the words ahead of a
-    block in the source's permuted order, and held, the source's blocks that hold documents. Sums run inside
-    segments of the permuting hash, then over the segments of a source."""
+    """sums: __m_source, n_blocks, __m_block, size, n (documents). Adds pos, before and ahead: the blocks, the words and
+    the documents ahead of a block in the source's permuted order, and held, the source's blocks that hold
+    documents. Sums run inside segments of the permuting hash, then over the segments of a source."""
     mixed = F.xxhash64(F.lit(seed + 2), "__m_source", "__m_block")
     segment = F.floor(F.shiftrightunsigned(mixed, 11).cast("double") / float(1 << 53) * F.ceil(F.col("n_blocks") / SEGMENT))
     sums = sums.withColumn("mixed", F.shiftrightunsigned(mixed, 11)).withColumn("segment", segment)
-    of = sums.groupBy("__m_source", "segment").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"))
-    ahead = Window.partitionBy("__m_source").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)  # a row a segment
-    whole = Window.partitionBy("__m_source")
-    of = of.select("__m_source", "segment", F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("c0"), F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("s0"), F.sum("c").over(whole).alias("held"))
+    of = sums.groupBy("__m_source", "segment").agg(F.count(F.lit(1)).alias("pos"), F.sum("size").alias("before"), F.sum("n").alias("ahead"))
+    earlier = Window.partitionBy("__m_source").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)  # a row a segment
+    held = F.sum("pos").over(Window.partitionBy("__m_source")).alias("held")
+    of = of.select("__m_source", "segment", held, *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_0") for c in ("pos", "before", "ahead")))
     order = Window.partitionBy("__m_source", "segment").orderBy("mixed", "__m_block")  # some SEGMENT rows
-    placed = sums.withColumn("pos", F.row_number().over(order).cast("long") - 1).withColumn("before", F.sum("size").over(order) - F.col("size"))
-    placed = placed.join(of, ["__m_source", "segment"])
-    return placed.withColumn("pos", F.col("pos") + F.col("c0")).withColumn("before", F.col("before") + F.col("s0")).drop("c0", "s0", "segment", "mixed")
+    own = {"pos": F.row_number().over(order).cast("long") - 1, "before": F.sum("size").over(order) - F.col("size"), "ahead": F.sum("n").over(order) - F.col("n")}
+    placed = sums.withColumns(own).join(of, ["__m_source", "segment"])
+    return placed.withColumns({c: F.col(c) + F.col(f"{c}_0") for c in own}).drop("segment", "mixed", *(f"{c}_0" for c in own))
 
 
 def _blocks(keyed: DataFrame, levels: int | None, seed: int, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame, int]:
-    """The sources (with target and n_blocks), their drawn blocks (with draws and, in the last one of
-    the broken pass, the words to take in that pass) and the levels of the tree."""
+    """The sources (with target and n_blocks), their drawn blocks (with draws and, at the end of the
+    broken pass, the documents to take in that pass) and the levels of the tree."""
     sized = materialize(keyed.select("__m_source", "__m_hash", "__m_size"), "mix-sizes")
     raw = sized.groupBy("__m_source").agg(F.sum("__m_size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     sources = targets(raw, weights, most)
@@ -190,54 +195,94 @@ def _blocks(keyed: DataFrame, levels: int | None, seed: int, weights: tuple[int,
     sources = materialize(sources.select("__m_source", "rank", "source_size", "target", "full", "rest", "n_blocks"), "mix-sources")
     block = F.pmod(F.col("__m_hash"), F.col("n_blocks"))
     dealt_out = sized.join(sources.select("__m_source", "n_blocks"), "__m_source").withColumn("__m_block", block)
-    sums = dealt_out.groupBy("__m_source", "n_blocks", "__m_block").agg(F.sum("__m_size").alias("size"))
+    sums = dealt_out.groupBy("__m_source", "n_blocks", "__m_block").agg(F.sum("__m_size").alias("size"), F.count(F.lit(1)).alias("n"))
     placed = _placed(materialize(sums, "mix-sums"), seed).drop("n_blocks").join(sources.select("__m_source", "rank", "full", "rest"), "__m_source")
-    broken = F.col("before") < F.col("rest")
-    placed = materialize(
-        placed.select(
-            "__m_source", "__m_block", "rank", "pos", "held", "full",
-            (F.col("full") + F.when(broken, 1).otherwise(0)).alias("draws"),
-            F.when(broken & (F.col("before") + F.col("size") > F.col("rest")), F.col("rest") - F.col("before")).alias("cut"),
-        ),
-        "mix-blocks",
-    )
-    leaves = shard_quotas(placed.groupBy("rank").agg(F.sum("draws").alias("quota")), levels, seed)
+    placed = materialize(placed, "mix-placed")
+    ends = materialize(_ends(dealt_out, placed), "mix-ends")
+    lasts = ends.groupBy("__m_source").agg(F.max("last").alias("last"))
+    draws = F.col("full") + F.when(F.col("pos") <= F.col("last"), 1).otherwise(0)
+    each_block = placed.join(lasts, "__m_source", "left").withColumn("draws", draws)
+    leaves = shard_quotas(each_block.groupBy("rank").agg(F.sum("draws").alias("quota")), levels, seed)
     runs = leaves.withColumn("end", F.sum("n").over(Window.partitionBy("rank").orderBy("shard")))  # a row a shard
     dealt = runs.select("rank", F.col("shard").cast("int").alias("shard"), F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("draw"))
-    each = placed.where("draws > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1)).alias("pass"))
+    each = each_block.where("draws > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("draws") - 1)).alias("pass"))
     each = each.withColumn("draw", F.col("pass") * F.col("held") + F.col("pos")).join(dealt, ["rank", "draw"])
     drawn = each.groupBy("__m_source", "__m_block").agg(
         F.array_sort(F.collect_list(F.struct(F.col("pass").cast("int").alias("pass"), "shard"))).alias("__m_draws"),  # at most MOST + 1
         F.max("full").alias("__m_full"),
     )
-    edges = placed.where("cut is not null").select("__m_source", "__m_block", "cut")
-    blocks = materialize(drawn.join(_cuts(dealt_out, edges), ["__m_source", "__m_block"], "left"), "mix-drawn")
-    release(sized, placed, leaves)
+    blocks = materialize(drawn.join(ends.drop("last"), ["__m_source", "__m_block"], "left"), "mix-drawn")
+    release(sized, placed, ends, leaves)
     return sources, blocks, levels
 
 
-def _cuts(dealt_out: DataFrame, edges: DataFrame) -> DataFrame:
-    """How the last block of a broken pass is cut: documents hashed below __m_upto fill the words to take
-    until one is too long; of the TOP_UP next ones, those in __m_extra fit in, the longest first; at the
-    end the shortest other one comes in too if that ends nearer the target."""
-    rows = dealt_out.join(edges, ["__m_source", "__m_block"]).groupBy("__m_source", "__m_block", "cut", "__m_hash").agg(F.sum("__m_size").alias("s"))
-    order = Window.partitionBy("__m_source", "__m_block").orderBy("__m_hash")
-    rows = rows.withColumn("sum", F.sum("s").over(order)).withColumn("rn", F.row_number().over(order))
-    rows = rows.withColumn("fits", F.col("sum") <= F.col("cut"))
-    rows = rows.withColumn("n", F.sum(F.col("fits").cast("int")).over(Window.partitionBy("__m_source", "__m_block")))
-    next_ = ~F.col("fits") & (F.col("rn") <= F.col("n") + TOP_UP)
-    cuts = rows.groupBy("__m_source", "__m_block").agg(
-        F.min(F.when(~F.col("fits"), F.col("__m_hash"))).alias("__m_upto"),
-        (F.max("cut") - F.coalesce(F.max(F.when(F.col("fits"), F.col("sum"))), F.lit(0))).cast("double").alias("left"),
-        F.sort_array(F.collect_list(F.when(next_, F.struct("s", "__m_hash"))), False).alias("tail"),  # at most TOP_UP
-    )
-    start = F.struct(F.col("left").alias("left"), F.array().cast("array<bigint>").alias("ids"))
-    taken = F.aggregate("tail", start, lambda a, x: F.when((x["s"] <= a["left"]), F.struct((a["left"] - x["s"]).alias("left"), F.array_append(a["ids"], x["__m_hash"]).alias("ids"))).otherwise(a))
-    cuts = cuts.withColumn("taken", taken)
-    least = F.array_min(F.filter("tail", lambda x: ~F.array_contains(F.col("taken.ids"), x["__m_hash"])))
-    nearer = least.isNotNull() & (2 * F.col("taken.left") > least["s"])
-    extra = F.when(nearer, F.array_append("taken.ids", least["__m_hash"])).otherwise(F.col("taken.ids"))
-    return cuts.select("__m_source", "__m_block", "__m_upto", extra.alias("__m_extra"))
+def nearest(pool: Column, gap: Column) -> Column:
+    """Of pool, an array of (s, h) with the largest s first, the h of those whose s together come near gap: of up to
+    EXACT the nearest subset; of more, what fits is taken in turn from each place of the array on, or what had been taken
+    when one that did not fit came nearest from above, with it; the best of these ways counts."""
+    n = F.size(pool)
+
+    def subset(mask: Column) -> Column:
+        return F.filter(pool, lambda x, i: F.call_function("getbit", mask, i) == 1)
+
+    def off(mask: Column) -> Column:
+        return F.abs(gap - F.aggregate(subset(mask), F.lit(0.0), lambda a, x: a + x["s"]))
+
+    masks = F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1)
+    exact = F.transform(subset(F.array_min(F.transform(masks, lambda m: F.struct(off(m).alias("e"), m.alias("m"))))["m"]), lambda x: x["h"])
+
+    def state(left: Column, ids: Column, over: Column, at: Column, h: Column) -> Column:
+        return F.struct(left.alias("left"), ids.alias("ids"), over.alias("over"), at.alias("at"), h.alias("h"))
+
+    def fitted(first: Column, keep) -> Column:
+        """From place first on: what is taken (keep: an array of one h, or none), what the gap then lacks, and the
+        least excess (over) of a document that did not fit, with how many were taken before it."""
+        start = state(gap, F.array().cast("array<bigint>"), F.lit(None).cast("double"), F.lit(0), F.lit(None).cast("bigint"))
+        takes = lambda a, x: state(a["left"] - x["s"], F.concat(a["ids"], keep(x)), a["over"], a["at"], a["h"])
+        nearer = lambda a, x: F.coalesce(x["s"] - a["left"] < a["over"], F.lit(True))
+        passes = lambda a, x: F.when(nearer(a, x), state(a["left"], a["ids"], x["s"] - a["left"], F.size(a["ids"]), x["h"])).otherwise(a)
+        return F.aggregate(F.slice(pool, first + 1, n), start, lambda a, x: F.when(x["s"] <= a["left"], takes(a, x)).otherwise(passes(a, x)))
+
+    def error(first: Column) -> Column:
+        return _bind(fitted(first, lambda x: F.array().cast("array<bigint>")), lambda a: F.struct(F.least(a["left"], a["over"]).alias("e"), first.alias("first")))
+
+    def taken(first: Column) -> Column:
+        return _bind(fitted(first, lambda x: F.array(x["h"])), lambda a: F.when(a["over"] < a["left"], F.array_append(F.slice(a["ids"], F.lit(1), a["at"]), a["h"])).otherwise(a["ids"]))
+
+    greedy = _bind(F.array_min(F.transform(F.sequence(F.lit(0), n - 1), error))["first"], taken)
+    return F.when(n == 0, F.array().cast("array<bigint>")).when(n <= EXACT, exact).otherwise(greedy)
+
+
+def _ends(dealt_out: DataFrame, placed: DataFrame) -> DataFrame:
+    """For the blocks about the end of each source's broken pass: documents hashed below __m_upto (all, if it is
+    null) and those in __m_extra are taken in it; last is the place of the last block that it draws.
+
+    A source has one such place: the block where the words ahead reach the rest. The blocks that hold the BACK
+    documents before it and the POOL after it are few; of their documents, in permuted order, those before the pool
+    are taken and those of the pool are chosen by nearest()."""
+    at = placed.where("rest > 0 and before <= rest and rest < before + size")
+    at = at.select("__m_source", F.col("ahead").alias("end"), (F.col("ahead") + F.col("n")).alias("beyond"))
+    near = placed.join(at, "__m_source").where((F.col("ahead") + F.col("n") > F.col("end") - BACK) & (F.col("ahead") < F.col("beyond") + POOL))
+    rows = dealt_out.select("__m_source", "__m_block", "__m_hash", "__m_size").join(near.select("__m_source", "__m_block", "pos", "before", "rest"), ["__m_source", "__m_block"])
+    rows = rows.groupBy("__m_source", "__m_block", "pos", "before", "rest", "__m_hash").agg(F.sum("__m_size").alias("s"))  # repeated rows go together
+    source = Window.partitionBy("__m_source")  # the documents of these blocks
+    order = source.orderBy("pos", "__m_hash")
+    rows = rows.withColumns({"rn": F.row_number().over(order), "upto": F.min("before").over(source) + F.sum("s").over(order), "first": F.min("pos").over(source), "all": F.count(F.lit(1)).over(source)})
+    rows = rows.withColumn("fit", F.sum((F.col("upto") <= F.col("rest")).cast("long")).over(source))
+    rows = rows.withColumn("from", F.greatest(F.lit(1), F.least(F.col("fit") + 1 - BACK, F.col("all") - POOL + 1)))
+    rows = materialize(rows.withColumn("pooled", (F.col("rn") >= F.col("from")) & (F.col("rn") < F.col("from") + POOL)), "mix-pool")
+    pooled = rows.groupBy("__m_source").agg(
+        F.sort_array(F.collect_list(F.when(F.col("pooled"), F.struct(F.col("s").alias("s"), F.col("__m_hash").alias("h")))), False).alias("pool"),  # at most POOL
+        (F.max("rest") - F.coalesce(F.max(F.when(F.col("rn") < F.col("from"), F.col("upto"))), F.min("before"))).alias("gap"),
+    )
+    chosen = materialize(pooled.select("__m_source", nearest(F.col("pool"), F.col("gap")).alias("extra")), "mix-chosen")
+    rows = rows.join(chosen, "__m_source").withColumn("extra_here", F.col("pooled") & F.array_contains("extra", F.col("__m_hash")))
+    takes = (F.col("rn") < F.col("from")) | F.col("extra_here")
+    return rows.groupBy("__m_source", "__m_block").agg(
+        F.min(F.when(F.col("rn") >= F.col("from"), F.col("__m_hash"))).alias("__m_upto"),
+        F.collect_list(F.when(F.col("extra_here"), F.col("__m_hash"))).alias("__m_extra"),  # at most POOL
+        F.max(F.when(takes, F.col("pos")).otherwise(F.col("first") - 1)).alias("last"),
+    )
 
 
 def _drawn(keyed: DataFrame, sources: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -269,12 +314,15 @@ def plan(docs: DataFrame, levels: int | None = None, seed: int = SEED, weights:
 
 def mix(docs: DataFrame, levels: int | None = None, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", in_shards: bool = True) -> DataFrame:
     """The mixed corpus: docs' rows, each as often as it is drawn, with all of docs' columns and, if
-    in_shards, one partition a shard, shuffled inside. Cases as in plan()."""
+    in_shards, one partition a shard (beyond GROUPS shards, one a run of shards, one after the other), each shard
+    shuffled inside. Cases as in plan()."""
     row = F.struct(*docs.columns).alias("__m_row")  # so that no column of docs clashes with those on the way
     keyed = docs.select(row, docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[source_col].alias("source"))
     keyed = _keyed(keyed, "doc_id", "text", "source", seed).drop("doc_id", "text", "source")
     sources, blocks, levels = _blocks(keyed, levels, seed, weights, most)
     rows = _drawn(keyed, sources, blocks).withColumn("__m_draw", F.explode("__m_draws"))
     if in_shards:
-        rows = rows.repartitionById(1 << levels, F.col("__m_draw.shard")).sortWithinPartitions(F.xxhash64(F.lit(seed + 3), "__m_draw.shard", "__m_draw.pass", "__m_hash"))
+        groups = min(1 << levels, GROUPS)  # both are powers of two
+        group = F.shiftright("__m_draw.shard", levels - groups.bit_length() + 1)
+        rows = rows.repartitionById(groups, group).sortWithinPartitions("__m_draw.shard", F.xxhash64(F.lit(seed + 3), "__m_draw.shard", "__m_draw.pass", "__m_hash"))
     return rows.select("__m_row.*")
