@@ -260,11 +260,26 @@ def test_entry_without_the_optional_folders(tmp_path, pipeline):
         shutil.rmtree(to / folder, ignore_errors=True)
     if not pipeline:
         (to / "corpus_pipeline.py").unlink(missing_ok=True)
-    env = os.environ | {"PYTHONPATH": str(to)}
     code = "import __spark_entry__ as e, glossweave.cli; from glossweave.plans.queries import QUERIES as q, ORACLES as o; assert e.queries() == q and e.oracle_sql() == o"
-    subprocess.run([sys.executable, "-c", code], cwd=to, check=True, env=env)
+    run_in(to, "-c", code)
     # collects everything; those run here need no session of their own
-    subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "-k", "test_message_of or test_replies"], cwd=to, check=True, env=env, stdout=subprocess.DEVNULL)
+    run_in(to, "-m", "pytest", "tests", "-q", "-p", "no:cacheprovider", "-k", "test_message_of or test_replies")
+
+
+def run_in(folder, *args):
+    """Python in a copy of the repository, which comes before whatever else the path holds."""
+    path = os.pathsep.join([str(folder), *filter(None, [os.environ.get("PYTHONPATH")])])
+    done = subprocess.run([sys.executable, *args], cwd=folder, env=os.environ | {"PYTHONPATH": path}, capture_output=True, text=True)
+    assert done.returncode == 0, f"{done.returncode}\n{done.stdout[-3000:]}\n{done.stderr[-3000:]}"
+    return done.stderr
+
+
+@pytest.mark.parametrize("package", ["xxhash", "no_such_package"])
+def test_entry_without_a_package(package):
+    """A package that only the operators need may be absent; the engine's queries stay, and a warning says so."""
+    code = f"import sys; sys.modules[{package!r}] = None; import __spark_entry__ as e; from glossweave.plans.queries import QUERIES as q; assert q.keys() <= e.queries().keys(); print(e.queries().keys() == q.keys(), file=sys.stderr)"
+    said = run_in(REPO, "-W", "always", "-c", code)
+    assert ("package xxhash is not installed" in said) == (package == "xxhash" and os.path.isdir(f"{REPO}/glossweave/llm"))
 
 
 def test_shared_folder(spark, monkeypatch):
