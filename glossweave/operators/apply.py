@@ -1,8 +1,9 @@
 """Ordered replacement of dictionary keys in texts and entities.
 
 Pairs apply one after the other, longest key first, so later pairs see earlier output; no single
-pattern can do that. Up to NATIVE_PAIRS pairs are folded inside the JVM; larger dictionaries go to an
-Arrow UDF that holds the ordered list once a worker (a broadcast variable of a driver-sized list).
+pattern can do that. Up to NATIVE_PAIRS pairs are folded inside the JVM, up to dictionary.LIST_PAIRS by an Arrow
+UDF that holds the ordered list once a worker; a dictionary that is a table is applied by joins (see large),
+whatever its size.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.tables import materialize
+from . import large
 from .dictionary import Ordered
 from .flatten import dimension_override
 from .schema import ATTRIBUTES, LEADERS, STYLED, TARGETS
@@ -64,18 +67,40 @@ def replacer(spark: SparkSession, pairs: Ordered, protect: bool = True):
     return F.pandas_udf(run, "string")
 
 
-def apply_to_texts(rows: DataFrame, pairs: Ordered, text: str = "text", out: str = "text", protect: bool = True) -> DataFrame:
+def apply_to_texts(rows: DataFrame, pairs: Ordered | DataFrame, text: str = "text", out: str = "text", protect: bool = True) -> DataFrame:
+    """pairs: a list in order, or a table of pos, en, ru."""
+    if isinstance(pairs, DataFrame):
+        done = large.replaced(rows.select(F.col(text).alias("text")), pairs, protect).select(F.col("text").alias("__from"), F.col("out").alias("__to"))
+        both = rows.join(done, F.col(text) == F.col("__from"), "left").withColumn(out, F.col("__to"))
+        return both.drop("__from", "__to")
     return rows.withColumn(out, replacer(rows.sparkSession, pairs, protect)(F.col(text)))
 
 
-def apply_to_entities(entities: DataFrame, pairs: Ordered, style: str | None = STYLE_NAME, apply_attribs: bool = False) -> DataFrame:
+def _by_table(entities: DataFrame, pairs: DataFrame, apply_attribs: bool):
+    """entities with the column __map of their texts as replaced, and a function from a text column to the
+    replaced one. Every distinct text is folded once."""
+    kept = materialize(entities.withColumn("__id", F.monotonically_increasing_id()), "entities")
+    texts = [F.array(F.when(F.col("dxftype").isin(*TARGETS), F.col("text")))]
+    texts += [F.when(F.col("dxftype") == "TABLE", F.flatten("cells"))] if "cells" in entities.columns else []
+    texts += [F.transform("attribs", lambda a: a["text"])] if apply_attribs else []
+    none = F.array().cast("array<string>")
+    each = kept.select("__id", F.explode(F.array_distinct(F.concat(*(F.coalesce(t, none) for t in texts)))).alias("text")).where("text is not null")
+    done = each.join(large.replaced(each, pairs), "text").where("text <> out")
+    maps = done.groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("text", "out"))).alias("__map"))  # the texts of an entity
+    return kept.join(maps, "__id", "left").drop("__id"), lambda c: F.coalesce(F.try_element_at("__map", c), c)
+
+
+def apply_to_entities(entities: DataFrame, pairs: Ordered | DataFrame, style: str | None = STYLE_NAME, apply_attribs: bool = False) -> DataFrame:
     """entities with their texts replaced, and the style set on TEXT, MTEXT, ATTRIB and ATTDEF.
 
     A dimension changes only if it has a text of its own and the new one is not blank; leaders and cells
     only if not blank. Attributes attached to an insert stay, as does every other type, unless
-    apply_attribs.
+    apply_attribs. pairs: a list in order, or a table of pos, en, ru.
     """
-    replace = replacer(entities.sparkSession, pairs)
+    if isinstance(pairs, DataFrame):
+        entities, replace = _by_table(entities, pairs, apply_attribs)
+    else:
+        replace = replacer(entities.sparkSession, pairs)
     kind, text = F.col("dxftype"), F.col("text")
     own = dimension_override(text)
     new = replace(F.when(kind.isin(*TARGETS), text))
@@ -84,7 +109,7 @@ def apply_to_entities(entities: DataFrame, pairs: Ordered, style: str | None = S
     out = _cells(out, replace, entities.columns)
     if style and "style" in out.columns:
         out = out.withColumn("style", F.when(kind.isin(*STYLED), F.lit(style)).otherwise(F.col("style")))
-    return _attribs(out, replace) if apply_attribs else out
+    return (_attribs(out, replace) if apply_attribs else out).drop("__map")
 
 
 def _cells(rows: DataFrame, replace, columns: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 Ordered = list[tuple[str, str]]
+LIST_PAIRS = 500
 
 
 def zip_by_position(left: DataFrame, right: DataFrame, pos: str = "rn") -> DataFrame:
@@ -111,12 +112,11 @@ def from_lines(en: DataFrame, ru: DataFrame) -> DataFrame:
     return first_wins(zip_by_position(left, right).withColumnRenamed("rn", "pos"))
 
 
-def collect_ordered(pairs: DataFrame, max_pairs: int = 1_000_000) -> Ordered:
-    """The dictionary as a driver list, longest key first, ties by pos; refused beyond max_pairs rows.
-
-    The fold needs the whole ordered dictionary at every text, so it is driver-sized by definition.
-    """
-    rows = pairs.select("pos", "en", "ru").where("en <> ''").limit(max_pairs + 1).collect()
-    if len(rows) > max_pairs:
-        raise PySparkValueError(f"a dictionary of more than {max_pairs} pairs can't be applied")
+def ordered_or_table(pairs: DataFrame, most: int | None = None) -> Ordered | DataFrame:
+    """A dictionary of up to most (LIST_PAIRS) pairs as a driver list, longest key first, ties by pos; a larger one as
+    it is, for the appliers that join. At most most + 1 rows reach the driver."""
+    most = LIST_PAIRS if most is None else most
+    rows = pairs.select("pos", "en", "ru").where("en <> ''").limit(most + 1).collect()
+    if len(rows) > most:
+        return pairs
     return [(r["en"], r["ru"]) for r in sorted(rows, key=lambda r: (-len(r["en"]), r["pos"]))]

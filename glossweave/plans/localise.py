@@ -66,8 +66,8 @@ def run_bag(bag: DataFrame, options: providers.Options, outputs: Outputs = Outpu
     return Result(done, None, summary)
 
 
-def pairs_of(done: DataFrame) -> dictionary.Ordered:
-    return dictionary.collect_ordered(done.select(F.col("rn").alias("pos"), F.col("text_en").alias("en"), F.col("text_ru").alias("ru")))
+def pairs_of(done: DataFrame) -> dictionary.Ordered | DataFrame:
+    return dictionary.ordered_or_table(done.select(F.col("rn").alias("pos"), F.col("text_en").alias("en"), F.col("text_ru").alias("ru")))
 
 
 def run_entities(entities: DataFrame, options: providers.Options, outputs: Outputs = Outputs(), output_path: str | None = None, style: str | None = apply.STYLE_NAME) -> Result:
@@ -87,7 +87,7 @@ def apply_dictionary(entities: DataFrame, mapping: str, source_en: str | None =
     else:
         raise PySparkValueError("the dictionary is a .csv, or a .txt with source_en")
     dictionary.check_not_empty(pairs)
-    return apply.apply_to_entities(entities, dictionary.collect_ordered(pairs), style)
+    return apply.apply_to_entities(entities, dictionary.ordered_or_table(pairs), style)
 
 
 def check_and_enrich(spark: SparkSession, translations_json: str, extract_csv: str, map_csv: str) -> DataFrame:

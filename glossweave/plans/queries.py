@@ -314,6 +314,28 @@ def apply_large_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.md5("text").alias("digest"))
 
 
+@query(
+    "apply_joined_dictionary",
+    """WITH t AS (SELECT *, 'L' || l_orderkey || '.' || l_linenumber AS l, 'Q' || l_orderkey || '.' || l_partkey AS q, 'P' || l_partkey || '-' AS p FROM lineitem),
+ s AS (SELECT p, min(l_returnflag || l_linenumber) AS status FROM t GROUP BY p),
+ a AS (SELECT l AS en, min(p || l_suppkey) AS made FROM t GROUP BY l UNION ALL SELECT q, min(p || l_linenumber) FROM t GROUP BY q),
+ r AS (SELECT en, CASE WHEN length(s.p) <= length(en) THEN replace(made, s.p, status) ELSE made END AS ru FROM a JOIN s ON s.p = split_part(made, '-', 1) || '-')
+ SELECT l_orderkey, l_linenumber, x.ru || ' of ' || y.ru || ', ' || l_returnflag || '<>' || x.ru || '\\P' || l AS text FROM t JOIN r x ON x.en = l JOIN r y ON y.en = q""",
+)
+def apply_joined_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary of some two pairs a line item (over 100,000 at sf0.01), applied through the joined index to a text a
+    line item: two kinds of keys make a part's mark, which a third replaces where its turn is later."""
+    t = table(spark, sf_dir, "lineitem")
+    part = F.concat(F.lit("P"), "l_partkey", F.lit("-"))
+    line, quote = F.concat(F.lit("L"), "l_orderkey", F.lit("."), "l_linenumber"), F.concat(F.lit("Q"), "l_orderkey", F.lit("."), "l_partkey")
+    of = lambda kind, pos, en, ru: t.groupBy(en.alias("en")).agg(F.min(pos).alias("pos"), F.min(ru).alias("ru")).select((F.col("pos") + (kind << 50)).alias("pos"), "en", "ru")
+    pairs = of(0, F.col("l_orderkey") * 8 + F.col("l_linenumber"), line, F.concat(part, "l_suppkey"))
+    pairs = pairs.unionByName(of(1, F.col("l_orderkey") * (1 << 24) + F.col("l_partkey"), quote, F.concat(part, "l_linenumber")))
+    pairs = pairs.unionByName(of(2, F.col("l_partkey"), part, F.concat("l_returnflag", "l_linenumber")))
+    text = F.concat(line, F.lit(" of "), quote, F.lit(", "), "l_returnflag", F.lit("<>"), line, F.lit("\\P"), line)
+    return apply.apply_to_texts(t.select("l_orderkey", "l_linenumber", text.alias("text")), pairs)
+
+
 PART_PAIRS = [("Brand", "MARK"), ("ar", "AR"), ("e", "3"), ("3", "e3"), ("P", "q")]
 
 

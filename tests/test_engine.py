@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import subprocess
 import sys
 
@@ -297,3 +298,39 @@ def test_shared_folder(spark, monkeypatch):
         monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
         with pytest.raises(PySparkException):
             tables.shared_dir(spark)
+
+
+@pytest.mark.parametrize("protect", [True, False])
+def test_joined_dictionary_is_the_fold(spark, protect):
+    """Few letters, so that nearly every pair makes keys of others, across borders and in the places of deletions."""
+    r = random.Random(7)
+    word = lambda low, high: "".join(r.choice("abc<>\\P ") for _ in range(r.randint(low, high)))
+    pairs = [(word(1, 7), word(0, 5)) for _ in range(250)] + [("", "never"), ("zz", "y"), ("yx" * 20, "ab"), ("y", "yx"), ("\U0001f600é", "c")]
+    texts = [word(0, 60) for _ in range(120)] + ["zzx" * 30, "", "\U0001f600é" * 3, None, "aaaa", "aaaa"]
+    table = spark.createDataFrame([(i, en, ru) for i, (en, ru) in enumerate(pairs)] + [(9000, None, "x"), (9001, "q", None)], "pos long, en string, ru string")
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    order = apply.ordered([*pairs, ("q", "")])
+    fold = apply.fold_protected if protect else apply.fold
+    got = {x.i: x.text for x in apply.apply_to_texts(rows, table, protect=protect).collect()}
+    assert got == {i: t if t is None else fold(t, order) for i, t in enumerate(texts)}
+    assert sum(got[i] != t for i, t in enumerate(texts)) > 60
+    empty = apply.apply_to_texts(rows, table.where("false")).collect()
+    assert {x.i: x.text for x in empty} == dict(enumerate(texts))
+
+
+def test_entities_with_a_dictionary_of_any_size(spark, monkeypatch):
+    """Past the size of a list the same pairs go through the joined index, with the same result, and no run collects
+    its dictionary."""
+    from glossweave.operators import dictionary
+
+    entities = own.entities(spark, SF)
+    pairs = spark.createDataFrame([(i, *p) for i, p in enumerate(own.PART_PAIRS)], "pos long, en string, ru string")
+    listed = dictionary.ordered_or_table(pairs)
+    assert isinstance(listed, list) and dictionary.ordered_or_table(pairs, 3) is pairs
+    for attribs in (False, True):
+        a, b = (apply.apply_to_entities(entities, p, apply_attribs=attribs) for p in (listed, pairs))
+        assert a.columns == b.columns and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    options = providers.Options("dictionary", dictionary={"LARGE": "GROSS", "SMALL": "KLEIN"})
+    small = localise.run_entities(entities, options).entities.collect()
+    monkeypatch.setattr(dictionary, "LIST_PAIRS", 10)
+    assert sorted(map(repr, localise.run_entities(entities, options).entities.collect())) == sorted(map(repr, small))
