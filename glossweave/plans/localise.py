@@ -93,10 +93,9 @@ def apply_dictionary(entities: DataFrame, mapping: str, source_en: str | None =
 def check_and_enrich(spark: SparkSession, translations_json: str, extract_csv: str, map_csv: str) -> DataFrame:
     """Refuses missing or empty translations; then writes the map CSV and adds text_ru to the extract in
     place. Gives the enriched rows."""
-    mapping, rows = files.read_json_map(spark, translations_json), files.read_extract(spark, extract_csv)
+    mapping, rows = files.read_json_map(spark, translations_json), files.read_extract_in_order(spark, extract_csv)
     dictionary.check_coverage(rows, mapping)
-    placed = rows.withColumn("rn", F.monotonically_increasing_id())  # one file: its order
-    done = materialize(dictionary.enriched(placed, mapping), "enriched")
+    done = materialize(dictionary.enriched(rows, mapping), "enriched")
     sinks.write_map_csv(done, map_csv)
     sinks.write_enriched_csv(done, extract_csv)
     return done.select("count", "text_en", "text_ru")

@@ -537,6 +537,30 @@ def csv_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_csv_dictionary(spark, written(spark, "dictionary.csv", lambda p: sinks.write_map_csv(rows, p))).select("en", "ru")
 
 
+TEXT_PAIRS_SQL = "SELECT row_number() OVER (ORDER BY c_custkey) AS rn, c_custkey % 9 + 1 AS n, ' ' || c_name AS en, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE upper(c_name) || ',\"' END AS ru FROM customer"
+
+
+@query(
+    "files_in_order",
+    f"""SELECT 'csv' AS kind, rn, trim(en) AS en, ru FROM ({TEXT_PAIRS_SQL}) UNION ALL SELECT 'extract', rn, en, n::VARCHAR FROM ({TEXT_PAIRS_SQL})
+ UNION ALL SELECT 'text', rn, en, ru FROM (SELECT rn, trim(en) AS en FROM ({TEXT_PAIRS_SQL})) JOIN (SELECT row_number() OVER (ORDER BY rn) AS rn, ru FROM ({TEXT_PAIRS_SQL}) WHERE ru <> '') USING (rn)""",
+)
+def files_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders of several files, each twice as large as the one before it, read back: every row keeps its place, every
+    pair its partner, in a CSV dictionary, an extract and paired texts."""
+    keys = frequency.dense(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+    blank = F.col("c_custkey") % 7 == 0
+    rows = keys.select("rn", (F.col("c_custkey") % 9 + 1).alias("count"), F.concat(F.lit(" "), "c_name").alias("text_en"), F.when(blank, "").otherwise(F.concat(F.upper("c_name"), F.lit(',"'))).alias("text_ru"))
+    rows = rows.repartitionByRange(8, F.floor(F.log2("rn"))).sortWithinPartitions("rn")  # all of a file's rows come before the next one's
+    csv = lambda columns, name: written(spark, name, lambda p: rows.select(*columns).write.options(**sinks.CSV_OUT).csv(p))
+    lines = lambda c, name: written(spark, name, lambda p: rows.select(c.alias("value")).write.text(p))
+    pairs = files.read_csv_dictionary(spark, csv(("text_en", "text_ru"), "map")).select(F.lit("csv").alias("kind"), F.col("pos").alias("rn"), "en", "ru")
+    extract = files.read_extract_in_order(spark, csv(("count", "text_en"), "extract")).select(F.lit("extract").alias("kind"), "rn", F.col("text_en").alias("en"), F.col("count").cast("string").alias("ru"))
+    en, ru = lines(T.with_count("count", "text_en"), "en"), lines(F.col("text_ru"), "ru")
+    texts = files.read_text_pair_dictionary(spark, en, ru).select(F.lit("text").alias("kind"), F.col("pos").alias("rn"), "en", "ru")
+    return pairs.unionByName(extract).unionByName(texts)
+
+
 LINES_SQL = "SELECT p_partkey AS ix, '[' || p_size || '] ' || p_type AS en, CASE WHEN p_partkey % 7 = 0 THEN ' ' ELSE ' ' || upper(p_name) END AS ru FROM part"
 
 

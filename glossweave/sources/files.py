@@ -6,12 +6,12 @@ import json
 
 import pandas as pd
 from pyspark.errors import PySparkValueError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.dictionary import from_lines, normalised
-from ..plans.tables import filesystem
+from ..plans.tables import filesystem, materialize
 from .sinks import json_items
 
 #: CSV as the standard writer makes it: quotes doubled, line feeds inside quotes, edge spaces kept.
@@ -27,9 +27,30 @@ CSV = {
 }
 
 
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """rows, just read from a file or a folder, with rn from 1 in the order of the files' names (part numbers by value),
+    the blocks of a file and the rows of a block.
+
+    Spark packs files into tasks by size and splits large ones, so the order of partitions is no order of rows. Each
+    row therefore keeps its file and block, a running number of its task tells the place in the block, and
+    blocks start where the rows of all earlier ones end: a prefix sum over a row a block."""
+    at = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id")]
+    placed = materialize(rows.select("*", *at), "file-rows")
+    part = F.regexp_extract(F.element_at(F.split("__file", "/"), -1), r"\Apart-(\d+)", 1)
+    blocks = placed.groupBy("__file", "__block").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy(F.expr("try_cast(nullif(__part, '') as bigint)"), "__file", "__block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    starts = blocks.withColumn("__part", part).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    numbered = placed.join(starts.select("__file", "__block", "__first", "__before"), ["__file", "__block"])
+    return numbered.select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("__before") + F.col("__id") - F.col("__first") + 1).alias("rn"))
+
+
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.options(**CSV).csv(path)
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, empty values as empty texts."""
-    rows = spark.read.options(**CSV).csv(path)
+    rows = _csv(spark, path)
     return rows.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns))
 
 
@@ -45,26 +66,21 @@ def dictionary_columns(names: list[str]) -> tuple[str, str]:
 
 
 def read_csv_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """pos, en, ru: stripped, blank en left out, blank ru and repeated keys kept. A header that has the names
+    """pos (the place in the file or folder), en, ru: stripped, blank en left out, blank ru and repeated keys kept. A header that has the names
     in capitals only yields no pairs, as its lookup is by the small-letter name."""
-    rows = read_csv(spark, path)
+    rows = _csv(spark, path)
     en, ru = dictionary_columns(rows.columns)
-    has = lambda c: F.col(f"`{c}`") if c in rows.columns else F.lit("")
-    pairs = rows.select(F.monotonically_increasing_id().alias("pos"), has(en).alias("en"), has(ru).alias("ru"))
-    return normalised(pairs)
+    has = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit("")) if c in rows.columns else F.lit("")
+    placed = in_file_order(rows)
+    return normalised(placed.select(F.col("rn").alias("pos"), has(en).alias("en"), has(ru).alias("ru")))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """ix, value: the lines of one file in order; undecodable bytes are left out."""
-
-    def lines(batches):
-        for pdf in batches:
-            for raw in pdf["content"]:
-                text = bytes(raw).decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n")
-                values = text.removesuffix("\n").split("\n") if text else []
-                yield pd.DataFrame({"ix": range(len(values)), "value": values})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "ix long, value string")
+    """ix from 0, value: the lines of a file or of a folder's files, in order. Undecodable bytes are left out (and with
+    them, in such a line, replacement characters)."""
+    valid = F.make_valid_utf8("value")
+    value = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.replace(valid, F.lit("\ufffd"), F.lit("")))
+    return in_file_order(spark.read.text(path)).select((F.col("rn") - 1).alias("ix"), value.alias("value"))
 
 
 def read_text_pair_dictionary(spark: SparkSession, en_path: str, ru_path: str) -> DataFrame:
@@ -92,6 +108,12 @@ def read_extract(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path).select(F.col("count").cast("long").alias("count"), "text_en")
 
 
+def read_extract_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """rn, count, text_en of a frequency CSV; rn is the place of a row."""
+    rows = in_file_order(_csv(spark, path))
+    return rows.select("rn", F.col("count").cast("long").alias("count"), F.coalesce("text_en", F.lit("")).alias("text_en"))
+
+
 def read_frequency_json(spark: SparkSession, path: str) -> DataFrame:
     """count, text_en of a frequency JSON: a folder that write_frequency_json() made, or a file of any layout."""
     fs, p = filesystem(spark, path)

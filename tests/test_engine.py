@@ -334,3 +334,35 @@ def test_entities_with_a_dictionary_of_any_size(spark, monkeypatch):
     small = localise.run_entities(entities, options).entities.collect()
     monkeypatch.setattr(dictionary, "LIST_PAIRS", 10)
     assert sorted(map(repr, localise.run_entities(entities, options).entities.collect())) == sorted(map(repr, small))
+
+
+def test_folders_of_files_keep_their_order(spark, tmp_path):
+    """Files of several sizes, a small one first, part numbers past five digits, split blocks, an empty file; the
+    enriched extract and the map stand in the extract's order."""
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    sizes = {"part-00000-x.txt": 3, "part-00001-x.txt": 400, "part-00002-x.txt": 0, "part-99999-x.txt": 50, "part-100000-x.txt": 7}
+    want, n = [], 0
+    for name, k in sizes.items():
+        own_lines = [f"line {n + i} {'y' * (i % 90)}" for i in range(k)]
+        (folder / name).write_bytes("".join(x + ("\r\n" if i % 2 else "\n") for i, x in enumerate(own_lines)).encode())
+        want, n = want + own_lines, n + k
+    (folder / "part-100001-x.txt").write_bytes(b"caf\xc3\xa9 \xff\xfex\n\nlast")
+    want += ["caf\u00e9 x", "", "last"]
+    last = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("300", last):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {r.ix: r.value for r in files.read_lines(spark, f"file://{folder}").collect()}
+            assert [got[i] for i in range(len(got))] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", last)
+    keys = spark.createDataFrame([(i + 1, 5 + i % 3, f'key {i * 7919 % 1000}, "q"\nsecond') for i in range(600)], "rn long, count long, text_en string")
+    extract, into = f"file://{tmp_path}/extract.csv", f"file://{tmp_path}/map.csv"
+    by_range = keys.repartitionByRange(6, F.floor(F.log2("rn"))).sortWithinPartitions("rn")
+    by_range.select("count", "text_en").write.options(**sinks.CSV_OUT).csv(extract)
+    (tmp_path / "translations.json").write_text(json.dumps({r.text_en: f"ru {r.rn}" for r in keys.collect()}))
+    localise.check_and_enrich(spark, f"file://{tmp_path}/translations.json", extract, into)
+    for path, column in ((extract, "text_ru"), (into, "text_ru")):
+        placed = files.in_file_order(files._csv(spark, path)).orderBy("rn").collect()
+        assert [r[column] for r in placed] == [f"ru {i + 1}" for i in range(600)]
