@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, trim
+from .common import materialize, release, trim, unused
 from .components import components
 
 M, ROWS, BASE, RATE = 252, 6, 1.001, 20.0
@@ -439,6 +439,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     linked = _linked(docs, k, percent, id_col, text_col)
     g = F.col("g.doc_id")
     stays = F.when(F.col("g").isNull(), True).when(g.isNull(), F.col("doc_key") == F.col("g.doc_key")).otherwise(F.col("doc_id").eqNullSafe(g))
-    drop = linked.where(~stays).select(F.col("doc_key").alias("__near_drop")).distinct()
+    gone = unused(docs, "__near_drop")
+    drop = linked.where(~stays).select(F.col("doc_key").alias(gone)).distinct()
     key = document_key(docs[id_col].cast("long"), docs[text_col])
-    return docs.join(drop, key == F.col("__near_drop"), "left_anti")
+    return docs.join(drop, key == F.col(gone), "left_anti")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from ..operators.frequency import dense
-from .common import filesystem, fresh_path
+from .common import filesystem, fresh_path, unused
 
 TARGET_BYTES = 64 << 20
 BASE_BYTES = 1 << 20
@@ -61,6 +61,13 @@ def row_bytes(schema: t.StructType) -> Column:
     return sum((F.coalesce(of(f).cast("long"), F.lit(0)) for f in schema.fields), F.lit(0).cast("long"))
 
 
+def free(schema: t.StructType, name: str) -> str:
+    """A column name that the schema does not have."""
+    while name.lower() in map(str.lower, schema.names):
+        name += "_"
+    return name
+
+
 class ShardStore:
     """A versioned store of shards below a path."""
 
@@ -134,12 +141,13 @@ class ShardStore:
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         unit = self.target / ARRIVAL_DOCS
         kind = F.least(F.lit(15), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(row_bytes(docs.schema), F.lit(1)) / unit) / 2))).cast("int")
-        rows = docs.withColumn("__sh_kind", kind).sortWithinPartitions("__sh_kind")
+        by_kind, by_part = unused(docs, "__sh_kind"), unused(docs, "__sh_part")
+        rows = docs.withColumn(by_kind, kind).sortWithinPartitions(by_kind)
         at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-        each = F.greatest(F.lit(1), F.floor(F.lit(ARRIVAL_DOCS) / F.pow(F.lit(4), "__sh_kind")))
-        rows = rows.withColumn("__sh_part", F.concat_ws("-", "__sh_kind", F.floor(at / each).cast("string"))).drop("__sh_kind")
+        each = F.greatest(F.lit(1), F.floor(F.lit(ARRIVAL_DOCS) / F.pow(F.lit(4), by_kind)))
+        rows = rows.withColumn(by_part, F.concat_ws("-", by_kind, F.floor(at / each).cast("string"))).drop(by_kind)
         filesystem(self.spark, folder)[0].mkdirs(filesystem(self.spark, folder)[1])
-        rows.write.mode("append").options(**PARQUET).partitionBy("__sh_part").parquet(folder)
+        rows.write.mode("append").options(**PARQUET).partitionBy(by_part).parquet(folder)
         last, old, known = self.versions(), self.manifest(), self.schema()
         new = self._written(folder, docs.schema)
         schema = t.StructType([*known.fields, *(f for f in docs.schema.fields if f.name not in known.names)]) if known else docs.schema
@@ -180,16 +188,16 @@ class ShardStore:
                 first[r["group"]] = n
                 near += [(n + i, r["parts"] == 1 and r["size"] >= FULL * self.target) for i in range(r["parts"])]
                 n += r["parts"]
-        groups = self.spark.createDataFrame([(r["file"], first[r["group"]], r["parts"]) for r in lines], "__sh_file string, __sh_first int, __sh_parts int")
+        groups = self.spark.createDataFrame([(r["file"], first[r["group"]], r["parts"]) for r in lines], "file string, first int, parts int")
         schema = self.schema()
         rows = self.spark.read.schema(schema).parquet(*(r["file"] for r in lines))
-        rows = rows.withColumns({"__sh_name": plain(F.col("_metadata.file_path")), "__sh_row": F.col("_metadata.row_index")})
-        dealt = rows.join(F.broadcast(groups), rows["__sh_name"] == plain(groups["__sh_file"]))
-        number = (F.col("__sh_first") + F.pmod(F.col("__sh_row"), F.col("__sh_parts"))).cast("int")
+        rows = rows.select(F.struct(*(F.col(f"`{c}`") for c in schema.names)).alias("row"), plain(F.col("_metadata.file_path")).alias("name"), F.col("_metadata.row_index").alias("at"))
+        dealt = rows.join(F.broadcast(groups), rows["name"] == plain(groups["file"]))
+        number = (F.col("first") + F.pmod(F.col("at"), F.col("parts"))).cast("int")
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        dealt.repartitionById(n, number).select(*schema.names).write.options(**PARQUET).parquet(folder)
+        dealt.repartitionById(n, number).select("row.*").write.options(**PARQUET).parquet(folder)
         sealed = self.spark.createDataFrame(near, "number int, near boolean")
-        kept = self.manifest(version).join(groups.select(F.col("__sh_file").alias("file")), "file", "left_anti")
+        kept = self.manifest(version).join(groups.select("file"), "file", "left_anti")
         return self._commit(kept.unionByName(self._written(folder, schema, sealed)), version + 1, schema)
 
     def compact_all(self) -> int:
@@ -205,19 +213,21 @@ class ShardStore:
         return tuple([f"{self.path}/data/{r['run']}" for r in rows if r["whole"] is is_whole] for is_whole in (True, False))
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The documents of a version with the columns they had, and shard: the file's name. Runs that are
-        live as a whole are read as folders; of the others Spark joins the live files by name."""
+        """The documents of a version with the columns they had and, last, the file's name: the column __sh_shard, with
+        underscores added if the documents have one of that name. Runs that are live as a whole are read as
+        folders; of the others Spark joins the live files by name."""
         live, schema = self.manifest(version), self.schema(version)
         if schema is None:
             raise PySparkException("the store has no shards")
         whole, partly = self._runs(live)
         name = F.col("_metadata.file_path")
-        shard = F.regexp_extract(name, "([^/]+)/?([^/]+)$", 0).alias("__sh_shard")
-        parts = [self._rows(schema, *whole).select(*schema.names, shard)] if whole else []
+        at, file = (free(schema, c) for c in ("__sh_shard", "__sh_name"))
+        shard, own = F.regexp_extract(name, "([^/]+)/?([^/]+)$", 0).alias(at), [F.col(f"`{c}`") for c in schema.names]
+        parts = [self._rows(schema, *whole).select(*own, shard)] if whole else []
         if partly:
-            rows = self._rows(schema, *partly).select(*schema.names, shard, plain(name).alias("__sh_name"))
-            parts.append(rows.join(live.select(plain(F.col("file")).alias("__sh_name")), "__sh_name", "left_semi").drop("__sh_name"))
-        out = parts[0] if parts else self.spark.createDataFrame([], t.StructType([*schema.fields, t.StructField("__sh_shard", t.StringType())]))
+            rows = self._rows(schema, *partly).select(*own, shard, plain(name).alias(file))
+            parts.append(rows.join(live.select(plain(F.col("file")).alias(file)), file, "left_semi").drop(file))
+        out = parts[0] if parts else self.spark.createDataFrame([], t.StructType([*schema.fields, t.StructField(at, t.StringType())]))
         return out.unionByName(parts[1]) if len(parts) > 1 else out
 
     def vacuum(self, keep: int = 1) -> int:
@@ -261,5 +271,5 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = store.manifest(version).select(name(F.col("file")).alias("__sh_name"), F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs")).where("shard_docs > 0")
     live = dense(live, "__sh_name").withColumnRenamed("rn", "shard")
     rows = store.read(version)
-    own = rows.select(rows[id_col].cast("long").alias("doc_id"), F.octet_length(rows[text_col]).cast("long").alias("n_bytes"), F.sha2(rows[text_col].cast("binary"), 256).alias("text_sha256"), "__sh_shard")
+    own = rows.select(rows[id_col].cast("long").alias("doc_id"), F.octet_length(rows[text_col]).cast("long").alias("n_bytes"), F.sha2(rows[text_col].cast("binary"), 256).alias("text_sha256"), F.col(rows.columns[-1]).alias("__sh_shard"))
     return own.join(live, own["__sh_shard"] == live["__sh_name"]).select("doc_id", "n_bytes", "text_sha256", "shard", "shard_bytes", "shard_docs", F.lit(version).alias("version"))

@@ -530,3 +530,19 @@ def test_empty_store_is_refused(spark):
     store._commit(spark.createDataFrame([], "file string, bytes long, docs long, sealed boolean"), 1)
     with pytest.raises(PySparkException):
         store.read()
+
+
+def test_columns_named_like_ours_keep_their_values(spark, tmp_path):
+    """Twenty distinct values in every column whose name the store and the near-duplicate stage use on the way."""
+    names = ["__sh_part", "__sh_kind", "__sh_file", "__sh_first", "__sh_parts", "__sh_name", "__sh_row", "__sh_shard", "row", "name", "at", "file", "first", "parts", "__near_drop"]
+    rows = [(i, words(i, 30), *(f"{c}{i}" for c in names)) for i in range(20)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {', '.join(f'{c} string' for c in names)}")
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", 4096)
+    store.append(docs.repartition(4))
+    store.append(docs.limit(0))
+    store.compact(force=True)
+    back = store.read()
+    assert back.columns == [*docs.columns, "__sh_shard_"]
+    assert sorted(map(tuple, back.select(*docs.columns).collect())) == sorted(rows)
+    kept = near_dup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(rows)
