@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import apply, dictionary, flatten, frequency, providers
+from ..operators import apply, dictionary, flatten, frequency, memory, providers
 from ..operators.schema import TARGETS
 from ..sources import dxf, files, sinks
 from . import localise
@@ -474,6 +474,27 @@ def pipeline_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return localise.run_bag(bag, providers.Options("dictionary", dictionary={"LARGE": "GROSS", "SMALL": "KLEIN"})).translated
 
 
+def line_keys(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where(where).select("source", F.explode(F.split("text", "\n")).alias("line"))
+    return frequency.ranked(frequency.text_frequency(flatten.bag_of(docs, F.col("source"), F.lit(""), F.col("line"))))
+
+
+@query(
+    "translation_memory",
+    f"""WITH l AS (SELECT doc_id, trim(line, '{WS}') AS text_en FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line, '{WS}') <> ''),
+ f AS (SELECT text_en, min(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END) AS run FROM l GROUP BY 1)
+ SELECT text_en, text_en AS text_ru, run, 1::BIGINT AS requests FROM f""",
+)
+def translation_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs over overlapping bags (documents of even ids, all, all again) with one memory: what each distinct text
+    was translated to, the run that asked for it, and how often any did."""
+    held = memory.Memory(spark, fresh_path(spark, "memory"))
+    runs = [memory.translate(line_keys(spark, sf_dir, where), providers.Options("noop"), held).withColumn("run", F.lit(i)) for i, where in enumerate(("doc_id % 2 = 0", "true", "true"), 1)]
+    every = runs[0].unionByName(runs[1]).unionByName(runs[2])
+    sent = F.col("requested").cast("long")
+    return every.groupBy("text_en").agg(F.max("text_ru").alias("text_ru"), F.min(F.when(F.col("requested"), F.col("run"))).alias("run"), F.sum(sent).alias("requests"))
+
+
 # --- Sources and sinks: files written from the driver tables and read again ---
 
 

@@ -85,3 +85,26 @@ def release(*tables: DataFrame | None) -> None:
         path = _WRITTEN.pop(df, None) if df is not None else None
         if path:
             remove(df.sparkSession, path)
+
+
+def commit_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Puts a small file in place by a rename that does not overwrite: of several writers one wins. False if the file
+    is there already."""
+    fs, final = filesystem(spark, path)
+    if fs.exists(final):
+        return False
+    tmp = filesystem(spark, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")[1]
+    jvm = spark.sparkContext._jvm
+    stream = fs.create(tmp, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(fs.makeQualified(tmp), fs.makeQualified(final), none)
+    except Exception:
+        fs.delete(tmp, False)
+        if fs.exists(final):
+            return False
+        raise
+    return True

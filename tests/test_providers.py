@@ -181,3 +181,50 @@ def test_chatgpt_of_the_old_kind(no_packages):
     assert (m.api_key, m.api_base) == ("k", "u")
     assert ask(["valve", "pipe", "bolt", "M1"]) == ["VALVE", "Rohr", "bolt", "M1"]
     assert len(calls) == 3 and all("response_format" not in c and c["temperature"] == 0.2 for c in calls)
+
+
+def test_memory_through_a_failure(spark, tmp_path):
+    """A run fails half-way; the next one sends only the requests that had not been answered, and a third sends none.
+    Answers of another target language are others'. An empty table asks for nothing."""
+    from glossweave.operators import memory
+
+    log, broken = tmp_path / "log", tmp_path / "broken"
+    log.mkdir()
+    broken.touch()
+
+    def build(options):
+        def ask(texts, originals):
+            import uuid
+
+            if broken.exists() and any(t.endswith("7") for t in texts):
+                raise RuntimeError("the line is dead")
+            (log / uuid.uuid4().hex).write_text("\n".join(texts))
+            return ["" if t == "text 3" else f"{options.target_lang}:{t}" for t in texts]
+
+        return ask
+
+    def sent():
+        found = [t for f in log.iterdir() for t in f.read_text().split("\n")]
+        for f in list(log.iterdir()):
+            f.unlink()
+        return sorted(found)
+
+    keys = spark.createDataFrame([(i + 1, f"text {i}") for i in range(100)], "rn long, text_en string")
+    held = memory.Memory(spark, f"file://{tmp_path}/memory")
+    run = lambda of=keys, lang="ru": memory.translate(of, providers.Options("noop", target_lang=lang), held, 5, build)
+    with pytest.raises(PySparkException):
+        run()
+    before = sent()
+    assert 0 < len(before) < 100 and held.version() == 0
+    broken.unlink()
+    first = {r.text_en: (r.text_ru, r.requested) for r in run().collect()}
+    after = sent()
+    assert sorted(before + after) == sorted(r.text_en for r in keys.collect()) and held.version() == 1
+    assert {t: ru for t, (ru, _) in first.items()} == {f"text {i}": "text 3" if i == 3 else f"ru:text {i}" for i in range(100)}
+    assert sorted(t for t, (_, now) in first.items() if now) == after
+    more = keys.unionByName(spark.createDataFrame([(101, "new")], "rn long, text_en string"))
+    again = run(more).collect()
+    assert sent() == ["new"] and len(again) == 101 and [r.text_en for r in again if r.requested] == ["new"] and held.version() == 2
+    assert run(keys.limit(0)).count() == 0 and held.version() == 2
+    assert {r.text_ru for r in run(keys.where("rn <= 2"), "de").collect()} == {"de:text 0", "de:text 1"} and sent() == ["text 0", "text 1"]
+    assert held.folders() == [*held.folders(2), held.folders()[-1]] and len(held.folders(1)) == 1
