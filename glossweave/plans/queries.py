@@ -474,9 +474,14 @@ def pipeline_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return localise.run_bag(bag, providers.Options("dictionary", dictionary={"LARGE": "GROSS", "SMALL": "KLEIN"})).translated
 
 
+def line_bag(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
+    """kind, detail and text of the lines of some documents, stripped."""
+    docs = table(spark, sf_dir, "documents").where(where).select("source", "lang", F.explode(F.split("text", "\n")).alias("line"))
+    return flatten.bag_of(docs, F.col("source"), F.col("lang"), T.strip("line"))
+
+
 def line_keys(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(where).select("source", F.explode(F.split("text", "\n")).alias("line"))
-    return frequency.ranked(frequency.text_frequency(flatten.bag_of(docs, F.col("source"), F.lit(""), F.col("line"))))
+    return frequency.ranked(frequency.text_frequency(line_bag(spark, sf_dir, where)))
 
 
 @query(
@@ -730,3 +735,6 @@ def drawing_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     with contextlib.redirect_stdout(io.StringIO()):
         cli.run(spark, cli.parser().parse_args(["apply", drawings(spark, sf_dir), mapping, out]))
     return dxf.read_entities(spark, out).groupBy("dxftype", "container", "text", "style").agg(F.count(F.lit(1)).alias("n"))
+
+
+from . import shop  # noqa: E402, F401  registers its queries
