@@ -106,30 +106,32 @@ def _asked(texts: DataFrame, held) -> DataFrame:
 
 
 class Folded:
-    """A text folded with its candidates, and the anchors of what that made."""
+    """A text folded with its candidates, and the stretches of text that this made."""
 
-    def __init__(self, pairs: list[tuple[int, int, str, str]], longest: int, bits: np.ndarray):
-        self.pairs, self.longest, self.bits = sorted(pairs), longest, bits
-        self.made: dict[int, tuple[int, int]] = {}  # anchor: the order of the earliest pair that made it
+    def __init__(self, pairs: list[tuple[int, int, str, str]], longest: int):
+        self.pairs, self.longest = sorted(pairs), longest
+        self.made: list[tuple[int, int, str, int]] = []  # the order of the pair, a stretch, and in how many of its places keys may begin
 
     def plain(self, text: str) -> str:
         for neg, pos, en, ru in self.pairs:
             if en in text and en != ru:
                 parts = text.split(en)
                 text = ru.join(parts)
-                self.look(text, parts, len(ru), (neg, pos))
+                self.note(text, parts, len(ru), neg, pos)
         return text
 
-    def look(self, text: str, parts: list[str], n: int, order: tuple[int, int]) -> None:
-        """A key that touches or spans a replacement begins less than a longest key before its end."""
-        begin = np.cumsum([len(p) for p in parts[:-1]]) + n * np.arange(len(parts) - 1)
-        near = np.zeros(len(text) + 1, np.int64)
-        np.add.at(near, np.maximum(begin - self.longest + 1, 0), 1)
-        np.add.at(near, np.maximum(begin + n, 0), -1)
-        near = np.cumsum(near) > 0
-        for h in anchors(text):
-            for a in h[near[: len(h)] & _known(self.bits, h)].astype(np.int64).tolist():
-                self.made[a] = min(order, self.made.get(a, order))  # pieces of a text are folded one after the other
+    def note(self, text: str, parts: list[str], n: int, neg: int, pos: int) -> None:
+        """A key that touches or spans a replacement begins less than a longest key before its end; stretches that
+        overlap are one."""
+        low, high, at = 0, 0, 0
+        for part in parts[:-1]:
+            at += len(part)
+            begin, end = max(0, at - self.longest + 1), at + n
+            if begin > high:
+                self.made.append((neg, pos, text[low : high + (1 << (LEVELS - 1)) - 1], high - low))
+                low = begin
+            high, at = max(high, end), end
+        self.made.append((neg, pos, text[low : high + (1 << (LEVELS - 1)) - 1], high - low))
 
     def protected(self, text: str) -> str:
         """plain() between placeholders and outside control codes with what follows them."""
@@ -143,17 +145,45 @@ class Folded:
         return T.DIM.join(done)
 
 
+def _made(folds: list[Folded], bits: np.ndarray) -> list[list[dict]]:
+    """For each text the known anchors of what was made, each with the order of the earliest pair that made it."""
+    rows = [(i, *m) for i, f in enumerate(folds) for m in f.made if m[3] > 0]
+    out: list[list[dict]] = [[] for _ in folds]
+    if not rows:
+        return out
+    of, neg, pos, places = (np.array([r[c] for r in rows], np.int64) for c in (0, 1, 2, 4))
+    starts = np.cumsum([0, *(len(r[3]) + 1 for r in rows)])[:-1]
+    found = []
+    for h in anchors("\0".join(r[3] for r in rows)):
+        at = np.flatnonzero(_known(bits, h))
+        row = np.searchsorted(starts, at, "right") - 1
+        inside = at - starts[row] < places[row]
+        row, at = row[inside], at[inside]
+        found.append(np.column_stack([of[row], h[at].astype(np.int64), neg[row], pos[row]]))
+    every = np.concatenate(found)
+    every = every[np.lexsort(every.T[::-1])]
+    first = np.ones(len(every), bool)
+    first[1:] = (every[1:, :2] != every[:-1, :2]).any(axis=1)
+    for i, anchor, n, p in every[first].tolist():
+        out[i].append({"anchor": anchor, "neg": n, "pos": p})
+    return out
+
+
 def _fold(rows: DataFrame, held, longest: int, protect: bool) -> DataFrame:
     """rows: tid, text, pairs. tid, out and made: the anchors of new text with the order of the pair that made them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = held.value
         for pdf in batches:
-            outs, made = [], []
+            outs, made, waiting, chars = [], [], [], 0
             for text, pairs in zip(pdf["text"], pdf["pairs"], strict=True):
-                one = Folded([(p["neg"], p["pos"], p["en"], p["ru"]) for p in pairs], longest, bits)
+                one = Folded([(p["neg"], p["pos"], p["en"], p["ru"]) for p in pairs], longest)
                 outs.append(one.protected(text) if protect else one.plain(text))
-                made.append([{"anchor": a, "neg": o[0], "pos": o[1]} for a, o in one.made.items()])
+                waiting.append(one)
+                chars += sum(len(m[2]) for m in one.made)
+                if chars > 1 << 20:
+                    made, waiting, chars = made + _made(waiting, bits), [], 0
+            made += _made(waiting, bits)
             yield pd.DataFrame({"tid": pdf["tid"], "out": pd.Series(outs, dtype=object, index=pdf.index), "made": pd.Series(made, dtype=object, index=pdf.index)})
 
     return rows.mapInPandas(run, "tid long, out string, made array<struct<anchor:long,neg:long,pos:long>>")

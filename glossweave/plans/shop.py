@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import multiset, temporal
 from ..operators.temporal import micros
+from ..streaming import events
 from .queries import WS, line_bag, query
 from .tables import fresh_path, table
 
@@ -121,3 +122,47 @@ def sketches_of_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("k1").alias("kind"), "n", (F.abs(F.col("about") - F.col("exact")) <= 1 + bound * F.col("exact")).alias("distinct_near"),
         ((F.col("below") <= 0.53 * F.col("all")) & (F.col("upto") >= 0.47 * F.col("all"))).alias("median_near"), (F.col("kept_n") == F.col("n")).alias("merge_near"),
     )
+
+
+ARRIVALS = ("2024-01-20", "2024-02-10", "2024-03-05", "2024-04-01")  # where the arrivals are cut
+
+
+def replayed(spark: SparkSession, rows: DataFrame, part, make) -> DataFrame:
+    """The result of a stream to which rows come in five lots (part, from 0), each with a run begun anew from the
+    checkpoint. make: a stream's results."""
+    source, checkpoint, out = (fresh_path(spark, f"stream-{x}") for x in ("source", "checkpoint", "out"))
+    schema = None
+    for n in range(len(ARRIVALS) + 1):
+        rows.where(part == n).write.parquet(f"{source}/{n}")
+        made = make(events.arrivals(spark, source, rows.schema))
+        schema = made.schema
+        events.run(made, checkpoint, out)
+    return events.results(spark, out, schema)
+
+
+PARTS_SQL = f"least({len(ARRIVALS)}, coalesce({' + '.join(f"(arrived_at >= TIMESTAMP '{a}')::INTEGER" for a in ARRIVALS)}, 0) + CASE WHEN click_id % 17 = 0 THEN 2 ELSE 0 END)"
+
+
+@query(
+    "stream_window_counts",
+    f"""WITH c AS (SELECT kind, ts, {PARTS_SQL} AS part, epoch_us(ts) // 21600000000 * 21600000000 AS start FROM clicks),
+ m AS (SELECT part, max(epoch_us(ts)) AS latest FROM c GROUP BY part), p AS (SELECT unnest(range({len(ARRIVALS) + 1})) AS part),
+ w AS (SELECT part, coalesce((SELECT max(latest) FROM m WHERE m.part < p.part) - 172800000000, 0) AS mark FROM p),
+ kept AS (SELECT start, kind FROM c JOIN w USING (part) WHERE ts IS NOT NULL AND start + 21600000000 > mark)
+ SELECT start, kind, count(*) AS n FROM kept WHERE start + 21600000000 <= (SELECT max(epoch_us(ts)) - 172800000000 FROM c) GROUP BY ALL""",
+)
+def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks by kind and six hours, as they arrive in five lots, with two days of patience; each lot is a run of its own
+    from the checkpoint. Every seventeenth click comes two lots after its own. Late clicks are left out, windows that are not closed at the end are not there yet."""
+    clicks = table(spark, sf_dir, "clicks").select("click_id", "kind", "ts", "arrived_at")
+    part = F.coalesce(sum((F.col("arrived_at") >= F.lit(a).cast("timestamp_ntz")).cast("int") for a in ARRIVALS), F.lit(0))
+    part = F.least(F.lit(len(ARRIVALS)), part + F.when(F.col("click_id") % 17 == 0, 2).otherwise(0))
+    return replayed(spark, clicks, part, lambda s: events.closed_windows(s, "ts", ["kind"], "6 hours", "2 days"))
+
+
+@query("stream_new_texts", f"SELECT DISTINCT trim(line, '{WS}') AS text, 1::BIGINT AS times FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line, '{WS}') <> ''")
+def stream_new_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of documents that come in five lots: each distinct text is given out once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    found = replayed(spark, docs, F.pmod("doc_id", F.lit(len(ARRIVALS) + 1)), lambda s: events.unseen(s, F.col("line")))
+    return found.groupBy("text").agg(F.count(F.lit(1)).alias("times"))
