@@ -2,7 +2,7 @@
 
 The result is the fold of apply.fold(): pairs in order (longest key first, ties by position), each replacing all
 occurrences of its key in what the earlier ones left. Of a large dictionary only few pairs can fire in a text,
-and they are found by a join. A key is indexed by its anchor, the hash of its first 1, 2, 4, 8 or 16 characters;
+and they are found by a join. A key is indexed by its anchor, the hash of its first characters (up to 16);
 a text's anchors that a bit table of fixed size knows are joined with the index, which gives its candidates. The
 text is folded with these alone. Wherever a replacement makes new text, the anchors of all places where a key
 could touch it are looked up likewise: a key found there whose turn comes later joins the candidates, and the
@@ -24,33 +24,50 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.tables import materialize, release
 
-LEVELS = 5  # anchors of 1, 2, 4, 8 and 16 characters
+LENGTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16)  # of anchors, in characters
 TABLE_BITS = 23
-FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+FACTOR, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _CODE = re.compile(r"\\[A-Za-z][^\\]*")
 _INDEX = "anchor long, neg long, pos long, en string, ru string"
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+
+
+def _longer(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The hashes of strings one character longer."""
+    return (h ^ (h >> np.uint64(29))) * FACTOR + code
+
+
 def anchors(text: str) -> list[np.ndarray]:
-    """For each level the hashes of the 1 << level characters from every place on."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    found = [(codes + np.uint64(1)) * np.uint64(FACTORS[0])]
-    for level in range(1, LEVELS):
-        half, last = 1 << (level - 1), found[-1]
-        if len(last) <= half:
+    """For each of LENGTHS the hashes of as many characters from every place on."""
+    codes = _codes(text)
+    found, h = [], np.zeros(len(codes), np.uint64)
+    for n in range(1, LENGTHS[-1] + 1):
+        if n > len(codes):
             break
-        h = (last[:-half] ^ (last[:-half] >> np.uint64(29))) * np.uint64(FACTORS[level]) + last[half:]
-        found.append(h)
-    return [h ^ (h >> np.uint64(32)) for h in found]
+        h = _longer(h[: len(codes) - n + 1], codes[n - 1 :])
+        if n in LENGTHS:
+            found.append(h)
+    return found
 
 
-def key_anchor(key: str) -> int:
-    level = min(LEVELS, len(key).bit_length()) - 1
-    return int(anchors(key[: 1 << level])[level][0].astype(np.int64))
+def key_anchors(keys: list[str]) -> np.ndarray:
+    """The anchor of each key: the hash of its first characters, as many as the longest of LENGTHS that it holds."""
+    own = np.array([next(n for n in reversed(LENGTHS) if n <= len(k)) for k in keys], np.int64)
+    out = np.zeros(len(keys), np.uint64)
+    for n in np.unique(own):
+        rows = np.flatnonzero(own == n)
+        codes, h = _codes("".join(keys[i][:n] for i in rows)).reshape(-1, n), np.zeros(len(rows), np.uint64)
+        for c in range(n):
+            h = _longer(h, codes[:, c])
+        out[rows] = h
+    return out.astype(np.int64)
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
-    return (h * np.uint64(FACTORS[1])) >> np.uint64(64 - TABLE_BITS)
+    return (h * SPREAD) >> np.uint64(64 - TABLE_BITS)
 
 
 def _known(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -64,7 +81,7 @@ def index(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["anchor"] = [key_anchor(en) for en in pdf["en"]]
+            pdf["anchor"] = key_anchors(list(pdf["en"]))
             pdf["neg"] = [-len(en) for en in pdf["en"]]
             yield pdf[["anchor", "neg", "pos", "en", "ru"]]
 
@@ -128,10 +145,10 @@ class Folded:
             at += len(part)
             begin, end = max(0, at - self.longest + 1), at + n
             if begin > high:
-                self.made.append((neg, pos, text[low : high + (1 << (LEVELS - 1)) - 1], high - low))
+                self.made.append((neg, pos, text[low : high + LENGTHS[-1] - 1], high - low))
                 low = begin
             high, at = max(high, end), end
-        self.made.append((neg, pos, text[low : high + (1 << (LEVELS - 1)) - 1], high - low))
+        self.made.append((neg, pos, text[low : high + LENGTHS[-1] - 1], high - low))
 
     def protected(self, text: str) -> str:
         """plain() between placeholders and outside control codes with what follows them."""
