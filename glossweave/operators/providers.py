@@ -46,7 +46,7 @@ CHAIN = {
 #: Fixed value: the instruction of a request.
 SYSTEM = (
     "You are a professional technical translator. Translate the provided values from {source} to {target}. Preserve numbers, "
-    "placeholders like '__DXF_DIM__', and DXF control sequences such as '\\n'. Respond "
+    "placeholders like '__DXF_DIM__', and DXF control sequences such as '\n'. Respond "
     'with strict JSON: {{"translations": [{{"id": "<id>", "text": "<translated>"}}, ...]}}'
 )
 
