@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import apply, dictionary, flatten, frequency, memory, providers
+from ..operators import apply, dictionary, flatten, frequency, memory, providers, table_functions
 from ..operators.schema import TARGETS
 from ..sources import dxf, files, sinks
 from . import localise
@@ -410,6 +410,15 @@ def request_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sent.select("batch", F.inline(items))
 
 
+@query("request_batches", f"SELECT (rn - 1) // 16 AS batch, (rn - 1)::VARCHAR AS id, text_en AS text FROM ({RANK_SQL})")
+def request_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of sixteen of the ranked keys each, made by the table function from a call in SQL."""
+    table_functions.register(spark)
+    ranked = frequency.ranked(keys(spark, sf_dir)).select("rn", F.col("text_en").alias("text"), F.floor((F.col("rn") - 1) / 16).cast("long").alias("batch"))
+    sent = spark.sql("SELECT * FROM request_batches(TABLE({rows}) PARTITION BY batch ORDER BY rn)", rows=ranked)
+    return sent.select("batch", F.inline(F.from_json("payload", "items array<struct<id:string,text:string>>")["items"]))
+
+
 @query("response_parse", "SELECT turn AS pos, conv_id::VARCHAR AS id, text, rank AS place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS rank FROM conversations)")
 def response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")

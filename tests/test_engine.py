@@ -366,3 +366,12 @@ def test_folders_of_files_keep_their_order(spark, tmp_path):
     for path, column in ((extract, "text_ru"), (into, "text_ru")):
         placed = files.in_file_order(files._csv(spark, path)).orderBy("rn").collect()
         assert [r[column] for r in placed] == [f"ru {i + 1}" for i in range(600)]
+
+
+def test_requests_through_the_table_function(spark):
+    from glossweave.operators import table_functions
+
+    keys = spark.createDataFrame([(i + 1, f'text "{i}"\n\u00e9') for i in range(37)], "rn long, text string")
+    parsed = lambda df: sorted((r.batch, json.dumps(json.loads(r.payload))) for r in df.collect())
+    assert parsed(table_functions.requests(keys, 16)) == parsed(providers.requests(keys, 16))
+    assert table_functions.requests(keys.limit(0), 16).count() == 0
