@@ -11,6 +11,7 @@ from ..plans.tables import filesystem, fresh_path, materialize, release, shared_
 
 #: The white space that separates words, [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
+HEAVY = 1 << 16  # keys that heavy() gives at most
 
 
 def fold(doc_id: Column) -> Column:
@@ -48,3 +49,22 @@ def unused(docs: DataFrame, name: str) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def heavy(weights: DataFrame, weight: str, at_least: int) -> DataFrame:
+    """The rows of weights (a written table, one row a key) that weigh more than at_least and more than one HEAVY-th of
+    all. There are fewer than HEAVY of them, whatever the input, so they may be broadcast; what any other
+    key brings is a small share of an exchange."""
+    total = weights.agg(F.sum(weight)).first()[0] or 0
+    return weights.where(F.col(weight) > max(at_least, total / HEAVY))
+
+
+def dealt_join(rows: DataFrame, one: DataFrame, key: str, hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """rows joined with one (a row a key) by the key. hot (key, parts; from heavy()) names the keys whose rows are
+    dealt over so many parts by a hash of the column by, before the exchange; each part has a copy of one's row."""
+    parts = F.broadcast(hot.select(key, F.col("parts").alias("__parts")))
+    part = F.coalesce(F.pmod(F.xxhash64(by), F.col("__parts")), F.lit(0))
+    left = rows.join(parts, key, "left").withColumn("__part", part.cast("int")).drop("__parts")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)).cast("int") - 1))
+    right = one.join(parts, key, "left").withColumn("__part", each).drop("__parts")
+    return left.join(right, [key, "__part"], how).drop("__part")

@@ -13,7 +13,7 @@ Links are needed only between classes that are not connected yet. So a bucket is
 pairs: in two rounds all members meet one of them (the smallest, then one drawn at random) and links
 are contracted to components. What is still apart is compared bucket by bucket: members outside a
 bucket's largest component are held against those of other components, in blocks of at most some BLOCK
-times BLOCK members that carry registers but no texts; a pair that shares several buckets is taken up
+times BLOCK members, fewer where texts are long, that carry registers but no texts; a pair that shares several buckets is taken up
 in the first. Of what the registers do not rule out a block lists each member's partners, and the block's
 members that have any meet again with their texts, where the pairs are confirmed on the full sets; only
 links leave, so no table of pairs is made. No pair that could add a link is left out. Buckets of more than
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, trim, unused
+from .common import dealt_join, heavy, materialize, release, trim, unused
 from .components import components
 
 M, ROWS, BASE, RATE = 252, 6, 1.001, 20.0
@@ -44,7 +44,8 @@ CACHE_WORDS = 100_000
 HOT = 1024  # members of a bucket that one task may join
 SOME, SOME_CHARS = 512, 4_000_000  # documents sketched together, and their code points (one at least)
 ELEMENTS = 500_000
-BLOCK, PAIRS = 512, 16_384  # members a side of a block; pairs whose registers are compared at once
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21  # members a side of a block, and their shingles (a longer set is alone), about
+PAIRS = 16_384  # pairs whose registers are compared at once
 _GOLD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -232,9 +233,13 @@ def _linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -
     bands = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     bucket = F.xxhash64("band", F.substring("regs", F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS)))
     banded = classes.select("node", "n", "regs", bands.alias("band")).select(bucket.alias("bucket"), "node", "n", F.col("band").cast("byte").alias("band"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket", F.ceil(F.col("c") / HOT).cast("int").alias("salts"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket", "c", F.ceil(F.col("c") / HOT).cast("int").alias("salts"))
+    shared = materialize(shared, "near-buckets")
+    hot = heavy(shared, "c", HOT).select("bucket", F.col("salts").alias("parts"))
     salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
-    members = materialize(banded.join(shared, "bucket").withColumn("salt", salt), "near-members")
+    members = dealt_join(banded, shared.select("bucket", "salts"), "bucket", hot, "node").withColumn("salt", salt)
+    members = materialize(members, "near-members")
+    release(shared)
     labels = materialize(members.select("node").distinct().select("node", F.col("node").alias("label")), "near-labels")
     # the text of each candidate class is that of its first document
     held = classes.join(labels.select("node"), "node", "left_semi").select("node", "n", "regs", F.col("first.doc_key").alias("doc_key"))
@@ -295,14 +300,15 @@ def _across(met: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """bucket, ub, vb, node, partners: of members outside a bucket's largest component and members of other
     components, those that the registers do not rule out, by block.
 
-    A bucket's minors and all its members are cut into blocks; each pair of blocks is one small group of
+    A bucket's minors and all its members are cut into blocks by number and length; each pair of blocks is one small group of
     rows. A bucket of one block takes part with one row a member.
     """
-    counts = met.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), F.max("salts").alias("salts"))
-    main = counts.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all"), F.max("salts").alias("salts"))
-    cut = lambda n: F.ceil(n / BLOCK).cast("int")
+    counts = met.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), F.max("salts").alias("salts"))
+    largest = F.max(F.struct("c", "label", "w")).alias("m")
+    main = counts.groupBy("bucket").agg(largest, F.sum("c").alias("all"), F.sum("w").alias("all_w"), F.max("salts").alias("salts"))
+    cut = lambda c, w: F.ceil(F.greatest(c / BLOCK, w / BLOCK_SHINGLES)).cast("int")
     salts = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
-    main = main.select("bucket", salts, F.col("m.label").alias("main"), cut(F.col("all")).alias("vk"), cut(F.col("all") - F.col("m.c")).alias("uk"))
+    main = main.select("bucket", salts, F.col("m.label").alias("main"), cut(F.col("all"), F.col("all_w")).alias("vk"), cut(F.col("all") - F.col("m.c"), F.col("all_w") - F.col("m.w")).alias("uk"))
     rows = met.select("bucket", "salt", "band", "node", "n", "label").join(main, ["bucket", "salt"])
     is_main = F.col("label") == F.col("main")
     part = lambda n: F.pmod(F.xxhash64(F.lit(7), "node"), n).cast("int")

@@ -4,8 +4,9 @@ Writing: payloads are compared by their SHA-256; of equal payloads of at least M
 smallest page_id becomes a response, the others revisits of it. Every task appends gzip members, one a
 record, to archives of its own of at most ARCHIVE_BYTES, and returns the index: offset, length, URL and
 digest of each record. The index is written beside the archives in the same job, so it names exactly
-the archives of the attempts that succeeded; files of lost attempts are named by no index. A payload
-of a third of all pages meets its response in SALTS parts.
+the archives of the attempts that succeeded; files of lost attempts are named by no index. Revisits carry no
+payload: the copies of a payload that weighs much (at most HEAVY payloads, so their list is broadcast) drop it
+where they were read, and meet their response by keys alone, HOT rows a part.
 
 Reading: the selected index rows are dealt out by archive and RANGE_BYTES of offset (so no archive is
 one task's work), sorted, and neighbouring ranges with gaps of at most GAP bytes are read at once.
@@ -25,13 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_path, materialize, release, shuffle_partitions, to_local
+from .common import dealt_join, filesystem, fresh_path, heavy, materialize, release, shuffle_partitions, to_local
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES, GAP, READ_BYTES = 16 << 20, 64 << 10, 8 << 20
 GZIP_LEVEL = 1
-SALTS = 16
+HOT_BYTES, HOT = 16 << 20, 16_384  # bytes of equal payloads that stay together; rows of one digest in one part
+ROW_BYTES = 256  # what a row weighs besides its payload, about
 #: Fixed values of the format.
 VERSION = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -49,9 +51,10 @@ def one_line(value: str | None) -> str:
     return " ".join((value or "").splitlines())
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, row: int = 0, original: tuple[int, str | None, int] | None = None) -> bytes:
-    """A response record, or a revisit record without payload if the original (page_id, url, row) is given."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, row: int = 0, original: tuple[int, str | None, int] | None = None) -> bytes:
+    """A response record, or a revisit record, which needs no payload, if the original (page_id, url, row) is given;
+    size is the payload's."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if original else http + payload
     head = {
         "WARC-Type": "revisit" if original else "response",
@@ -97,14 +100,18 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     out = fs_of.makeQualified(at).toString()
     payload = F.coalesce(pages[html_col], F.lit("")).cast("binary")
     own = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.monotonically_increasing_id().alias("row"))
-    known = own.select("page_id", "digest", "url", "row", F.octet_length("payload").alias("n")).where((F.col("n") >= MIN_REVISIT))
+    own = own.withColumn("n", F.octet_length("payload"))
+    known = own.select("page_id", "digest", "url", "row", "n").where(F.col("n") >= MIN_REVISIT)
     first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row", "url"))).alias("first")
-    shared = known.groupBy("digest").agg(first, F.count(F.lit(1)).alias("c"))
-    shared = materialize(shared.where("c > 1 and first is not null").select("digest", "first"), "warc-shared")
-    parted = shared.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = own.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(parted, ["digest", "salt"], "left")
+    shared = known.groupBy("digest").agg(first, F.count(F.lit(1)).alias("c"), F.sum(F.col("n") + F.lit(ROW_BYTES).cast("long")).alias("weight"))
+    shared = materialize(shared.where("c > 1 and first is not null"), "warc-shared")
+    hot = heavy(shared, "weight", HOT_BYTES).select("digest", F.ceil(F.col("c") / HOT).alias("parts"), F.col("first.page_id").alias("head"))
+    rows = own.join(F.broadcast(hot.select("digest", "head")), "digest", "left")
+    bare = F.when(F.col("head").isNull() | F.col("page_id").eqNullSafe(F.col("head")), F.col("payload"))  # a copy's payload goes no further
+    rows = dealt_join(rows.withColumn("payload", bare).drop("head"), shared.select("digest", "first"), "digest", hot, "row", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first.page_id")), F.col("first"))
-    rows = rows.withColumn("ref", refers).select("page_id", "url", "payload", "digest", "row", F.col("ref.page_id").alias("refers_to"), F.col("ref.url").alias("ref_url"), F.col("ref.row").alias("ref_row"))
+    payload = F.when(F.col("ref").isNull(), F.col("payload")).alias("payload")
+    rows = rows.withColumn("ref", refers).select("page_id", "url", payload, "n", "digest", "row", F.col("ref.page_id").alias("refers_to"), F.col("ref.url").alias("ref_url"), F.col("ref.row").alias("ref_row"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, folder = to_local(out)
@@ -118,16 +125,16 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
                 index = []
                 ids, refs = (pdf[c].astype("Int64").to_numpy(dtype=object, na_value=None) for c in ("page_id", "refers_to"))
                 ref_rows = pdf["ref_row"].astype("Int64").to_numpy(dtype=object, na_value=None)
-                for page_id, url, body, digest, row, ref, ref_url, ref_row in zip(ids, pdf["url"], pdf["payload"], pdf["digest"], pdf["row"].tolist(), refs, pdf["ref_url"], ref_rows, strict=True):
+                for page_id, url, body, size, digest, row, ref, ref_url, ref_row in zip(ids, pdf["url"], pdf["payload"], pdf["n"].tolist(), pdf["digest"], pdf["row"].tolist(), refs, pdf["ref_url"], ref_rows, strict=True):
                     if stream is None or offset >= ARCHIVE_BYTES:
                         if stream is not None:
                             stream.close()
                         name, offset, n = f"{stem}-{n:04d}.warc.gz", 0, n + 1
                         stream = fs.open_output_stream(f"{folder}/{name}", compression=None)
                     pack = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31)
-                    raw = pack.compress(record(page_id, url, bytes(body), digest, row, None if ref is None else (ref, ref_url, ref_row))) + pack.flush()
+                    raw = pack.compress(record(page_id, url, None if body is None else bytes(body), size, digest, row, None if ref is None else (ref, ref_url, ref_row))) + pack.flush()
                     stream.write(raw)
-                    index.append((page_id, url, "response" if ref is None else "revisit", ref, digest, len(body), f"{out}/{name}", offset, len(raw)))
+                    index.append((page_id, url, "response" if ref is None else "revisit", ref, digest, size, f"{out}/{name}", offset, len(raw)))
                     offset += len(raw)
                 frame = pd.DataFrame(index, columns=[c.split()[0] for c in INDEX.split(", ")])
                 yield frame.astype({"page_id": object, "refers_to": object})
@@ -196,8 +203,11 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Writes pages to archives, reads every record back and resolves revisits to the payload read for
     their digest. One row a page: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     found = materialize(read(write(pages, id_col, url_col, html_col), with_payload=False), "warc-read")
-    sizes = found.where("record_type = 'response'").groupBy(F.col("payload_digest").alias("__d")).agg(F.max("payload_bytes").alias("__n"))
-    revisits = found.where("record_type = 'revisit'").join(sizes, F.col("payload_digest") == F.col("__d"))
+    sizes = found.where("record_type = 'response'").groupBy(F.col("payload_digest").alias("d")).agg(F.max("payload_bytes").alias("n"))
+    revisits = found.where("record_type = 'revisit'").withColumn("d", F.col("payload_digest"))
+    counts = materialize(revisits.groupBy("d").agg(F.count(F.lit(1)).alias("c")), "warc-counts")
+    hot = heavy(counts, "c", HOT).select("d", F.ceil(F.col("c") / HOT).alias("parts"))
+    revisits = dealt_join(revisits, sizes, "d", hot, "page_id")
     cols = ["page_id", "payload_digest", "record_type", "refers_to"]
-    out = found.where("record_type = 'response'").select("payload_bytes", *cols).unionByName(revisits.select(F.col("__n").alias("payload_bytes"), *cols))
+    out = found.where("record_type = 'response'").select("payload_bytes", *cols).unionByName(revisits.select(F.col("n").alias("payload_bytes"), *cols))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

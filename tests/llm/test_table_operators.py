@@ -11,7 +11,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from glossweave.llm import mixing, near_dup, sharding, spotsigs, warc
+from glossweave.llm import common, mixing, near_dup, sharding, spotsigs, warc
 from glossweave.llm.common import fresh_path, table
 from glossweave.llm.components import components
 
@@ -217,6 +217,36 @@ def test_warc_all_pages(spark, sf):
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == brute_pages(rows)
 
 
+@pytest.mark.parametrize("heavy", [2, 1 << 16])
+def test_warc_of_a_hot_payload(spark, monkeypatch, heavy):
+    """One payload on half of the pages, dealt over many parts; another that stays whole; with few heavy keys and many."""
+    monkeypatch.setattr(common, "HEAVY", heavy)
+    monkeypatch.setattr(warc, "HOT", 5)
+    monkeypatch.setattr(warc, "HOT_BYTES", 4000)
+    hot, warm = "<html>" + words(2, 80), "<p>" + words(3, 50)
+    rows = [(200 - i, hot if i % 2 else warm if i % 20 == 0 else words(i, 30)) for i in range(200)] + [(1, hot), (1, hot), (None, hot), (None, warm)]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", h, j) for j, (i, h) in enumerate(rows)], "page_id long, url string, html string, parts int").repartition(6)
+    got = warc.round_trip(pages).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == brute_pages(rows)
+
+
+@pytest.mark.parametrize("key_type", ["long", "binary"])
+def test_dealt_join(spark, monkeypatch, key_type):
+    """Keys that weigh much, null and unmatched keys among them, give the rows of a plain join."""
+    keys = [*[1] * 50, *[2] * 9, 3, 4, None]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long").withColumn("k", F.col("k").cast("string").cast(key_type))
+    one = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (9, "z")], "k long, parts string").withColumn("k", F.col("k").cast("string").cast(key_type))
+    weights = rows.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    hot = common.heavy(weights, "c", 5)
+    assert sorted(r.c for r in hot.collect()) == [9, 50]
+    monkeypatch.setattr(common, "HEAVY", 2)
+    assert [r.c for r in common.heavy(weights, "c", 5).collect()] == [50]
+    for how in ("inner", "left"):
+        got = common.dealt_join(rows, one, "k", hot.withColumn("parts", F.ceil(F.col("c") / 4)), "i", how)
+        assert sorted(map(str, got.select("i", "parts").collect())) == sorted(map(str, rows.join(one, "k", how).select("i", "parts").collect()))
+    assert common.heavy(weights.limit(0), "c", 5).count() == 0
+
+
 def test_ranges(monkeypatch):
     monkeypatch.setattr(warc, "GAP", 10)
     monkeypatch.setattr(warc, "READ_BYTES", 100)
@@ -277,6 +307,17 @@ def test_near_duplicates(spark, monkeypatch, rounds, k):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("shingles", [1, 300])
+def test_near_duplicates_in_blocks_cut_by_length(spark, monkeypatch, shingles):
+    """Blocks of some shingles: a text longer than that meets each other member by itself."""
+    monkeypatch.setattr(near_dup, "ROUNDS", 0)
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", shingles)
+    rows = family(12)
+    rows += [(1000 + i, words(7, 3000) + " " + words(70 + i, 9)) for i in range(4)]
+    got = near_dup.link(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_near(rows, 2)
+
+
 def test_near_duplicates_of_documents(spark, sf):
     docs = table(spark, sf, "documents")
     got = near_dup.link(docs, 2).collect()
