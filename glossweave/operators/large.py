@@ -2,31 +2,36 @@
 
 The result is the fold of apply.fold(): pairs in order (longest key first, ties by position), each replacing all
 occurrences of its key in what the earlier ones left. Of a large dictionary only few pairs can fire in a text,
-and they are found by a join. A key is indexed by its anchor, the hash of its first characters (up to 16);
-a text's anchors that a bit table of fixed size knows are joined with the index, which gives its candidates. The
-text is folded with these alone. Wherever a replacement makes new text, the anchors of all places where a key
+and they are found by a join. A key is indexed by its anchor, the hash of its first characters (up to LONGEST);
+a text's anchors that a bit table knows are joined with the index, which gives its candidates. The table grows with
+the pairs, so that few anchors pass that no key has (up to MOST_BITS, past which more pass and are dropped by the
+join). The text is folded with these alone. Wherever a replacement makes new text, the anchors of all places where a key
 could touch it are looked up likewise: a key found there whose turn comes later joins the candidates, and the
 text is folded anew from its original. When no text gets a new candidate, every key that was in a text at its
 turn had been a candidate, so the folds are exact. The work at a text follows its length and what fires in it,
-not the number of pairs; nothing but the longest key's length and the bit table goes to the driver.
+not the number of pairs; nothing but the longest key's length, the anchors' lengths and the bit table goes to the driver.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.tables import materialize, release
 
-LENGTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16)  # of anchors, in characters
-TABLE_BITS = 23
-FACTOR, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+LONGEST = 16  # characters of an anchor
+KEY_BITS, LEAST_BITS, MOST_BITS = 16, 20, 30  # bits of the table a key at least; log2 of the table's bits
+CHUNK_BITS, HEAD_BITS = 20, 16  # log2 of the bits that one task puts together; of the table of first characters
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+SPREAD = [(np.uint64(s), np.uint64(c)) for s, c in ((0, 0xC2B2AE3D27D4EB4F), (31, 0xD6E8FEB86659FD93), (27, 0x94D049BB133111EB))]  # a bit an anchor each
 _CODE = re.compile(r"\\[A-Za-z][^\\]*")
 _INDEX = "anchor long, neg long, pos long, en string, ru string"
 
@@ -40,22 +45,9 @@ def _longer(h: np.ndarray, code: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * FACTOR + code
 
 
-def anchors(text: str) -> list[np.ndarray]:
-    """For each of LENGTHS the hashes of as many characters from every place on."""
-    codes = _codes(text)
-    found, h = [], np.zeros(len(codes), np.uint64)
-    for n in range(1, LENGTHS[-1] + 1):
-        if n > len(codes):
-            break
-        h = _longer(h[: len(codes) - n + 1], codes[n - 1 :])
-        if n in LENGTHS:
-            found.append(h)
-    return found
-
-
 def key_anchors(keys: list[str]) -> np.ndarray:
-    """The anchor of each key: the hash of its first characters, as many as the longest of LENGTHS that it holds."""
-    own = np.array([next(n for n in reversed(LENGTHS) if n <= len(k)) for k in keys], np.int64)
+    """The anchor of each key: the hash of its first characters."""
+    own = np.minimum([len(k) for k in keys], LONGEST)
     out = np.zeros(len(keys), np.uint64)
     for n in np.unique(own):
         rows = np.flatnonzero(own == n)
@@ -66,13 +58,44 @@ def key_anchors(keys: list[str]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h * SPREAD) >> np.uint64(64 - TABLE_BITS)
-
-
-def _known(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = _slot(h).astype(np.int64)
-    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 != 0
+@dataclass(frozen=True)
+class Table:
+    """Which anchors keys may have: bits, the pairs of characters that longer keys begin with (likewise), and the lengths
+    of anchors that any key has."""
+
+    bits: np.ndarray
+    heads: np.ndarray
+    lengths: tuple[int, ...]
+
+    def found(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places in a text and their anchors, of those that the table knows, by length."""
+        codes = _codes(text)
+        at, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        for n in range(1, max(self.lengths, default=0) + 1):
+            fits = np.searchsorted(at, len(codes) - n, "right")
+            at = at[:fits]
+            h = _longer(h[:fits], codes[at + (n - 1)])
+            if n == 2:
+                begun = self.heads[_slot(h, 0, HEAD_BITS)] != 0
+                at, h = at[begun], h[begun]
+            if n in self.lengths:
+                of = self.known(h)
+                yield at[of], h[of]
+
+    def known(self, h: np.ndarray) -> np.ndarray:
+        """The places in h of anchors that the table knows."""
+        size = int(self.bits.size).bit_length() + 2
+        at = np.arange(len(h))
+        for which in range(len(SPREAD)):
+            slot = _slot(h[at] if which else h, which, size)
+            at = at[(self.bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 != 0]
+        return at
+
+
+def _slot(h: np.ndarray, which: int, size: int) -> np.ndarray:
+    """The place of an anchor's bit in a table of 1 << size bits."""
+    shift, factor = SPREAD[which]
+    return (((h ^ (h >> shift) if shift else h) * factor) >> np.uint64(64 - size)).astype(np.int64)
 
 
 def index(pairs: DataFrame) -> DataFrame:
@@ -89,35 +112,51 @@ def index(pairs: DataFrame) -> DataFrame:
     return materialize(own.mapInPandas(run, _INDEX), "pair-index")
 
 
-def bit_table(indexed: DataFrame) -> np.ndarray:
-    """A bit for every anchor's slot: a table of fixed size, from at most 1 << (TABLE_BITS - 6) rows."""
+def bit_table(indexed: DataFrame) -> tuple[Table, int]:
+    """The table of an index's anchors, put together in chunks of fixed size, and the longest key's length."""
+    of = indexed.agg(F.count("neg").alias("n"), F.min("neg").alias("longest"), F.collect_set(F.least(F.lit(LONGEST), -F.col("neg"))).alias("sizes")).first()
+    size = min(MOST_BITS, max(LEAST_BITS, (KEY_BITS * of["n"]).bit_length()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            slot = np.unique(_slot(pdf["anchor"].to_numpy(np.int64).astype(np.uint64)).astype(np.int64))
-            yield pd.DataFrame({"word": slot >> 5, "bit": np.int64(1) << (slot & 31)})
-
-    words = indexed.select("anchor").mapInPandas(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    table = np.zeros(1 << (TABLE_BITS - 5), np.uint32)
-    for r in words.toLocalIterator():
-        table[r["word"]] = r["bits"]
-    return table.view(np.uint8)
+        for pdf in (x for x in batches if len(x)):
+            h = pdf["anchor"].to_numpy(np.int64).astype(np.uint64)
+            slot = np.unique(np.concatenate([_slot(h, which, size) for which in range(len(SPREAD))]))
+            chunk, first = np.unique(slot >> CHUNK_BITS, return_index=True)
+            inside = (slot & ((1 << CHUNK_BITS) - 1)).astype("<u4")
+            yield pd.DataFrame({"chunk": chunk, "slots": [x.tobytes() for x in np.split(inside, first[1:])]})
+            heads = np.unique(_slot(key_anchors(list(pdf["head"].drop_duplicates())).astype(np.uint64), 0, HEAD_BITS)).astype("<u4")
+            yield pd.DataFrame({"chunk": [-1], "slots": [heads.tobytes()]})
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        marks = np.zeros(1 << CHUNK_BITS, np.uint8)
+        marks[np.frombuffer(b"".join(pdf["slots"]), "<u4")] = 1
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "bits": [np.packbits(marks, bitorder="little").tobytes()]})
+
+    chunks = indexed.select("anchor", F.left("en", F.lit(2)).alias("head")).mapInPandas(run, "chunk long, slots binary").groupBy("chunk").applyInPandas(together, "chunk long, bits binary")
+    table, heads, wide = np.zeros(1 << (size - 3), np.uint8), np.zeros(1 << HEAD_BITS, np.uint8), 1 << (CHUNK_BITS - 3)
+    for r in chunks.toLocalIterator():
+        some = np.frombuffer(r["bits"], np.uint8)
+        if r["chunk"] < 0:
+            heads = np.unpackbits(some, bitorder="little")[: 1 << HEAD_BITS]
+        else:
+            table[r["chunk"] * wide : (r["chunk"] + 1) * wide] = some
+    return Table(table, heads, tuple(sorted(of["sizes"]))), -(of["longest"] or -1)
 
 
 def _asked(texts: DataFrame, held) -> DataFrame:
     """tid, anchor: the anchors in each text that the table knows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = held.value
+        table = held.value
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at : at + 512]
                 starts = np.cumsum([0, *(len(t) + 1 for t in part["text"])])[:-1]  # places of the joined text
                 ids, found = part["tid"].to_numpy(), []
-                for h in anchors("\0".join(part["text"])):
-                    place = np.flatnonzero(_known(bits, h))
-                    found.append(pd.DataFrame({"tid": ids[np.searchsorted(starts, place, "right") - 1], "anchor": h[place].astype(np.int64)}).drop_duplicates())
-                yield from found
+                for place, h in table.found("\0".join(part["text"])):
+                    found.append(pd.DataFrame({"tid": ids[np.searchsorted(starts, place, "right") - 1], "anchor": h.astype(np.int64)}))
+                if found:
+                    yield pd.concat(found).drop_duplicates()
 
     return texts.mapInPandas(run, "tid long, anchor long")
 
@@ -125,8 +164,8 @@ def _asked(texts: DataFrame, held) -> DataFrame:
 class Folded:
     """A text folded with its candidates, and the stretches of text that this made."""
 
-    def __init__(self, pairs: list[tuple[int, int, str, str]], longest: int):
-        self.pairs, self.longest = sorted(pairs), longest
+    def __init__(self, pairs: list[tuple[int, int, str, str]], longest: int, had: dict[int, list[int]]):
+        self.pairs, self.longest, self.had = sorted(pairs), longest, had
         self.made: list[tuple[int, int, str, int]] = []  # the order of the pair, a stretch, and in how many of its places keys may begin
 
     def plain(self, text: str) -> str:
@@ -145,10 +184,10 @@ class Folded:
             at += len(part)
             begin, end = max(0, at - self.longest + 1), at + n
             if begin > high:
-                self.made.append((neg, pos, text[low : high + LENGTHS[-1] - 1], high - low))
+                self.made.append((neg, pos, text[low : high + LONGEST - 1], high - low))
                 low = begin
             high, at = max(high, end), end
-        self.made.append((neg, pos, text[low : high + LENGTHS[-1] - 1], high - low))
+        self.made.append((neg, pos, text[low : high + LONGEST - 1], high - low))
 
     def protected(self, text: str) -> str:
         """plain() between placeholders and outside control codes with what follows them."""
@@ -162,48 +201,65 @@ class Folded:
         return T.DIM.join(done)
 
 
-def _made(folds: list[Folded], bits: np.ndarray) -> list[list[dict]]:
-    """For each text the known anchors of what was made, each with the order of the earliest pair that made it."""
+def _made(folds: list[Folded], table: Table) -> tuple[np.ndarray, list[list[int]]]:
+    """For each text the known anchors of what was made, once each, with the order of the earliest pair that made it (rows
+    of text, anchor, neg, pos), and for each of these the positions of the candidates that have it."""
     rows = [(i, *m) for i, f in enumerate(folds) for m in f.made if m[3] > 0]
-    out: list[list[dict]] = [[] for _ in folds]
-    if not rows:
-        return out
-    of, neg, pos, places = (np.array([r[c] for r in rows], np.int64) for c in (0, 1, 2, 4))
-    starts = np.cumsum([0, *(len(r[3]) + 1 for r in rows)])[:-1]
-    found = []
-    for h in anchors("\0".join(r[3] for r in rows)):
-        at = np.flatnonzero(_known(bits, h))
-        row = np.searchsorted(starts, at, "right") - 1
-        inside = at - starts[row] < places[row]
-        row, at = row[inside], at[inside]
-        found.append(np.column_stack([of[row], h[at].astype(np.int64), neg[row], pos[row]]))
+    found = [np.zeros((0, 4), np.int64)]
+    if rows:
+        of, neg, pos, places = (np.array([r[c] for r in rows], np.int64) for c in (0, 1, 2, 4))
+        starts = np.cumsum([0, *(len(r[3]) + 1 for r in rows)])[:-1]
+        for at, h in table.found("\0".join(r[3] for r in rows)):
+            row = np.searchsorted(starts, at, "right") - 1
+            inside = at - starts[row] < places[row]
+            row = row[inside]
+            found.append(np.column_stack([of[row], h[inside].astype(np.int64), neg[row], pos[row]]))
     every = np.concatenate(found)
     every = every[np.lexsort(every.T[::-1])]
     first = np.ones(len(every), bool)
     first[1:] = (every[1:, :2] != every[:-1, :2]).any(axis=1)
-    for i, anchor, n, p in every[first].tolist():
-        out[i].append({"anchor": anchor, "neg": n, "pos": p})
-    return out
+    every = every[first]
+    return every, [folds[i].had.get(anchor, []) for i, anchor in every[:, :2].tolist()]
 
 
 def _fold(rows: DataFrame, held, longest: int, protect: bool) -> DataFrame:
     """rows: tid, text, pairs. tid, out and made: the anchors of new text with the order of the pair that made them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = held.value
-        for pdf in batches:
-            outs, made, waiting, chars = [], [], [], 0
-            for text, pairs in zip(pdf["text"], pdf["pairs"], strict=True):
-                one = Folded([(p["neg"], p["pos"], p["en"], p["ru"]) for p in pairs], longest)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value
+        for batch in batches:
+            lists = batch.column("pairs")
+            flat, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            anchor, *order = (flat.field(i).to_pylist() for i in range(5))
+            pairs = list(zip(*order, strict=True))
+            outs, found, had, waiting, chars, begin = [], [], [], [], 0, 0
+
+            def look() -> None:
+                """Looks up what the waiting texts have made."""
+                rows, of = _made(waiting, table)
+                rows[:, 0] += len(outs) - len(waiting)
+                found.append(rows)
+                had.extend(of)
+                waiting.clear()
+
+            for text, end in zip(batch.column("text").to_pylist(), ends, strict=True):
+                known: dict[int, list[int]] = {}
+                for a, p in zip(anchor[begin:end], pairs[begin:end], strict=True):
+                    known.setdefault(a, []).append(p[1])
+                one = Folded(pairs[begin:end], longest, known)
                 outs.append(one.protected(text) if protect else one.plain(text))
                 waiting.append(one)
-                chars += sum(len(m[2]) for m in one.made)
+                begin, chars = end, chars + sum(len(m[2]) for m in one.made)
                 if chars > 1 << 20:
-                    made, waiting, chars = made + _made(waiting, bits), [], 0
-            made += _made(waiting, bits)
-            yield pd.DataFrame({"tid": pdf["tid"], "out": pd.Series(outs, dtype=object, index=pdf.index), "made": pd.Series(made, dtype=object, index=pdf.index)})
+                    look()
+                    chars = 0
+            look()
+            every = np.concatenate(found)
+            starts = np.concatenate([[0], np.cumsum(np.bincount(every[:, 0], minlength=len(outs)))]).astype(np.int32)
+            made = pa.StructArray.from_arrays([*map(pa.array, every[:, 1:].T), pa.array(had, pa.list_(pa.int64()))], ["anchor", "neg", "pos", "had"])
+            yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(outs, pa.string()), pa.ListArray.from_arrays(pa.array(starts), made)], ["tid", "out", "made"])
 
-    return rows.mapInPandas(run, "tid long, out string, made array<struct<anchor:long,neg:long,pos:long>>")
+    return rows.select("tid", "text", "pairs").mapInArrow(run, "tid long, out string, made array<struct<anchor:long,neg:long,pos:long,had:array<long>>>")
 
 
 def replaced(texts: DataFrame, pairs: DataFrame, protect: bool = True) -> DataFrame:
@@ -214,19 +270,18 @@ def replaced(texts: DataFrame, pairs: DataFrame, protect: bool = True) -> DataFr
     """
     spark = texts.sparkSession
     keys = index(pairs)
-    longest = -(keys.agg(F.min("neg")).first()[0] or -1)
-    held = spark.sparkContext.broadcast(bit_table(keys))  # 1 << TABLE_BITS bits
+    table, longest = bit_table(keys)
+    held = spark.sparkContext.broadcast(table)  # 1 << MOST_BITS bits at most
     own = materialize(texts.select("text").where("text is not null").distinct().withColumn("tid", F.monotonically_increasing_id()), "fold-texts")
-    pair = F.struct("neg", "pos", "en", "ru").alias("pair")
+    pair = F.struct("anchor", "neg", "pos", "en", "ru").alias("pair")
     candidates = materialize(_asked(own, held).join(keys, "anchor").select("tid", pair), "fold-candidates")
     todo, done = own, None
     while True:
         rows = todo.join(candidates.groupBy("tid").agg(F.collect_list("pair").alias("pairs")), "tid")  # as many as the text has places for
         folded = materialize(_fold(rows, held, longest, protect), "fold-round")
-        found = folded.select("tid", F.explode("made").alias("m")).select("tid", F.col("m.anchor").alias("anchor"), F.struct("m.neg", "m.pos").alias("order"))
-        found = found.join(keys, "anchor").where(F.struct("neg", "pos") > F.col("order")).select("tid", pair).distinct()
-        had = candidates.select(F.col("tid").alias("of"), F.col("pair.pos").alias("had"))
-        found = materialize(found.join(had, (F.col("had") == F.col("pair.pos")) & (F.col("of") == F.col("tid")), "left_anti"), "fold-found")
+        made = folded.select("tid", F.explode("made").alias("m")).select("tid", F.col("m.anchor").alias("anchor"), F.struct("m.neg", "m.pos").alias("order"), "m.had")
+        found = made.join(keys, "anchor").where((F.struct("neg", "pos") > F.col("order")) & ~F.array_contains("had", F.col("pos")))  # once a text and pair
+        found = materialize(found.select("tid", pair), "fold-found")
         again = found.select("tid").distinct()
         settled = folded.join(again, "tid", "left_anti").select("tid", "out")
         done = settled if done is None else done.unionByName(settled)

@@ -318,6 +318,23 @@ def test_joined_dictionary_is_the_fold(spark, protect):
     assert {x.i: x.text for x in empty} == dict(enumerate(texts))
 
 
+def test_the_table_of_anchors_grows_with_the_keys(spark):
+    """However many keys there are, few anchors pass that no key has, and none where no key begins; every key's does."""
+    import numpy as np
+
+    from glossweave.operators import large
+
+    pairs = spark.range(1 << 17).selectExpr("id as pos", "concat('k', id) as en", "'x' as ru")
+    table, longest = large.bit_table(large.index(pairs))
+    assert longest == 7 and table.lengths == (2, 3, 4, 5, 6, 7)
+    keys = [f"k{i}" for i in range(1 << 17)]
+    assert len(table.known(large.key_anchors(keys).astype(np.uint64))) == len(keys)
+    others = np.random.default_rng(1).integers(1 << 63, size=100_000).astype(np.uint64)
+    assert len(table.known(others)) < 500
+    found = {(n, int(p)) for n, (at, _) in zip(table.lengths, table.found("ak17 kk b"), strict=True) for p in at}
+    assert {(2, 1), (3, 1)} <= found and {p for _, p in found} <= {1, 5}
+
+
 def test_entities_with_a_dictionary_of_any_size(spark, monkeypatch):
     """Past the size of a list the same pairs go through the joined index, with the same result, and no run collects
     its dictionary."""
