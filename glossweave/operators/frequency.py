@@ -33,7 +33,7 @@ def _numbered(sorted_: DataFrame, columns: list[str]) -> DataFrame:
     sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    placed = placed.withColumn("__part", part).join(offsets, "__part")
+    placed = placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")
     rn = F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1) + 1
     return placed.select(*columns, rn.cast("long").alias("rn"))
 

@@ -46,16 +46,15 @@ def extract(bag: DataFrame) -> DataFrame:
 
 
 def translated_keys(keys: DataFrame, options: providers.Options, steps: int = 20) -> DataFrame:
-    """keys: rn, count, text_en. Adds text_ru; every key is sent once, in batches of a twentieth."""
+    """keys: rn, count, text_en. Adds text_ru; every key is sent once, in batches of a twentieth. Written once."""
     total = keys.count()
-    done = providers.translate(keys, options, frequency.pipeline_batch_size(total, steps))
-    return keys.join(done.select("rn", "text_ru"), "rn").select("rn", "count", "text_en", "text_ru")
+    return providers.translate(keys, options, frequency.pipeline_batch_size(total, steps)).select("rn", "count", "text_en", "text_ru")
 
 
 def run_bag(bag: DataFrame, options: providers.Options, outputs: Outputs = Outputs(), output_path: str | None = None) -> Result:
     """Counts, ranks and translates the texts of a bag and writes the side outputs."""
     keys = extract(bag)
-    done = materialize(translated_keys(keys, options), "keys")
+    done = translated_keys(keys, options)
     txt = sinks.write_if(outputs.save_txt, outputs.texts_txt, lambda p: sinks.write_frequency_txt(done.select("rn", "count", "text_en"), p))
     ru = sinks.write_if(outputs.save_txt, outputs.translated_txt, lambda p: sinks.write_translated_txt(done.select("rn", "count"), done.select("rn", "text_ru"), p))
     saved = sinks.write_if(outputs.save_map, outputs.map_csv, lambda p: sinks.write_map_csv(done, p))

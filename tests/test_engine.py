@@ -226,6 +226,22 @@ def test_drawing(spark, tmp_path):
         dxf.input_kind("a.pdf")
 
 
+def test_ranked_keys_and_their_translations_are_not_shuffled_again(spark):
+    """Numbers join the ranges' rows in place, and the count goes along with the text to the provider and back."""
+    from glossweave.operators import frequency
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranked = frequency.ranked(spark.createDataFrame([("b", 2), ("a", 2), ("c", 3)], "text_en string, count long"))
+        assert "SortMergeJoin" not in plan(ranked) and "BroadcastHashJoin" in plan(ranked)
+        done = localise.translated_keys(ranked, providers.Options("noop"))
+        assert "Join" not in plan(done)
+        assert sorted(map(tuple, done.collect())) == [(1, 3, "c", "c"), (2, 2, "a", "a"), (3, 2, "b", "b")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_pipeline_noop_changes_nothing(spark, tmp_path):
     bag = own.lines(spark, SF)
     outputs = localise.Outputs(f"file://{tmp_path}/t.txt", f"file://{tmp_path}/r.txt", f"file://{tmp_path}/m.csv")
