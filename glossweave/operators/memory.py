@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..plans.tables import commit_text, filesystem, materialize, release, remove
+from ..plans.tables import commit_text, filesystem, materialize, remove
 from . import frequency, providers
 
 ANSWERS = "scope string, text_en string, answer string"
@@ -97,16 +97,38 @@ class Memory:
                 return last + 1
             remove(self.spark, f"{self.path}/answers/{folder}")  # another one was faster
 
+    def write(self, answers: DataFrame) -> str:
+        """Answers (scope, text_en, answer and any more) beside the others, in no version yet; their folder's path."""
+        path = f"{self.path}/answers/new-{uuid.uuid4().hex}"
+        answers.write.option("compression", "zstd").parquet(path)
+        return path
+
+    def commit_written(self, path: str) -> str:
+        """Adds the answers of write() as a new version by renaming their folder; their path from now on."""
+        fs, at = filesystem(self.spark, path)
+        while True:
+            last = self.version()
+            folder = f"{last + 1:010d}-{uuid.uuid4().hex}"
+            to = filesystem(self.spark, f"{self.path}/answers/{folder}")[1]
+            if not fs.rename(at, to):
+                raise PySparkRuntimeError(f"the answers cannot be moved to {to.toString()}")
+            at = to
+            if commit_text(self.spark, f"{self.path}/versions/{last + 1:010d}", json.dumps([*self.folders(last), folder])):
+                return f"{self.path}/answers/{folder}"
+
 
 def translate(keys: DataFrame, options: providers.Options, memory: Memory, batch: int = 512, build: Callable[[providers.Options], providers.Translate] | None = None) -> DataFrame:
     """keys: rn, text_en (distinct). rn, text_en, text_ru and requested: whether the text was sent to the provider now.
+    Without rn the texts are sent in their own order, and the result has none.
 
     As providers.translate(), with answers from the memory where it has them; the others are asked for and kept. build
     makes the provider (providers.build by default). An empty table asks for nothing and commits nothing."""
     scope, journal = scope_of(options), Journal(f"{memory.path}/journal")
-    known = materialize(keys.select("rn", "text_en").join(memory.answers(scope), "text_en", "left"), "memory-known")
-    asked = known.where("answer is null").select("rn", "text_en")
-    asked = materialize(frequency.batches(frequency.dense(asked.withColumnRenamed("rn", "own"), "own"), batch), "memory-asked")
+    own = ["rn"] if "rn" in keys.columns else []
+    known = materialize(keys.select(*own, "text_en").join(memory.answers(scope), "text_en", "left"), "memory-known")
+    asked = known.where("answer is null").select(*(F.col(c).alias("own") for c in own), "text_en")
+    asked = frequency.batches(frequency.dense(asked, "own" if own else "text_en"), batch)
+    asked = asked.select("own" if own else F.col("rn").alias("own"), "batch", "text_en")
     make = build or providers.build
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,13 +159,15 @@ def translate(keys: DataFrame, options: providers.Options, memory: Memory, batch
             yield answered(rest)
 
     n = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = asked.select("own", "batch", "text_en", T.prepare("text_en").alias("prepared")).repartition(n, "batch").sortWithinPartitions("batch", "own")
-    got = materialize(sent.mapInPandas(run, "own long, text_en string, answer string, now boolean"), "memory-answers")
-    if not got.isEmpty():
-        memory.commit(got.select(F.lit(scope).alias("scope"), "text_en", F.coalesce("answer", F.lit("")).alias("answer")))
+    sent = asked.repartition(n, "batch").sortWithinPartitions("batch", "own").withColumn("prepared", T.prepare("text_en"))
+    got = sent.mapInPandas(run, "own long, text_en string, answer string, now boolean")
+    path, kept = memory.write(got.select(F.lit(scope).alias("scope"), "text_en", F.coalesce("answer", F.lit("")).alias("answer"), "own", "now")), f"{ANSWERS}, own long, now boolean"
+    if memory.spark.read.schema(kept).parquet(path).isEmpty():
+        remove(memory.spark, path)
+        got = memory.spark.createDataFrame([], kept)
+    else:
+        got = memory.spark.read.schema(kept).parquet(memory.commit_written(path))  # the answers are written once
         remove(memory.spark, journal.uri)  # the version holds them now
-    both = known.where("answer is not null").select("rn", "text_en", "answer", F.lit(False).alias("requested"))
-    both = both.unionByName(got.select(F.col("own").alias("rn"), "text_en", "answer", F.col("now").alias("requested")))
-    done = materialize(both.select("rn", "text_en", T.recover("text_en", T.fallback("answer", "text_en")).alias("text_ru"), "requested"), "translated")
-    release(known, asked, got)
-    return done
+    both = known.where("answer is not null").select(*own, "text_en", "answer", F.lit(False).alias("requested"))
+    both = both.unionByName(got.select(*(F.col("own").alias(c) for c in own), "text_en", "answer", F.col("now").alias("requested")))
+    return both.select(*own, "text_en", T.recover("text_en", T.fallback("answer", "text_en")).alias("text_ru"), "requested")

@@ -490,7 +490,7 @@ def line_bag(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
 
 
 def line_keys(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
-    return frequency.ranked(frequency.text_frequency(line_bag(spark, sf_dir, where)))
+    return frequency.text_frequency(line_bag(spark, sf_dir, where))
 
 
 @query(

@@ -228,3 +228,22 @@ def test_memory_through_a_failure(spark, tmp_path):
     assert run(keys.limit(0)).count() == 0 and held.version() == 2
     assert {r.text_ru for r in run(keys.where("rn <= 2"), "de").collect()} == {"de:text 0", "de:text 1"} and sent() == ["text 0", "text 1"]
     assert held.folders() == [*held.folders(2), held.folders()[-1]] and len(held.folders(1)) == 1
+
+
+def test_memory_writes_its_answers_once(spark, tmp_path, monkeypatch):
+    """What was asked is written with the version and nowhere else; texts without rn are sent in their own order."""
+    from glossweave.operators import frequency, memory
+    from glossweave.plans import tables
+
+    names = []
+    for module in (memory, frequency):
+        monkeypatch.setattr(module, "materialize", lambda df, name: names.append(name) or tables.materialize(df, name))
+    keys = spark.createDataFrame([(f"text {i:02}",) for i in range(20)], "text_en string")
+    held = memory.Memory(spark, f"file://{tmp_path}/memory")
+    for n, (of, asked) in enumerate(((keys.where("text_en < 'text 08'"), 8), (keys, 12), (keys, 0))):
+        got = memory.translate(of, providers.Options("noop"), held, 5)
+        assert got.columns == ["text_en", "text_ru", "requested"]
+        rows = got.collect()
+        assert sum(r.requested for r in rows) == asked and len(rows) == of.count() and all(r.text_ru == r.text_en for r in rows)
+        assert held.version() == min(n + 1, 2) and len(list((tmp_path / "memory" / "answers").iterdir())) == held.version()
+    assert names == ["memory-known", "ranked"] * 3
