@@ -328,10 +328,10 @@ def apply_joined_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem")
     part = F.concat(F.lit("P"), "l_partkey", F.lit("-"))
     line, quote = F.concat(F.lit("L"), "l_orderkey", F.lit("."), "l_linenumber"), F.concat(F.lit("Q"), "l_orderkey", F.lit("."), "l_partkey")
-    of = lambda kind, pos, en, ru: t.groupBy(en.alias("en")).agg(F.min(pos).alias("pos"), F.min(ru).alias("ru")).select((F.col("pos") + (kind << 50)).alias("pos"), "en", "ru")
-    pairs = of(0, F.col("l_orderkey") * 8 + F.col("l_linenumber"), line, F.concat(part, "l_suppkey"))
-    pairs = pairs.unionByName(of(1, F.col("l_orderkey") * (1 << 24) + F.col("l_partkey"), quote, F.concat(part, "l_linenumber")))
-    pairs = pairs.unionByName(of(2, F.col("l_partkey"), part, F.concat("l_returnflag", "l_linenumber")))
+    of = lambda kind, by, pos, en, ru: t.groupBy(*by).agg(F.min(ru).alias("ru")).select((pos + (kind << 50)).alias("pos"), en.alias("en"), "ru")
+    pairs = of(0, ["l_orderkey", "l_linenumber"], F.col("l_orderkey") * 8 + F.col("l_linenumber"), line, F.concat(part, "l_suppkey"))
+    pairs = pairs.unionByName(of(1, ["l_orderkey", "l_partkey"], F.col("l_orderkey") * (1 << 24) + F.col("l_partkey"), quote, F.concat(part, "l_linenumber")))
+    pairs = pairs.unionByName(of(2, ["l_partkey"], F.col("l_partkey"), part, F.concat("l_returnflag", "l_linenumber")))
     text = F.concat(line, F.lit(" of "), quote, F.lit(", "), "l_returnflag", F.lit("<>"), line, F.lit("\\P"), line)
     return apply.apply_to_texts(t.select("l_orderkey", "l_linenumber", text.alias("text")), pairs)
 

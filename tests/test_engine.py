@@ -334,6 +334,28 @@ def test_joined_dictionary_is_the_fold(spark, protect):
     assert {x.i: x.text for x in empty} == dict(enumerate(texts))
 
 
+def test_a_fold_goes_on_where_it_stopped(spark, monkeypatch):
+    """Each pair makes the next one's key: a round goes on with the text as it is by then and with the pairs that are to
+    come, whatever came before, and a text whose fold has ended is not taken along."""
+    from glossweave.operators import large
+
+    rounds, write = [], large.materialize
+    monkeypatch.setattr(large, "materialize", lambda df, name: rounds.append(write(df, name)) or rounds[-1] if name == "fold-round" else write(df, name))
+    keys = ["k" * 2 + "abcdefghijklmnopq"[: 9 - i] + str(i) for i in range(6)]
+    pairs = [*zip(keys, keys[1:], strict=False), ("u" * 15, "v"), (keys[5] + "!", "never"), ("z", "y"), ("w" * 20 + "1", "zz"), ("w" * 20 + "2", "yz")]
+    texts = [f"{keys[0]} {'u' * 15}<>x\\A{keys[0]}\\{keys[0]}z", "z only", f"{keys[4]}!", "w" * 20 + "1", "w" * 20 + "2", "none"]
+    table = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "pos long, en string, ru string")
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    order = apply.ordered(pairs)
+    got = {x.i: x.text for x in apply.apply_to_texts(rows, table).collect()}
+    assert got == {i: apply.fold_protected(t, order) for i, t in enumerate(texts)}
+    ended = [[x.text for x in r.where("out is not null").collect()] for r in rounds]
+    assert sorted(sum(ended, [])) == sorted(texts) and len(rounds) == 5 and ended[-1] == texts[:1]
+    for n, r in enumerate(rounds):
+        for x in r.where("out is null and text like 'kk%<>%'").collect():
+            assert x.parts[0] == f"{keys[n + 1]} v" and [p.en for p in x.pairs] == ["z"] and x.parts[1] == "<>"
+
+
 def test_the_table_of_anchors_grows_with_the_keys(spark):
     """However many keys there are, few anchors pass that no key has, and none where no key begins; every key's does."""
     import numpy as np
